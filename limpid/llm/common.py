@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back.
+
+    For tables too large for row checkpoints. Like checkpoint files, what is
+    written stays in that folder until its owner clears it.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{(shared or tempfile.mkdtemp(prefix='limpid-')).rstrip('/')}/limpid-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_hash(column: Column) -> Column:
     """A hash of a text that tells null and empty apart."""
     return F.xxhash64(column, column.isNull())

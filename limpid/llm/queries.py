@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from limpid.llm.common import read
 from limpid.llm.decontaminate import decontaminate
 from limpid.llm.line_dedup import dedup_lines
+from limpid.llm.substring_dedup import dedup_substrings
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +27,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "hits.contaminated")
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
 
 ORACLE = {
+    "op2_substring_dedup": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+          SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS win
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM dw WHERE len(w) >= 35)),
+        again AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE win IN (SELECT win FROM again)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dw),
+        kept AS (SELECT words.doc_id, count(*) AS n_words, count(gone.p) AS n_removed,
+                        sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL), '')) AS s
+                 FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+        SELECT dw.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(s, sha256('')) AS kept_sha256
+        FROM dw LEFT JOIN kept ON dw.doc_id = kept.doc_id""",
     "op4_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
