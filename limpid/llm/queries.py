@@ -7,27 +7,52 @@ from pyspark.sql import functions as F
 
 from limpid.llm.common import read
 from limpid.llm.decontaminate import decontaminate
+from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
+from limpid.llm.media import media_features
+from limpid.llm.sharding import assign_shards
 from limpid.llm.substring_dedup import dedup_substrings
 
 
+#: Bytes of a shard of op3_sharding.
+SHARD_BYTES = 8 << 20
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_features(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "media.*")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = assign_shards(docs, "doc_id", F.col("n_bytes"), SHARD_BYTES)
+    return out.select("doc_id", "n_bytes", F.col("shard.prefix").alias("shard_prefix"), F.col("shard.depth").cast("long").alias("shard_depth"), F.col("shard.bytes").alias("shard_bytes"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    out = predict_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.concat_ws(",", "hits.items")
     return out.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "hits.contaminated")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_line_dedup": op4_line_dedup, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate}
 
 ORACLE = {
     "op2_substring_dedup": r"""
@@ -44,6 +69,20 @@ ORACLE = {
         SELECT dw.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                coalesce(s, sha256('')) AS kept_sha256
         FROM dw LEFT JOIN kept ON dw.doc_id = kept.doc_id""",
+    "op3_sharding": f"""
+        WITH RECURSIVE rows AS (
+          SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+                 array_to_string([lpad(to_binary(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), i, 8) AS BIGINT)), 32, '0')
+                                  for i in [1, 9, 17, 25]], '') AS bits
+          FROM documents),
+        buckets AS (
+          SELECT d, left(bits, d) AS prefix, sum(n_bytes) AS size, count(DISTINCT bits) AS n
+          FROM rows, (SELECT unnest(range(0, 129)) AS d) GROUP BY ALL),
+        leaf AS (
+          SELECT bits, min(d) AS d FROM rows JOIN buckets ON left(rows.bits, d) = prefix
+          WHERE size <= {SHARD_BYTES} OR n = 1 OR d = 128 GROUP BY bits)
+        SELECT doc_id, n_bytes, prefix AS shard_prefix, CAST(leaf.d AS BIGINT) AS shard_depth, CAST(size AS BIGINT) AS shard_bytes
+        FROM rows JOIN leaf USING (bits) JOIN buckets ON buckets.d = leaf.d AND prefix = left(bits, leaf.d)""",
     "op4_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
