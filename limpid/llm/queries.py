@@ -10,6 +10,8 @@ from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
 from limpid.llm.media import media_features
+from limpid.llm.pii import find_personal_data
+from limpid.llm.quality import resample
 from limpid.llm.sharding import assign_shards
 from limpid.llm.substring_dedup import dedup_substrings
 
@@ -39,6 +41,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
@@ -52,7 +58,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "hits.contaminated")
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "found.n_email", "found.n_ip", "found.n_card", "found.n_phone", "found.base_sha256", "found.spans")
+
+
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii}
 
 ORACLE = {
     "op2_substring_dedup": r"""
