@@ -10,6 +10,7 @@ from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
 from limpid.llm.media import media_features
+from limpid.llm.packing import pack_documents
 from limpid.llm.pii import find_personal_data
 from limpid.llm.quality import resample
 from limpid.llm.sharding import assign_shards
@@ -63,7 +64,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "found.n_email", "found.n_ip", "found.n_card", "found.n_phone", "found.base_sha256", "found.spans")
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 ORACLE = {
     "op2_substring_dedup": r"""
