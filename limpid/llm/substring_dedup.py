@@ -6,6 +6,11 @@ same place), so a document's path through the graph is a chain of kept edges,
 each standing for the run of windows that chose it. The words which that run
 covers are the edge's span.
 
+Occurrences are dealt out by ranges of (edge, span, text), so that those of an
+edge lie side by side and an edge of any frequency still spreads over many
+tasks. One pass over the sorted ranges tells most edges apart; a grouped count
+settles those that a cut runs through.
+
 * An edge seen once is no repeat, and neither is any of its windows.
 * An edge whose occurrences all have one span does not branch: its windows
   compact into a single step and repeat together. So do those of a span that
@@ -15,7 +20,8 @@ covers are the edge's span.
   window is hashed anew and compared with the windows of the edge's other
   spans.
 
-Two hashes of 64 bits, of the edge and of the span or window, must agree.
+Two hashes of 64 bits, of the edge and of the span or window, must agree;
+texts are told apart by a third.
 """
 
 from __future__ import annotations
@@ -62,11 +68,13 @@ def _span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 def _edges(window: int, k: int):
+    """The kept edges of each text. ``place`` packs where: start, windows - 1 and the edge's offset."""
+
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
             parts = []
-            for key, size, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = payload(text.as_py()).split()
                 if len(words) < window:
                     continue
@@ -76,29 +84,52 @@ def _edges(window: int, k: int):
                 first = np.flatnonzero(np.r_[True, edge[1:] != edge[:-1]])
                 last = np.r_[first[1:] - 1, len(edge) - 1]
                 at = edge[first]
-                n = len(first)
-                parts.append((signed(grams[at]), signed(_span_hashes(hashes, first, last + window)), np.full(n, key), np.full(n, size), first, last - first + 1, at))
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols[:3]] + [pa.array(x.astype(np.int32)) for x in cols[3:]], names=["edge", "span", "text_key", "text_size", "start", "windows", "at"])
+                place = first << 16 | (last - first) << 8 | (at - first)
+                parts.append((signed(grams[at]), signed(_span_hashes(hashes, first, last + window)), np.full(len(first), key), place))
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["edge", "span", "text_key", "place"])
 
     return edges
 
 
-def _opened(window: int):
-    """Single windows of the spans whose coordinates stand beside a text."""
+def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted occurrences: those whose span is there twice (whole), and the spans of edges that may repeat.
+
+    Each batch is judged alone. A run that touches a batch's end may go on
+    elsewhere, so its spans are always passed on.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge, span, key, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        new_edge = np.r_[True, edge[1:] != edge[:-1]]
+        new_span = new_edge | np.r_[True, span[1:] != span[:-1]]
+        edge_run, span_run = np.cumsum(new_edge) - 1, np.cumsum(new_span) - 1
+        copies = np.bincount(span_run)
+        at = np.flatnonzero(new_span)
+        passed = (np.bincount(edge_run)[edge_run[at]] > 1) | (edge_run[at] == 0) | (edge_run[at] == edge_run[-1])
+        whole = copies[span_run] > 1
+        some, zero = at[passed], np.zeros(int(whole.sum()), np.int64)
+        cols = [np.r_[zero, edge[some]], np.r_[zero, span[some]], np.r_[zero, copies[passed]], np.r_[key[whole], key[some]], np.r_[place[whole], place[some]]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["edge", "span", "copies", "text_key", "place"])
+
+
+def _opened(window: int, text_col: str):
+    """Single windows of the spans whose places stand beside a text."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
-        names = ["edge", "span", "copies", "offset", "window", "text_key", "text_size", "start"]
+        names = ["edge", "span", "copies", "offset", "window", "text_key", "start"]
         for batch in batches:
             parts = []
-            for key, size, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
-                grams = signed(gram_hashes(memory.of(payload(text.as_py()).split()), window))
+            for key, text, places in zip(batch.column("__key"), batch.column(text_col), batch.column("__places"), strict=True):
+                grams = signed(gram_hashes(memory.of(text.as_py().encode().split()), window))
                 for p in places.as_py():
-                    s = np.arange(p["start"], p["start"] + p["windows"])
+                    first = p["place"] >> 16
+                    s = np.arange(first, first + (p["place"] >> 8 & 255) + 1)
                     n = len(s)
-                    parts.append((np.full(n, p["edge"]), np.full(n, p["span"]), np.full(n, p["copies"]), p["at"] - s, grams[s], np.full(n, key.as_py()), np.full(n, size.as_py()), s))
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 8
+                    parts.append((np.full(n, p["edge"]), np.full(n, p["span"]), np.full(n, p["copies"]), first + (p["place"] & 255) - s, grams[s], np.full(n, key.as_py()), s))
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=names)
 
     return opened
@@ -121,33 +152,31 @@ def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_CUT.names)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = 35, k: int = 8) -> DataFrame:
-    """The word ranges to remove, by text: ``text_key, text_size, starts, ends``.
+def repeated_spans(keyed: DataFrame, text_col: str, window: int, k: int) -> DataFrame:
+    """The word ranges to remove, by text hash: ``__found, __starts, __ends``.
 
     A range [start, end) lies in windows of ``window`` words whose word
     sequence also starts elsewhere, in any document or the same one.
+    ``keyed`` holds the text and its hash ``__key``.
     """
-    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.octet_length(text_col).alias("text_size"), utf8(F.col(text_col)).alias("text"))
-    occurrences = stored(texts.mapInArrow(_edges(window, k), "edge long, span long, text_key long, text_size int, start int, windows int, at int"))
-    edges = occurrences.groupBy("edge").agg(F.count("*").alias("n"), (F.min("span") != F.max("span")).alias("branches")).where("n > 1").select("edge", "branches")
-    repeated = occurrences.join(edges, "edge")
-    straight = repeated.where("not branches")
-    at_branch = repeated.where("branches")
-    spans = at_branch.groupBy("edge", "span").agg(F.count("*").cast("long").alias("copies"), F.min(F.struct("text_key", "text_size", "start", "windows", "at")).alias("place"))
-    compacted = at_branch.join(spans.where("copies > 1").select("edge", "span"), ["edge", "span"])
-    places = spans.groupBy("place.text_key", "place.text_size").agg(F.collect_list(F.struct("edge", "span", "copies", "place.start", "place.windows", "place.at")).alias("places"))
-    opened = texts.join(places, ["text_key", "text_size"]).select("text_key", "text_size", "text", "places")
-    windows = opened.mapInArrow(_opened(window), "edge long, span long, copies long, offset long, window long, text_key long, text_size long, start long")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    occurrences = stored(keyed.select("__key", utf8(F.col(text_col))).mapInArrow(_edges(window, k), "edge long, span long, text_key long, place long"))
+    order = ["edge", "span", "text_key"]
+    told = stored(occurrences.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_told_apart, "edge long, span long, copies long, text_key long, place long"))
+    whole, pieces = told.where("copies = 0"), told.where("copies > 0")
+    spans = pieces.groupBy("edge", "span").agg(F.sum("copies").alias("copies"), F.min(F.struct("text_key", "place")).alias("at"))
+    late = pieces.where("copies = 1").join(spans.where("copies > 1").select("edge", "span"), ["edge", "span"])
+    branching = spans.groupBy("edge").agg(F.count("*").alias("spans"), F.min("copies").alias("fewest")).where("spans > 1 and fewest = 1").select("edge")
+    places = spans.join(branching, "edge").groupBy(F.col("at.text_key").alias("__key")).agg(F.collect_list(F.struct("edge", "span", "copies", "at.place")).alias("__places"))
+    windows = keyed.join(places, "__key").mapInArrow(_opened(window, text_col), "edge long, span long, copies long, offset long, window long, text_key long, start long")
     key = ["edge", "offset", "window"]
     seen_again = windows.groupBy(*key).agg(F.min("span").alias("low"), F.max("span").alias("high"), F.max("copies").alias("most")).where("low <> high or most > 1").select(*key)
     single = windows.where("copies = 1").join(seen_again, key)
-    ranges = [
-        straight.select("text_key", "text_size", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end")),
-        compacted.select("text_key", "text_size", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end")),
-        single.select("text_key", F.col("text_size").cast("int"), F.col("start").cast("int"), (F.col("start") + window).cast("int").alias("end")),
-    ]
-    gathered = ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).groupBy("text_key", "text_size").agg(F.collect_set(F.struct("start", "end")).alias("r"))
-    return gathered.select("text_key", "text_size", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+    start = F.shiftright("place", 16)
+    full = [x.select("text_key", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(255) + window).alias("end")) for x in (whole, late)]
+    ranges = full[0].unionByName(full[1]).unionByName(single.select("text_key", "start", (F.col("start") + window).alias("end")))
+    gathered = ranges.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("r"))
+    return gathered.select(F.col("text_key").alias("__found"), F.col("r.start").alias("__starts"), F.col("r.end").alias("__ends"))
 
 
 def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = 35, k: int = 8) -> DataFrame:
@@ -159,7 +188,7 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = 35,
     has no words. Repeated rows are copies of each other, so all their windows
     repeat. Texts shorter than a window stay whole.
     """
-    ranges = repeated_spans(docs, text_col, window, k).select(F.col("text_key").alias("__key"), F.col("text_size").alias("__size"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    joined = docs.join(ranges, (F.xxhash64(text_col) == F.col("__key")) & (F.octet_length(text_col) == F.col("__size")), "left")
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    joined = keyed.join(repeated_spans(keyed, text_col, window, k), F.col("__key") == F.col("__found"), "left")
     cut = _cut(utf8(F.col(text_col)), F.col("__starts"), F.col("__ends"))
     return joined.withColumn("cut", cut).select(*[F.col(f"`{c}`") for c in docs.columns if c != "cut"], "cut")
