@@ -10,6 +10,7 @@ from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
 from limpid.llm.media import media_features
+from limpid.llm.ngram_join import near_duplicates
 from limpid.llm.packing import pack_documents
 from limpid.llm.pii import find_personal_data
 from limpid.llm.quality import resample
@@ -46,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
@@ -68,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing}
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing}
 
 ORACLE = {
     "op2_substring_dedup": r"""
@@ -114,6 +119,26 @@ ORACLE = {
                CAST(count(*) FILTER (keeper IS NOT NULL AND keeper <> doc_id) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
         FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id""",
+    "op6_ngram_join": r"""
+        WITH RECURSIVE dw AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b
+          FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id
+          HAVING 100 * count(*) >= 80 * (any_value(sa.n) + any_value(sb.n) - count(*))),
+        reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION
+          SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT dw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id
+        FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
     "op8_decontaminate": r"""
         WITH dw AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
