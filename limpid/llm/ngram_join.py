@@ -278,3 +278,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
     out = grouped.join(least, "root", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "set_key", F.coalesce("least", "doc").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that come first, by id, in their component; of repeated rows one stays.
+
+    ``docs`` has to be a stored table: its rows are told apart by where they
+    are in its files. Null and wordless texts all stay. Ids are integers.
+    """
+    numbered = docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")))
+    found = near_duplicates(numbered, "__id", text_col)
+    dropped = found.where("component_id <> __id").select(F.col("__id.row").alias("__row"))
+    return numbered.join(dropped, F.col("__id.row") == F.col("__row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
