@@ -1,4 +1,9 @@
-"""All registered queries of the library and their SQL."""
+"""All registered queries of the library and the SQL they are compared with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from limpid.plans import dependency_queries, profile_queries
+
+_MODULES = (dependency_queries, profile_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
