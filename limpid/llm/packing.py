@@ -13,7 +13,9 @@ shard's last window is padded.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import WORDS_KEPT, mixed, payload, stored, utf8
+from limpid.llm.common import mixed, payload, stored, utf8
 
 #: Ends each document.
 END_ID = 1
 K1, B = 1.2, 0.75
+#: Stretches, and words, that a worker keeps the ids of before it starts anew.
+STRETCHES_KEPT = 800_000
+MARKS = string.punctuation.encode()
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 24
 
@@ -45,7 +50,9 @@ class ChunkIds(dict):
     """Packed ids of the stretches between ASCII blanks, kept between texts up to a bound.
 
     The tokenizer never joins characters across a blank, so a text's ids are
-    those of its stretches, one after the other.
+    those of its stretches, one after the other. Nor does it join letters with
+    other marks, so a word keeps its ids whatever ASCII marks follow it, and
+    it lower-cases: words are kept apart from stretches, without both.
     """
 
     def __init__(self, name: str):
@@ -56,14 +63,32 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.kind).tobytes()
+        self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > WORDS_KEPT:
+        new = chunks.difference(self.keys())
+        if len(self) + len(new) > STRETCHES_KEPT:
             self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, self.kind).tobytes()
+            new = chunks
+        parts = []
+        for chunk in new:
+            text, tail = chunk.rstrip(MARKS).decode(), ""
+            if text.isalpha():
+                tail = chunk[len(text.encode()) :].decode()
+                text = text.lower() if text.isascii() else text
+            else:
+                text = chunk.decode()
+            parts.append((chunk, text, tail))
+        words = {t for _, text, tail in parts for t in (text, tail)}
+        unknown = list(words.difference(self.words.keys()))
+        if len(self.words) + len(unknown) > STRETCHES_KEPT:
+            self.words.clear()
+            unknown = list(words)
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for word, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self.words[word] = array(code, e.ids).tobytes()
+        for chunk, text, tail in parts:
+            self[chunk] = self.words[text] + self.words[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, with the end id, as packed integers."""
