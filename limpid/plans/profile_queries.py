@@ -183,7 +183,7 @@ ORACLE = {
     "type_flags": f"""{_P}, cells AS ({_CELLS}), v AS (SELECT DISTINCT "column", value AS v, {_LOOSE.format('value')} AS x FROM cells WHERE value IS NOT NULL)
         SELECT "column", v, lower(v) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n') AS boolean, coalesce(x = floor(x), false) AS integer,
                coalesce(x <> floor(x), false) AS float,
-               len(list_filter([',', ';', '|', '/'], d -> contains(v, d) AND NOT list_contains([trim(p) for p in string_split(v, d)], '') AND NOT (d = '/' AND regexp_full_match(trim(v), '[0-9]+\\s*/\\s*[0-9]+')))) > 0 AS delimited
+               len([d for d in [',', ';', '|', '/'] if contains(v, d) AND NOT list_contains([trim(p) for p in string_split(v, d)], '')]) > 0 AS delimited
         FROM v""",
     "kind_votes": f"""{_P}, v AS (SELECT p_partkey AS rid, size_text AS v, {_LOOSE.format('size_text')} AS x FROM parts WHERE size_text IS NOT NULL),
         k AS (SELECT rid, CASE WHEN x = floor(x) THEN 'integer' WHEN x IS NOT NULL THEN 'float' WHEN regexp_matches(v, '^[$]|kg$') THEN 'dirty_integer'
