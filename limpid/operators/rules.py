@@ -59,7 +59,8 @@ def plain_number(c: Column) -> Column:
 
     Percentages are not scaled. Text with no number, or several, is null.
     """
-    x = F.regexp_replace(F.trim(c), r"[\s$€¥£%~]|(?<=[0-9.,])\p{L}[\p{L}./]*$|^\p{L}+(?=[-+0-9.])", "")
+    bare = F.regexp_replace(c, r"[\s$€¥£%~]", "")
+    x = F.regexp_replace(bare, r"(?<=[0-9.,])\p{L}[\p{L}./]*$|^\p{L}+(?=[-+0-9.])", "")
     european = x.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$") | x.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3}){2,}$") | x.rlike(r"^[-+]?[0-9]+,[0-9]{1,2}$")
     us = F.when(x.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
     eu = F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
