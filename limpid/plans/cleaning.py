@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpid.operators import dependencies as fd
 from limpid.operators import profile, rules, sampling
@@ -121,9 +123,6 @@ def apply_series_cleaner(df: DataFrame, column: str, clean: Callable, rid: str)
     The function must look at each value alone: batches are whatever Spark
     deals out. It has to keep the number of values.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
         out = clean(values)

@@ -58,7 +58,7 @@ def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice")
-    return x.select(F.col("bin").cast("long").alias("bin"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n", F.col("height_pct").cast("long").alias("height_pct"))
+    return x.select(F.col("bin").cast("long").alias("bin"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n", F.col("height_pct").cast("long").alias("height_pct"))
 
 
 def outliers_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ ORACLE = {
         WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, (max(o_totalprice) - min(o_totalprice)) / 16 AS w FROM orders),
         c AS (SELECT CAST(least(16, greatest(1, ceil((o_totalprice - a) / w))) AS BIGINT) AS bin, count(*) AS n FROM orders, e GROUP BY 1),
         f AS (SELECT i AS bin, a + (i - 1) * w AS low, a + i * w AS high, coalesce(n, 0) AS n FROM e, (SELECT unnest(range(1, 17)) AS i) LEFT JOIN c ON c.bin = i)
-        SELECT bin, round(low, 4) AS low, round(high, 4) AS high, n, CAST(greatest(8, floor(n / max(n) OVER () * 100)) AS BIGINT) AS height_pct FROM f""",
+        SELECT bin, round(low, 6) AS low, round(high, 6) AS high, n, CAST(greatest(8, floor(n / max(n) OVER () * 100)) AS BIGINT) AS height_pct FROM f""",
     "outliers_mad": f"WITH {_SCALE.format(id='event_id', c='value', t='events')} SELECT x AS value, count(*) AS n, min(rid) AS first_rid FROM o GROUP BY 1",
     "outlier_context": f"""WITH {_SCALE.format(id='doc_id', c='n_chars', t='documents')}
         SELECT x AS outlier, doc_id, lang, source, n_chars, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS text
