@@ -46,6 +46,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast.
+FEW_ROWS = 250_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table marked for broadcast if its count says that it is small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def text_hash(column: Column) -> Column:
     """A hash of a text that tells null and empty apart."""
     return F.xxhash64(column, column.isNull())
@@ -112,5 +121,11 @@ def payload(value) -> bytes:
     return b"" if value is None or value is pd.NA else bytes(value)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in a batch that goes to Python, for texts can be long and workers share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -14,8 +14,12 @@ similarity of 0.8 or more. Equal sets are one set from the start.
 
 Candidates are never all pairs of a list. First each list's sets are tied to
 the list's least set; verified ties give components, in which the large groups
-of near copies collapse. Then only pairs from lists that span several
-components are formed, and of those only pairs with enough shared prefix.
+of near copies collapse. Only lists that still span several components go on.
+Short ones form pairs, of which those with enough shared prefix stay. Long ones
+are scanned in blocks: the sets of all lists with the same head are compared,
+block by block, on counts of their shingles by hash bucket, which bound any
+intersection from above; only pairs that may link come out of a block, first
+each set's likeliest partner, then, with the components that this gives, all.
 All links are verified on the texts, exactly.
 """
 
@@ -33,12 +37,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import LOWER_BYTES, WordHashes, gram_hashes, payload, signed, stored, utf8
+from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, payload, signed, stored, utf8
 from limpid.llm.components import components
 
 SHINGLE = 5
 #: Lists longer than this move to the end of the order.
 LONG_LIST = 64
+#: Sets that a task remembers, so as to list copies once; others are listed again, which only costs time.
+SETS_MET = 200_000
+#: Sets of a block when a long list is scanned.
+BLOCK = 512
+#: Most buckets of a sketch: with fewer than shingles it rules out less, never a link.
+SKETCH = 4096
 #: At most so many shingles are sent to the executors as having long lists; the rest only cost time.
 LONG_LISTS = 200_000
 
@@ -51,6 +61,26 @@ def shingle_set(text: bytes, memory: WordHashes) -> np.ndarray:
     return gram_hashes(hashes, len(hashes)) + np.uint64(len(hashes)) if len(hashes) else np.empty(0, np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of K buckets, K being a power of two above 1.5 times their number, if that is not too many.
+
+    None if a bucket overflows a byte: then nothing is ruled out.
+    """
+    k = 64
+    while 2 * k < 3 * len(shingles) and k < SKETCH:
+        k *= 2
+    found = np.bincount((shingles & np.uint64(k - 1)).astype(np.int64), minlength=k)
+    return found.astype(np.uint8) if found.max() < 256 else np.empty(0, np.uint8)
+
+
+def folded(counts: np.ndarray, k: int) -> np.ndarray:
+    """A sketch with fewer buckets."""
+    wide = counts.astype(np.uint16)
+    while len(wide) > k:
+        wide = wide[: len(wide) // 2] + wide[len(wide) // 2 :]
+    return wide
+
+
 def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
@@ -83,13 +113,17 @@ def light_boundary(list_length: float) -> int:
     return n
 
 
+def held_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def prefix_of(shingles: np.ndarray, long_lists: np.ndarray) -> np.ndarray:
     """The first shingles in the order: by hash, those with long lists last."""
     p = prefix_size(len(shingles))
-    if not len(long_lists):
-        return shingles[:p]
-    at = np.minimum(np.searchsorted(long_lists, shingles), len(long_lists) - 1)
-    is_long = long_lists[at] == shingles
+    is_long = held_in(shingles, long_lists)
     short = shingles[~is_long][:p]
     return short if len(short) == p else np.concatenate([short, shingles[is_long][: p - len(short)]])
 
@@ -107,23 +141,22 @@ def signatures(shingles: np.ndarray, light: int, long_lists: np.ndarray) -> np.n
     return np.concatenate([found, prefix_of(shingles, long_lists)]) if n > light else found
 
 
-_SETS = "n long, set_key long, prefix array<long>"
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set size and key; the prefix only the first time that the task meets the set."""
+    """Each document's set size and key; prefix and sketch only the first time that the task meets the set."""
     memory, met = WordHashes(), set()
     for batch in batches:
-        n, keys, prefixes = [], [], []
+        n, keys, prefixes, sketches = [], [], [], []
         for text in batch.column(1):
             s = shingle_set(payload(text.as_py()), memory)
             key = set_key(s)
             n.append(len(s))
             keys.append(key)
-            prefixes.append(None if key in met or not len(s) else signed(prefix_of(s, s[:0])))
-            if len(met) < 1_000_000:
+            fresh = key not in met and len(s)
+            prefixes.append(signed(prefix_of(s, s[:0])) if fresh else None)
+            sketches.append(sketch(s).tobytes() if fresh else None)
+            if len(met) < SETS_MET:
                 met.add(key)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "set_key", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc", "n", "set_key", "prefix", "sketch"])
 
 
 def _relisted(light: int, long_lists):
@@ -136,12 +169,12 @@ def _relisted(light: int, long_lists):
             for text in batch.column(0):
                 s = shingle_set(payload(text.as_py()), memory)
                 key = set_key(s)
-                if not len(s) or key in met or (4 * len(s) > 5 * light and not np.isin(prefix_of(s, s[:0]), long).any()):
+                if not len(s) or key in met or (4 * len(s) > 5 * light and not held_in(s[: prefix_size(len(s))], long).any()):
                     continue
                 n.append(len(s))
                 keys.append(key)
                 lists.append(signed(signatures(s, light, long)))
-                if len(met) < 1_000_000:
+                if len(met) < SETS_MET:
                     met.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["n", "set_key", "lists"])
 
@@ -152,14 +185,14 @@ def _as_listed(light: int, long_lists):
     """First prefixes of the sets that need no new listing."""
 
     def as_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long = long_lists.value.view(np.int64)
+        long = np.sort(long_lists.value.view(np.int64))
         for batch in batches:
             n = batch.column(0).to_numpy()
             prefix = batch.column(2)
             flat = prefix.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(n)), prefix.value_lengths().to_numpy(zero_copy_only=False))
             touched = np.zeros(len(n), bool)
-            touched[of[np.isin(flat, long)]] = True
+            touched[of[held_in(flat, long)]] = True
             yield batch.filter(pa.array(~touched & (4 * n > 5 * light))).rename_columns(["n", "set_key", "lists"])
 
     return as_listed
@@ -202,7 +235,7 @@ def set_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc", id_type), T.StructField("n", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc", id_type), T.StructField("n", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     texts = docs.select(F.col(id_col).alias("doc"), utf8(F.col(text_col)).alias("text"))
     sets = stored(texts.mapInArrow(_sets, schema))
     first_lists = sets.select("n", "set_key", "prefix").where("prefix is not null")
@@ -227,26 +260,100 @@ def set_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     tied = stored(verify(docs, id_col, text_col, sets, pairs))
     near = stored(components(tied))
 
-    # Pairs of lists that still span several components.
-    root = F.coalesce("root", "set_key")
-    marked = shared.join(near.withColumnRenamed("node", "set_key"), "set_key", "left").select("token", "set_key", "n", root.alias("root"))
-    open_lists = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    entry = stored(marked.join(open_lists, "token"))
-    one = entry.select("token", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = entry.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    # Each set of a long list that still spans several components goes with its likeliest partner outside its own.
+    entry = open_entries(shared, near)
+    likeliest = stored(scan(entry.where(F.col("entries") > LONG_LIST), sets, True))
+    if not likeliest.isEmpty():
+        tied = stored(tied.unionByName(verify(docs, id_col, text_col, sets, likeliest)))
+        entry = open_entries(entry.select("token", "set_key", "n"), stored(components(tied)))
+        pairs = pairs.unionByName(likeliest)
+
+    # What is left: pairs of short lists with enough shared, and all that may link in long ones.
+    short = entry.where(F.col("entries") <= LONG_LIST)
+    scanned = entry.where(F.col("entries") > LONG_LIST)
+    # A pair may share as many long lists as the one of its sets with fewer of them is in.
+    in_long = scanned.groupBy("set_key").agg(F.count("*").alias("in_long"))
+    counted = short.join(in_long, "set_key", "left").withColumn("in_long", F.coalesce("in_long", F.lit(0)))
+    one = counted.select("token", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("in_long").alias("la"))
+    two = counted.select("token", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("in_long").alias("lb"))
     across = one.join(two, "token").where("a < b and ra <> rb").where(fits)
-    more = across.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough_shared(light)).select("a", "b")
-    rest = stored(more.join(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"))
+    more = across.groupBy("a", "b", "na", "nb").agg((F.count("*") + F.least(F.max("la"), F.max("lb"))).alias("shared")).where(_enough_shared(light)).select("a", "b")
+    rest = more.unionByName(scan(scanned, sets, False)).distinct()
+    rest = stored(rest.join(pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"))
     found = verify(docs, id_col, text_col, sets, rest)
     links = tied.select("a", "b").unionByName(found.select("a", "b"))
     return sets.select("doc", "n", "set_key"), components(links)
 
 
+def open_entries(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of lists that span several components, with each list's length and least set."""
+    root = F.coalesce("root", "set_key")
+    marked = shared.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("token", "set_key", "n", root.alias("root"))
+    lists = marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("entries"), F.min("set_key").alias("head")).where("low <> high")
+    return stored(marked.join(lists.select("token", "entries", "head"), "token"))
+
+
+def scan(entries: DataFrame, sets: DataFrame, likeliest: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of sets in long lists that may link, by the lists' heads and in blocks of sets.
+
+    All of them, or for each set and block the one that shares most.
+    """
+    members = stored(entries.select("head", "set_key", "n", "root").distinct())
+    blocks = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    keys = few(stored(members.select("set_key").distinct()))
+    sketches = sets.where("sketch is not null").select("set_key", "sketch").join(keys, "set_key", "left_semi").dropDuplicates(["set_key"])
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("own")
+    dealt = members.join(blocks, "head").join(sketches, "set_key").select("head", "set_key", "n", "root", "sketch", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("head", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "set_key", "n", "root", "sketch")
+    return dealt.groupBy("head", "one", "two").applyInPandas(_scanned(likeliest), "a long, b long").distinct()
+
+
+def _scanned(likeliest: bool):
+    def scanned(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        return _compared(block, key[1] != key[2], likeliest)
+
+    return scanned
+
+
+def _compared(block: pd.DataFrame, across: bool, likeliest: bool) -> pd.DataFrame:
+    """Pairs of a block, or across two blocks, whose sketches leave room for a link."""
+    block = block.sort_values(["n", "set_key"], ignore_index=True)
+    n, root, own, keys = (block[c].to_numpy() for c in ("n", "root", "own", "set_key"))
+    counts = [np.frombuffer(x, np.uint8) for x in block["sketch"]]
+    size = np.array([len(x) for x in counts])
+    level: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by buckets: the sets that have so many, or twice as many, and their sketches
+    ends = np.searchsorted(n, 5 * n // 4, side="right")
+    found = []
+    for i, k in enumerate(size):
+        later = np.arange(i + 1, ends[i])  # sets up to 1.25 times as large have at most twice the buckets
+        later = later[(root[later] != root[i]) & ((own[later] != own[i]) if across else True)]
+        if k and len(later):
+            if k not in level:
+                at = np.flatnonzero((size == k) | (size == 2 * k))
+                level[k] = at, np.stack([folded(counts[j], k) for j in at])
+            at, table = level[k]
+            mine = folded(counts[i], k)
+            sketched = later[size[later] > 0]
+            most = np.empty(len(sketched), np.int64)
+            for begin in range(0, len(sketched), 64):
+                some = np.searchsorted(at, sketched[begin : begin + 64])
+                most[begin : begin + 64] = np.minimum(table[some], mine).sum(axis=1)
+            room = 9 * most - 4 * (n[i] + n[sketched])
+            if likeliest:
+                later = sketched[[room.argmax()]] if len(room) and room.max() >= 0 else sketched[:0]
+            else:
+                later = np.r_[later[size[later] == 0], sketched[room >= 0]]
+        elif likeliest:
+            later = later[:0]
+        found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in later]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of set keys (a, b) whose sets link, by the texts of one document of each."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     holders = sets.join(keys, "set_key").groupBy("set_key").agg(F.min("doc").alias("doc"))
-    held = docs.select(F.col(id_col).alias("__doc"), utf8(F.col(text_col)).alias("text")).join(holders, F.col("__doc").eqNullSafe(F.col("doc"))).select("set_key", "text")
+    held = docs.select(F.col(id_col).alias("__doc"), utf8(F.col(text_col)).alias("text")).join(few(stored(holders)), F.col("__doc").eqNullSafe(F.col("doc"))).select("set_key", "text")
     texts = stored(held.mapInArrow(_own_texts, "set_key long, text binary").dropDuplicates(["set_key"]))
     left = pairs.join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "text_b", "text_a")
