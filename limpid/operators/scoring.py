@@ -31,19 +31,23 @@ def masks(dirty: DataFrame, cleaned: DataFrame, truth: DataFrame, rid: str, equa
     """``rid, column, dirty, cleaned, truth, error, changed, correct``: one row for each cell.
 
     Rows are matched by id. ``numeric`` names the columns to be compared as
-    numbers; None tries all of them. Each mask is a single projection, and one
-    unpivot serves the table and its columns.
+    numbers; None tries all of them. Cells are unpivoted first, so one set of
+    expressions serves every column, however many there are.
     """
     columns = [c for c in dirty.columns if c != rid]
-    side = lambda t, name: t.select(F.col(rid), *[F.col(f"`{c}`").alias(f"{name}#{c}") for c in columns])
+    side = lambda t, name: t.select(F.col(rid), *[F.col(f"`{c}`").cast("string").alias(f"{name}#{c}") for c in columns])
     rows = side(dirty, "d").join(side(cleaned, "c"), rid).join(side(truth, "t"), rid)
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{n[0]}#{c}`").alias(n) for n in ("dirty", "cleaned", "truth")]) for c in columns]
+    long = rows.select(F.col(rid).alias("rid"), F.inline(F.array(*cells)))
+    d, x, t = F.col("dirty"), F.col("cleaned"), F.col("truth")
 
-    def cell(c: str) -> Column:
-        d, x, t = (F.col(f"`{n}#{c}`").cast("string") for n in "dct")
-        agree = (lambda a, b: lenient_equal(a, b, numeric is None or c in numeric)) if equal is lenient_equal else equal
-        return F.struct(F.lit(c).alias("column"), d.alias("dirty"), x.alias("cleaned"), t.alias("truth"), (~agree(d, t)).alias("error"), (~agree(d, x)).alias("changed"), agree(x, t).alias("correct"))
+    def agree(a: Column, b: Column) -> Column:
+        if equal is not lenient_equal or numeric is None:
+            return equal(a, b)
+        as_number = F.col("column").isin(list(numeric)) if numeric else F.lit(False)
+        return F.when(as_number, lenient_equal(a, b)).otherwise(lenient_equal(a, b, numeric=False))
 
-    return rows.select(F.col(rid).alias("rid"), F.inline(F.array(*[cell(c) for c in columns])))
+    return long.select("*", (~agree(d, t)).alias("error"), (~agree(d, x)).alias("changed"), agree(x, t).alias("correct"))
 
 
 def counts(cells: DataFrame) -> DataFrame:
