@@ -20,19 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import mixed, payload, stored, utf8
+from limpid.llm.common import stored
 
 #: Ends each document.
 END_ID = 1
 K1, B = 1.2, 0.75
-#: Stretches, and words, that a worker keeps the ids of before it starts anew.
-STRETCHES_KEPT = 800_000
-MARKS = string.punctuation.encode()
+#: Words that a worker keeps the ids of before it starts anew.
+WORDS_KEPT = 800_000
+#: Texts, and bytes of them, that are looked up at once.
+AT_ONCE, BYTES_AT_ONCE = 4000, 16 << 20
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 24
 
@@ -46,92 +48,139 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkIds(dict):
-    """Packed ids of the stretches between ASCII blanks, kept between texts up to a bound.
+class WordIds:
+    """Token ids of texts, column-wise: each distinct word of a batch is looked up once.
 
     The tokenizer never joins characters across a blank, so a text's ids are
-    those of its stretches, one after the other. Nor does it join letters with
-    other marks, so a word keeps its ids whatever ASCII marks follow it, and
-    it lower-cases: words are kept apart from stretches, without both.
+    those of its stretches between ASCII blanks, one after the other. Nor does
+    it join letters with other marks, so a word keeps its ids whatever ASCII
+    marks follow it; and it lower-cases. Ids of words are kept between batches,
+    up to a bound.
     """
 
     def __init__(self, name: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END_ID], self.kind).tobytes()
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = chunks.difference(self.keys())
-        if len(self) + len(new) > STRETCHES_KEPT:
-            self.clear()
-            new = chunks
-        parts = []
-        for chunk in new:
-            text, tail = chunk.rstrip(MARKS).decode(), ""
-            if text.isalpha():
-                tail = chunk[len(text.encode()) :].decode()
-                text = text.lower() if text.isascii() else text
-            else:
-                text = chunk.decode()
-            parts.append((chunk, text, tail))
-        words = {t for _, text, tail in parts for t in (text, tail)}
-        unknown = list(words.difference(self.words.keys()))
-        if len(self.words) + len(unknown) > STRETCHES_KEPT:
-            self.words.clear()
-            unknown = list(words)
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for word, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.words[word] = array(code, e.ids).tobytes()
-        for chunk, text, tail in parts:
-            self[chunk] = self.words[text] + self.words[tail]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, with the end id, as packed integers."""
-        out = []
-        for begin in range(0, len(texts), 64):
-            split = [t.split() for t in texts[begin : begin + 64]]
-            self.learn(set().union(*split))
-            out += [b"".join([*map(self.__getitem__, chunks), self.end]) for chunks in split]
-        return out
+        self.known, self.flat, self.sizes = pa.array([""]), np.empty(0, self.kind), np.zeros(1, np.int64)  # words, and their ids on end
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is among the known ones; new ones are learned first."""
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy()
+        if len(self.known) + at.null_count > WORDS_KEPT:
+            self.known, self.flat, self.sizes = pa.array([""]), self.flat[:0], np.zeros(1, np.int64)
+            return self.places(words) if len(words) < WORDS_KEPT else self._learned(words)
+        return self._learned(words, at)
+
+    def _learned(self, words: pa.Array, at: pa.Array | None = None) -> np.ndarray:
+        new = words.filter(at.is_null() if at is not None else pc.not_equal(words, ""))
+        ids, sizes = array("H" if self.kind.itemsize == 2 else "I"), []
+        for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False):
+            ids.extend(e.ids)
+            sizes.append(len(e))
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, np.frombuffer(ids, self.kind)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        return pc.index_in(words, value_set=self.known).to_numpy()
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without the end id."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words_in = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        stretch = coded.dictionary
+        bare = pc.utf8_rtrim(stretch, characters=string.punctuation)
+        alpha = pc.utf8_is_alpha(bare)
+        word = pc.if_else(alpha, bare, stretch)
+        word = pc.if_else(pc.and_(alpha, pc.string_is_ascii(word)), pc.ascii_lower(word), word)
+        marks = np.where(alpha.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(stretch), pc.binary_length(bare)).to_numpy(zero_copy_only=False), 0)
+        # What follows the letters: none for most stretches, and few lengths in all.
+        pieces, places = [word], [np.arange(len(word))]
+        for n in np.unique(marks[marks > 0]):
+            at = np.flatnonzero(marks == n)
+            pieces.append(pc.utf8_slice_codeunits(stretch.take(pa.array(at)), -int(n)))
+            places.append(at)
+        parts = pa.concat_arrays(pieces).dictionary_encode()
+        place = self.places(parts.dictionary)[parts.indices.to_numpy()]
+        part_of = np.zeros((len(stretch), 2), np.int32)  # the first known word is the empty one
+        part_of[:, 0] = place[: len(word)]
+        done = len(word)
+        for at in places[1:]:
+            part_of[at, 1] = place[done : done + len(at)]
+            done += len(at)
+        begins = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        each = part_of[coded.indices.to_numpy()].ravel()
+        length = self.sizes[each]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        found = self.flat[np.repeat(begins[each] - (ends - length).astype(np.int32), length) + np.arange(total, dtype=np.int32)]
+        word_ends = np.r_[0, ends[1::2]]
+        cuts = word_ends[np.cumsum(words_in)]
+        return np.split(found, cuts[:-1])
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct ids and how often each occurs."""
+    ordered = np.sort(ids, kind="stable")  # a radix sort for 16 bits
+    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[begins], np.diff(begins, append=len(ids))
 
 
 def shard_key(ids: np.ndarray, unique: np.ndarray, counts: np.ndarray) -> int:
     """Like documents have near keys: the two commonest tokens, then the smallest hash of a token triple."""
-    top = unique[np.argsort(-counts, kind="stable")[:2]].astype(np.int64)
+    first = int(counts.argmax())
+    counts = counts.copy()
+    counts[first] = 0
     wide = ids.astype(np.uint64)
-    triples = wide[:-2] << np.uint64(32) | wide[1:-1] << np.uint64(16) ^ wide[2:] if len(wide) > 2 else wide
-    least = int(mixed(triples).min() >> np.uint64(33))
-    return int(top[0] & 0xFFFF) << 47 | int(top[-1] & 0xFFFF) << 31 | least
+    triples = (wide[:-2] << np.uint64(32)) + (wide[1:-1] << np.uint64(16)) + wide[2:] if len(wide) > 2 else wide
+    least = int(((triples + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).min())
+    return (int(unique[first]) & 0xFFFF) << 47 | (int(unique[counts.argmax()]) & 0xFFFF) << 31 | least
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Small batches put together, and large ones taken apart, for fewer and bounded lookups."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[pa.Array, pa.Array]:
+        return pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
+
+    for batch in batches:
+        step = max(1, int(batch.num_rows * BYTES_AT_ONCE / max(batch.nbytes, BYTES_AT_ONCE)))
+        for begin in range(0, batch.num_rows, step):
+            held.append(batch.slice(begin, step))
+            if sum(b.num_rows for b in held) >= AT_ONCE or sum(b.nbytes for b in held) >= BYTES_AT_ONCE:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
 
 
 def _tokenised(name: str, id_type: pa.DataType):
     """Token rows; after them, as rows with no ids, how many documents of the task hold each token."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = ChunkIds(name)
+        memory = WordIds(name)
+        end = np.array([END_ID], memory.kind)
         names = ["doc", "stat", "key", "n", "ids"]
         frequency = np.zeros(0, np.int64)
         total = 0
-        for batch in batches:
-            texts = [payload(t.as_py()) for t in batch.column(1)]
-            for begin in range(0, len(texts), 512):
-                packed = memory.ids(texts[begin : begin + 512])
-                keys, sizes = [], []
-                for p in packed:
-                    ids = np.frombuffer(p, memory.kind)
-                    unique, counts = np.unique(ids, return_counts=True)
-                    if unique[-1] >= len(frequency):
-                        frequency = np.r_[frequency, np.zeros(int(unique[-1]) + 1 - len(frequency), np.int64)]
-                    frequency[unique] += 1
-                    keys.append(shard_key(ids, unique, counts))
-                    sizes.append(len(ids))
-                total += sum(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(packed)), pa.array([False] * len(packed)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=names)
+        for docs, texts in _gathered(batches):
+            packed, keys, sizes = [], [], []
+            for ids in memory.ids(texts):
+                ids = np.concatenate([ids, end])
+                unique, counts = counted(ids)
+                if unique[-1] >= len(frequency):
+                    frequency = np.r_[frequency, np.zeros(int(unique[-1]) + 1 - len(frequency), np.int64)]
+                frequency[unique] += 1
+                keys.append(shard_key(ids, unique, counts))
+                sizes.append(len(ids))
+                packed.append(ids.tobytes())
+            total += sum(sizes)
+            yield pa.RecordBatch.from_arrays([docs, pa.array([False] * len(packed)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=names)
         held = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(held) + 1, id_type), pa.array([True] * (len(held) + 1)), pa.array(np.r_[-1, held]), pa.array(np.r_[total, frequency[held]]), pa.nulls(len(held) + 1, pa.binary())], names=names)
 
@@ -207,7 +256,7 @@ class Index:
 
     def __init__(self, items: list[np.ndarray], idf: np.ndarray):
         self.n, self.idf = len(items), idf
-        sets = [np.unique(x, return_counts=True) for x in items]
+        sets = [counted(x) for x in items]
         self.terms = [u for u, _ in sets]
         lengths = np.array([len(x) for x in items], float)
         of = np.repeat(np.arange(self.n), [len(u) for u in self.terms])
@@ -282,7 +331,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     id_field = docs.schema[id_col]
     schema = T.StructType([T.StructField("doc", id_field.dataType), T.StructField("stat", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    tokens = stored(docs.select(F.col(id_col).alias("doc"), utf8(F.col(text_col)).alias("text")).mapInArrow(_tokenised(tokenizer, to_arrow_type(id_field.dataType)), schema))
+    tokens = stored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenised(tokenizer, to_arrow_type(id_field.dataType)), schema))
     stats = {r["key"]: r["n"] for r in tokens.where("stat").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     total = stats.pop(-1, 0)
     rows = tokens.where("not stat")
