@@ -107,7 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     spark = docs.sparkSession
     found = benchmark.select(F.col(item_id).cast("string").alias("item"), utf8(F.col(item_text)).alias("text")).mapInArrow(_windows(window), "item string, window binary")
-    windows = found.groupBy("window").agg(F.array_distinct(F.collect_list("item")).alias("items"))
+    windows = found.groupBy("window").agg(F.collect_set("item").alias("items"))
     blocks = max(1, -(-windows.count() // block_windows))
     out, parts = docs, []
     for block in range(blocks):

@@ -248,7 +248,7 @@ def rewritten(text: str, spans: list[Span], draw: random.Random) -> tuple[str, l
 
 
 def training_samples(docs: DataFrame, text_col: str, sample_texts: int, longest: int = 80) -> list[tuple[str, list[Span]]]:
-    """Regions (of at most ``longest`` tokens) of the ``sample_texts`` texts with the smallest hashes among those with a sign."""
+    """The first 20 regions (of at most ``longest`` tokens) of each of the ``sample_texts`` texts with the smallest hashes among those with a sign."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
