@@ -110,6 +110,18 @@ ORACLE = {
         WHEN 'no' THEN 'false' WHEN 'f' THEN 'false' WHEN '0' THEN 'false' END AS flag FROM parts""",
     "clean_datetime": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (3, 4) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders",
     "clean_category": """SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 AND p_partkey % 23 <> 0 AND p_partkey % 29 <> 0 THEN NULL ELSE p_brand END AS brand FROM part""",
+    "clean_spelling": """
+        WITH d AS (SELECT c_custkey, CASE c_custkey WHEN 7 THEN regexp_replace(c_mktsegment, '[EI]', '', 'g') WHEN 8 THEN c_mktsegment || 'S' ELSE c_mktsegment END AS v FROM customer),
+        k AS (SELECT v, lower(trim(v)) AS f, count(*) AS n, min(c_custkey) AS r FROM d GROUP BY v),
+        near AS (SELECT a.v AS value, b.v AS canonical, row_number() OVER (PARTITION BY a.v ORDER BY levenshtein(a.f, b.f), b.n DESC, b.r) AS i
+                 FROM k a JOIN k b ON a.n <= 2 AND b.n >= 5 AND levenshtein(a.f, b.f) <= 1 AND a.v <> b.v)
+        SELECT value, canonical FROM near WHERE i = 1""",
+    "rule_problems": f"""{_P}, r AS (
+          SELECT 'keeps' AS rule, brand_text AS a, trim(brand_text) AS b FROM parts UNION ALL SELECT 'upper', brand_text, upper(brand_text) FROM parts
+          UNION ALL SELECT 'nothing', brand_text, NULL FROM parts UNION ALL SELECT 'one', brand_text, 'x' FROM parts)
+        SELECT rule, count(a) > 0 AND count(b) = 0 AS emptied, count(DISTINCT a) > 2 AND count(DISTINCT b) <= 1 AS collapsed,
+               count(*) FILTER (a <> b AND lower(a) = lower(b)) * 2 > count(a) AS recased, count(*) FILTER (length(b) * 2 < length(a)) * 2 > count(a) AS shortened
+        FROM r GROUP BY rule""",
     "clean_delimited": f"""{_P} SELECT p_partkey, regexp_replace(list_text, '\\s*[,;|]\\s*', ', ', 'g') AS parts,
         '["' || regexp_replace(replace(list_text, ',', ''', '''), '''?\\s*,\\s*''?', '", "', 'g') || '"]' AS listed FROM parts""",
     "clean_text": f"SELECT doc_id, md5(CASE WHEN lower({_STRIP.format('text')}) IN {_TOKENS} THEN NULL ELSE {_STRIP.format('text')} END) AS h FROM documents",

@@ -147,6 +147,15 @@ _LOOSE = f"CASE WHEN regexp_matches(replace({{0}}, ',', ''), '{_NUM}') THEN TRY_
 _SCALE = """x AS (SELECT {id} AS rid, CAST({c} AS DOUBLE) AS x, * FROM {t}), m AS (SELECT median(x) AS med FROM x), d AS (SELECT median(abs(x - med)) AS mad FROM x, m),
     o AS (SELECT x.* FROM x, m, d WHERE mad <> 0 AND abs(0.6745 * (x - med) / mad) > 5.0)"""
 
+# A text's shape: characters by class, runs of a class as islands of equal row-number differences.
+_SHAPES = r"""
+    chars AS (SELECT v, i, CASE WHEN regexp_matches(c, '[0-9]') THEN '\d' WHEN regexp_matches(c, '[A-Z]') THEN '[A-Z]' WHEN regexp_matches(c, '[a-z]') THEN '[a-z]'
+                               WHEN regexp_matches(c, '\s') THEN '\s' WHEN regexp_matches(c, '[()\[\]{}?*+\-|^$\\.&~#]') THEN '\' || c ELSE c END AS k
+              FROM (SELECT DISTINCT v, unnest(string_split(v, '')) AS c, generate_subscripts(string_split(v, ''), 1) AS i FROM texts)),
+    islands AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY i) - row_number() OVER (PARTITION BY v, k ORDER BY i) AS g FROM chars),
+    runs AS (SELECT v, k, g, min(i) AS a, count(*) AS n FROM islands GROUP BY v, k, g),
+    shapes AS (SELECT v, '^' || string_agg(k || CASE WHEN n > 1 THEN '{' || n || '}' ELSE '' END, '' ORDER BY a) || '$' AS pattern FROM runs GROUP BY v)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -177,6 +186,11 @@ ORACLE = {
     "outlier_context": f"""WITH {_SCALE.format(id='doc_id', c='n_chars', t='documents')}
         SELECT x AS outlier, doc_id, lang, source, n_chars, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS text
         FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY rid) AS k FROM o) WHERE k <= 2""",
+    "regex_signature": f"""WITH texts AS (SELECT p_brand AS v FROM part UNION ALL SELECT c_name FROM customer), {_SHAPES}
+        SELECT pattern, count(*) AS n FROM texts JOIN shapes USING (v) GROUP BY pattern""",
+    "shape_rows": f"""WITH first AS (SELECT p_partkey, p_brand AS v FROM part ORDER BY p_partkey LIMIT 3000), texts AS (SELECT v FROM first), {_SHAPES}
+        SELECT pattern, count(*) AS n, round(count(*) / (SELECT count(*) FROM first) * 100, 1) AS pct FROM first JOIN shapes USING (v) GROUP BY pattern
+        HAVING count(*) >= 0.2 * (SELECT count(*) FROM first) ORDER BY n DESC, min(p_partkey) LIMIT 3""",
     "noise_mask": f"""{_P}, m AS (SELECT p_partkey, size_text, regexp_replace(trim(size_text), '[0-9]+(\\.[0-9]+)?', '{{N}}', 'g') AS mask FROM parts
         WHERE size_text IS NOT NULL AND NOT regexp_full_match(trim(size_text), '[0-9]+(\\.[0-9]+)?'))
         SELECT mask, arg_min(size_text, p_partkey) AS value, min(p_partkey) AS first_rid FROM m GROUP BY mask""",
