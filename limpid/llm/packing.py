@@ -17,6 +17,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,12 @@ class WordIds:
         return np.split(found, cuts[:-1])
 
 
+@cache
+def word_ids(name: str) -> WordIds:
+    """One for each Python worker, so that its tasks share what they have looked up."""
+    return WordIds(name)
+
+
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct ids and how often each occurs."""
     ordered = np.sort(ids, kind="stable")  # a radix sort for 16 bits
@@ -163,7 +170,7 @@ def _tokenised(name: str, id_type: pa.DataType):
     """Token rows; after them, as rows with no ids, how many documents of the task hold each token."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordIds(name)
+        memory = word_ids(name)
         end = np.array([END_ID], memory.kind)
         names = ["doc", "stat", "key", "n", "ids"]
         frequency = np.zeros(0, np.int64)
