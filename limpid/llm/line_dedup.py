@@ -116,7 +116,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     streamed = checkpointed(ranged.mapInArrow(_streamed(min_docs), _ROWS))
     edge = streamed.where("open")
     totals = edge.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs)
-    settled = edge.join(totals, ["h1", "h2"]).where("doc <> keeper")
+    # Only the first and the last run of a range are open, so there are at most two keys a range to send.
+    settled = edge.join(F.broadcast(totals), ["h1", "h2"]).where("doc <> keeper")
     drops = streamed.where("not open").select("doc", "text_key", "line").unionByName(settled.select("doc", "text_key", "line"))
     return drops.groupBy("doc", "text_key").agg(F.collect_set("line").alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
 
