@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.llm.common import read, stored
+from limpid.llm.common import read, small_batches, stored
 from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
@@ -23,6 +23,7 @@ LEAST_SCORE = 0.3
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that resemble no language."""
+    small_batches(spark)
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     told = predict_language(docs, model)
     return told.where((F.col("language.lang") != "und") & (F.col("language.score") >= LEAST_SCORE)).select(docs.columns)
@@ -30,6 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that many documents share out of all of them but one."""
+    small_batches(spark)
     out = dedup_lines(docs)
     text = F.when(F.col("lines.n_dropped") > 0, F.col("lines.kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
@@ -37,6 +39,7 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    small_batches(spark)
     return one_of_each(docs).select(docs.columns)
 
 
@@ -47,6 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
+    small_batches(spark)
     return pack_documents(docs)
 
 
