@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, payload, signed, stored, utf8
+from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, payload, released, signed, stored, utf8
 from limpid.llm.components import components
 
 SHINGLE = 5
 #: Lists longer than this move to the end of the order.
 LONG_LIST = 64
 #: Sets that a task remembers, so as to list copies once; others are listed again, which only costs time.
-SETS_MET = 200_000
+SETS_MET = 100_000
 #: Sets of a block when a long list is scanned.
 BLOCK = 512
 #: Most buckets of a sketch: with fewer than shingles it rules out less, never a link.
@@ -144,7 +144,7 @@ def signatures(shingles: np.ndarray, light: int, long_lists: np.ndarray) -> np.n
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set size and key; prefix and sketch only the first time that the task meets the set."""
     memory, met = WordHashes(), set()
-    for batch in batches:
+    for batch in released(batches):
         n, keys, prefixes, sketches = [], [], [], []
         for text in batch.column(1):
             s = shingle_set(payload(text.as_py()), memory)
@@ -164,7 +164,7 @@ def _relisted(light: int, long_lists):
 
     def relisted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, met, long = WordHashes(), set(), long_lists.value
-        for batch in batches:
+        for batch in released(batches):
             n, keys, lists = [], [], []
             for text in batch.column(0):
                 s = shingle_set(payload(text.as_py()), memory)
@@ -211,8 +211,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory: WordHashes = WordHashes()
-    for batch in batches:
+    memory = WordHashes()
+    for batch in released(batches):
         keep, last, one = [], None, None
         for key, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if key != last:

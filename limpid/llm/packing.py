@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import stored
+from limpid.llm.common import released, stored
 
 #: Ends each document.
 END_ID = 1
 K1, B = 1.2, 0.75
+#: Words of Latin and Cyrillic letters; without U+0130, which falls apart when lower-cased.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ӿ]+$"
 #: Words that a worker keeps the ids of before it starts anew.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 700_000
 #: Texts, and bytes of them, that are looked up at once.
-AT_ONCE, BYTES_AT_ONCE = 4000, 16 << 20
+AT_ONCE, BYTES_AT_ONCE = 1500, 6 << 20
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 24
 
@@ -54,8 +56,8 @@ class WordIds:
 
     The tokenizer never joins characters across a blank, so a text's ids are
     those of its stretches between ASCII blanks, one after the other. Nor does
-    it join letters with other marks, so a word keeps its ids whatever ASCII
-    marks follow it; and it lower-cases. Ids of words are kept between batches,
+    it join letters with other marks, so a word of plain letters keeps its ids
+    whatever ASCII marks follow it; and it lower-cases. Ids of words are kept between batches,
     up to a bound.
     """
 
@@ -80,9 +82,10 @@ class WordIds:
     def _learned(self, words: pa.Array, at: pa.Array | None = None) -> np.ndarray:
         new = words.filter(at.is_null() if at is not None else pc.not_equal(words, ""))
         ids, sizes = array("H" if self.kind.itemsize == 2 else "I"), []
-        for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False):
-            ids.extend(e.ids)
-            sizes.append(len(e))
+        for begin in range(0, len(new), 4096):  # encodings are far larger than their ids
+            for e in self.tokenizer.encode_batch_fast(new.slice(begin, 4096).to_pylist(), add_special_tokens=False):
+                ids.extend(e.ids)
+                sizes.append(len(e))
         self.known = pa.concat_arrays([self.known, new])
         self.flat = np.concatenate([self.flat, np.frombuffer(ids, self.kind)])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -95,7 +98,7 @@ class WordIds:
         coded = lists.flatten().dictionary_encode()
         stretch = coded.dictionary
         bare = pc.utf8_rtrim(stretch, characters=string.punctuation)
-        alpha = pc.utf8_is_alpha(bare)
+        alpha = pc.match_substring_regex(bare, LETTERS)
         word = pc.if_else(alpha, bare, stretch)
         word = pc.if_else(pc.and_(alpha, pc.string_is_ascii(word)), pc.ascii_lower(word), word)
         marks = np.where(alpha.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(stretch), pc.binary_length(bare)).to_numpy(zero_copy_only=False), 0)
@@ -175,7 +178,7 @@ def _tokenised(name: str, id_type: pa.DataType):
         names = ["doc", "stat", "key", "n", "ids"]
         frequency = np.zeros(0, np.int64)
         total = 0
-        for docs, texts in _gathered(batches):
+        for docs, texts in _gathered(released(batches)):
             packed, keys, sizes = [], [], []
             for ids in memory.ids(texts):
                 ids = np.concatenate([ids, end])

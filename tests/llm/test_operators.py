@@ -407,3 +407,16 @@ def test_clashing_columns(spark, docs):
 def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).where("hits.n_hit > 0").count() == 0
+
+
+def test_ids_are_the_tokenizers():
+    """Words looked up apart from the marks after them, over odd letters, marks and blanks."""
+    import random
+
+    import pyarrow as pa
+
+    words, draw = packing.word_ids("word_bpe_49k.json"), random.Random(0)
+    pool = ["a", "B", "é", "é", "x́", "H̱", "≠", "İ", "ß", "ﬁ", "1", "²", "Ⅳ", "'s", "'", "’", ",", "—", "<|endoftext|>", "<|STARTOFTEXT|>", " ", "　", "\x85", "\x1c", "\t", "中", "ก็", "!!", "_", "ΑΣ", "ǅ", "‍", "😀", ".", "-", "\n"]
+    texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    for text, got in zip(texts, words.ids(pa.array(texts)), strict=True):
+        assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
