@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import BLANKS, ascii_lower, checkpointed, text_hash
+from limpid.llm.common import BLANKS, ascii_lower, checkpointed, stored, text_hash
 
 #: Stands for a null document id while rows are sorted: it is below all others.
 NO_ID = -(2**63)
@@ -112,6 +112,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = lines.select("doc", "text_key", F.col("line").cast("long").alias("line"), ascii_lower(F.btrim("raw", F.lit(BLANKS))).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "text_key", "line")
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
+    hashed = stored(hashed)  # ranges are cut from a sample, which reads the rows once more than the shuffle
     ranged = hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text_key", "line")
     streamed = checkpointed(ranged.mapInArrow(_streamed(min_docs), _ROWS))
     edge = streamed.where("open")
