@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, payload, released, signed, stored, utf8
+from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, payload, released, signed, stored, text_hash, utf8
 from limpid.llm.components import components
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory, met = WordHashes(), set()
     for batch in released(batches):
         n, keys, prefixes, sketches = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingle_set(payload(text.as_py()), memory)
             key = set_key(s)
             n.append(len(s))
@@ -156,7 +156,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(sketch(s).tobytes() if fresh else None)
             if len(met) < SETS_MET:
                 met.add(key)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc", "n", "set_key", "prefix", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc", "text_key", "n", "set_key", "prefix", "sketch"])
 
 
 def _relisted(light: int, long_lists):
@@ -235,8 +235,8 @@ def set_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc", id_type), T.StructField("n", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    texts = docs.select(F.col(id_col).alias("doc"), utf8(F.col(text_col)).alias("text"))
+    schema = T.StructType([T.StructField("doc", id_type), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    texts = docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("text_key"), utf8(F.col(text_col)).alias("text"))
     sets = stored(texts.mapInArrow(_sets, schema))
     first_lists = sets.select("n", "set_key", "prefix").where("prefix is not null")
     lengths = first_lists.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -352,22 +352,16 @@ def _compared(block: pd.DataFrame, across: bool, likeliest: bool) -> pd.DataFram
 def verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of set keys (a, b) whose sets link, by the texts of one document of each."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    holders = sets.join(keys, "set_key").groupBy("set_key").agg(F.min("doc").alias("doc"))
-    held = docs.select(F.col(id_col).alias("__doc"), utf8(F.col(text_col)).alias("text")).join(few(stored(holders)), F.col("__doc").eqNullSafe(F.col("doc"))).select("set_key", "text")
-    texts = stored(held.mapInArrow(_own_texts, "set_key long, text binary").dropDuplicates(["set_key"]))
+    # The id alone could be missing, or be there with other texts.
+    holders = stored(sets.join(keys, "set_key").groupBy("set_key").agg(F.min(F.struct("doc", "text_key")).alias("at")).select("set_key", "at.doc", "at.text_key"))
+    rows = docs.select(F.col(id_col).alias("__doc"), text_hash(F.col(text_col)).alias("__text_key"), utf8(F.col(text_col)).alias("text"))
+    held = rows.join(few(holders), (F.col("__text_key") == F.col("text_key")) & F.col("__doc").eqNullSafe(F.col("doc")))
+    texts = stored(held.select("set_key", "text").dropDuplicates(["set_key"]))
     left = pairs.join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "text_b", "text_a")
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops texts that share an id with the one that was looked for."""
-    memory = WordHashes()
-    for batch in batches:
-        keep = [k == set_key(shingle_set(payload(t.as_py()), memory)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, n_shingles, set_key, component_id.
 
