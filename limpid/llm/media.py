@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -169,6 +169,7 @@ def _gzip(b: bytes, at: int) -> int | None:
 VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
 
 
+@cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for magic, kind in MAGIC.items():
@@ -191,7 +192,6 @@ def sniff(value: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tup
 _SNIFFED = T.StructType(
     [
         T.StructField("media_type", T.StringType()),
-        T.StructField("corrected", T.BooleanType()),
         T.StructField("candidates", T.LongType()),
         T.StructField("embedded", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("data", T.BinaryType())]))),
     ]
@@ -199,17 +199,14 @@ _SNIFFED = T.StructType(
 
 
 @F.pandas_udf(_SNIFFED)
-def _sniffed(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    automaton = _automaton()
-    for value, declared in values:
-        rows = []
-        for v, d in zip(value, declared, strict=True):
-            b = payload(v)
-            candidates, found = sniff(b, automaton)
-            kind = next((k for k, at, _ in found if at == 0), None)
-            inner = [{"type": k, "start": at, "end": end, "data": b[at:end]} for k, at, end in found if at]
-            rows.append((kind, kind is not None and kind != d, candidates, inner))
-        yield pd.DataFrame(rows, columns=_SNIFFED.names)
+def _sniffed(values: pd.Series) -> pd.DataFrame:
+    rows = []
+    for value in values:
+        b = payload(value)
+        candidates, found = sniff(b, _automaton())
+        kind = next((k for k, at, _ in found if at == 0), None)
+        rows.append((kind, candidates, [{"type": k, "start": at, "end": end, "data": b[at:end]} for k, at, end in found if at]))
+    return pd.DataFrame(rows, columns=_SNIFFED.names)
 
 
 def sniff_media(df: DataFrame, media_col: str, declared_col: str) -> DataFrame:
@@ -221,7 +218,10 @@ def sniff_media(df: DataFrame, media_col: str, declared_col: str) -> DataFrame:
     begins later, nested ones too, with its bytes. A null value is an empty
     one: no type, nothing embedded. Repeated rows get equal results.
     """
-    out = df.withColumn("sniffed", _sniffed(F.col(media_col), F.col(declared_col)))
+    seen = df.withColumn("__sniffed", _sniffed(F.col(media_col)))
+    kind = F.col("__sniffed.media_type")
+    corrected = kind.isNotNull() & ~kind.eqNullSafe(F.col(declared_col))
+    out = seen.withColumn("sniffed", F.struct(kind.alias("media_type"), corrected.alias("corrected"), F.col("__sniffed.candidates").alias("candidates"), F.col("__sniffed.embedded").alias("embedded")))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c != "sniffed"], "sniffed")
 
 
@@ -271,13 +271,15 @@ def media_features(docs: DataFrame, text_col: str = "text", declared_type: str =
     one, the magic numbers seen, the embedded media confirmed, and the sample
     levels. Null and empty texts give 192 blanks. Equal texts give equal values.
     """
-    stored = docs.withColumn("__media", as_samples(F.col(text_col))).withColumn("__declared", F.lit(declared_type))
-    seen = sniff_media(stored, "__media", "__declared").withColumn("__read", _read_samples("__media"))
-    s, r = "sniffed.", "__read."
+    # In one projection, so that one Python worker stores, sniffs and reads back.
+    media = as_samples(F.col(text_col))
+    seen = docs.select("*", _sniffed(media).alias("__sniffed"), _read_samples(media).alias("__read"))
+    s, r = "__sniffed.", "__read."
+    corrected = ~F.col(s + "media_type").eqNullSafe(F.lit(declared_type))
     feature = F.concat_ws(
         ";",
         F.col(s + "media_type"),
-        F.concat(F.lit("corrected="), F.col(s + "corrected").cast("string")),
+        F.concat(F.lit("corrected="), corrected.cast("string")),
         F.concat(F.lit("magic="), F.col(s + "candidates").cast("string")),
         F.concat(F.lit("embedded="), F.array_join(F.transform(s + "embedded", lambda e: F.concat_ws(":", e["type"], e["start"].cast("string"), e["end"].cast("string"))), "+")),
         F.col(r + "levels"),
