@@ -99,6 +99,11 @@ def review_sample(pairs: DataFrame, rid: str, is_changed: Column, seed: str, mos
     return some.unionByName(drawn).limit(cap)
 
 
+def pair_lines(df: DataFrame, rid: str, lhs: str, rhs: str, n: int = 40, seed: str = "42") -> DataFrame:
+    """A sample of two columns as lines of CSV."""
+    return sample(df.select(rid, lhs, rhs), rid, n, seed).select(F.to_csv(F.struct(lhs, rhs)).alias("line"))
+
+
 def page(df: DataFrame, rid: str, start: int, size: int = 100) -> DataFrame:
     """A page of rows by dense row id; a start past the end gives the last page."""
     last = df.agg(F.max(rid).alias("__last"))

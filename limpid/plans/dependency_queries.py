@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.operators import dependencies as fd
+from limpid.operators import sampling
 from limpid.plans.demo import FLAT, FLAT_COLUMNS, made
 
 RID = "o_orderkey"
@@ -50,6 +51,10 @@ def fd_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.context_rows(_flat(spark, sf_dir), RID, LHS, RHS)
 
 
+def fd_pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.pair_lines(_flat(spark, sf_dir), RID, LHS, RHS)
+
+
 def fd_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = fd.enforce(_flat(spark, sf_dir), RID, LHS, RHS)
     return fd.enforce(repaired, RID, "n_regionkey", "r_name").select(RID, "n_name", "r_name")
@@ -89,7 +94,7 @@ _RANKED = f"""
     ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY n DESC, first_rid) AS rank, count(*) OVER (PARTITION BY l) AS kinds FROM pairs)"""
 _CANON = "SELECT l, r FROM (SELECT {a} AS l, {b} AS r, row_number() OVER (PARTITION BY {a} ORDER BY count(*) DESC, {b}) AS k FROM flat WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) WHERE k = 1"
 
-QUERIES = {f.__name__: f for f in (fd_candidates, fd_pair_scores, fd_merge, fd_detect, fd_violations, fd_imputables, fd_conflicts, fd_context, fd_repair)}
+QUERIES = {f.__name__: f for f in (fd_candidates, fd_pair_scores, fd_merge, fd_detect, fd_violations, fd_imputables, fd_conflicts, fd_context, fd_pair_sample, fd_repair)}
 ORACLE = {
     "fd_candidates": f"""{_WITH}, roles AS ({_ROLES})
         SELECT "column", round(repeated_values, 6) AS repeated_values, round(repeated_rows, 6) AS repeated_rows,
@@ -101,6 +106,7 @@ ORACLE = {
     "fd_imputables": f"{_WITH} SELECT * FROM flat WHERE {RHS} IS NULL AND {LHS} IN (SELECT {LHS} FROM flat WHERE {RHS} IS NOT NULL)",
     "fd_conflicts": f"{_WITH}, {_RANKED} SELECT l, string_agg(r || ' (' || n || ')', ', ' ORDER BY rank) AS conflict FROM ranked WHERE kinds > 1 GROUP BY l",
     "fd_context": f"{_WITH}, {_RANKED} SELECT flat.* FROM flat JOIN ranked ON {RID} = first_rid WHERE kinds > 1",
+    "fd_pair_sample": f"{_WITH} SELECT {LHS} || ',' || coalesce({RHS}, '') AS line FROM (SELECT * FROM flat ORDER BY md5('42|' || {RID}), {RID} LIMIT 40)",
     "fd_repair": f"""{_WITH}, a AS ({_CANON.format(a=LHS, b=RHS)}), b AS ({_CANON.format(a="n_regionkey", b="r_name")})
         SELECT {RID}, coalesce(a.r, n_name) AS n_name, coalesce(b.r, r_name) AS r_name
         FROM flat LEFT JOIN a ON {LHS} = a.l LEFT JOIN b ON n_regionkey = b.l""",
