@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns; an address's part before the at-sign as its characters.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -54,9 +56,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, from each at-sign outwards, so that a long run without one is read once."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[Span]:
     """The finds of the rules, by kind and start; failing matches are dropped without a retry."""
-    found = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)] if "@" in text else []
+    found = [("email", s, e) for s, e in emails(text)]
     if not DIGIT.search(text):
         return found
     found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -130,28 +145,37 @@ class Region:
         return inside, weights[-1, 0] + weights[-1, 1] * np.array(self.signs, float)
 
 
-def best_segments(region: Region, weights: np.ndarray) -> list[Span]:
-    """Boundaries and kinds of the highest-scoring segmentation; ties go to fewer entities."""
-    inside, outside = region.scores(weights)
-    ends: dict[int, list[int]] = {}
-    for c, (i, n, _) in enumerate(region.candidates):
-        ends.setdefault(i + n, []).append(c)
-    best, back = [0.0], [-1]
-    for e in range(1, len(region.tokens) + 1):
-        value, choice = best[e - 1] + outside[e - 1], -1
-        for c in ends.get(e, ()):
-            if (v := best[region.candidates[c][0]] + inside[c]) > value:
-                value, choice = v, c
-        best.append(value)
-        back.append(choice)
-    found, e = [], len(region.tokens)
+def best_segments(text: str, tokens: list[tuple[int, int]], weights: np.ndarray, at_once: int = 2000) -> list[Span]:
+    """Boundaries and kinds of the highest-scoring segmentation of a token run; ties go to fewer entities.
+
+    Candidates are scored for ``at_once`` first tokens at a time, so a run of
+    any length takes little memory; the result does not depend on it.
+    """
+    size = len(tokens)
+    best, back = [-np.inf] * (size + 1), [None] * (size + 1)
+    best[0] = 0.0
+    for begin in range(0, size, at_once):
+        region = Region(text, tokens[begin : begin + at_once + LONGEST - 1])
+        inside, outside = region.scores(weights)
+        c = 0
+        for i in range(min(at_once, size - begin)):
+            here = best[begin + i]
+            while c < len(region.candidates) and region.candidates[c][0] == i:
+                n = region.candidates[c][1]
+                if (value := here + inside[c]) > best[begin + i + n]:
+                    best[begin + i + n] = value
+                    back[begin + i + n] = n, region.candidates[c][2], region.tokens[i][0], region.tokens[i + n - 1][1]
+                c += 1
+            if (value := here + outside[i]) >= best[begin + i + 1]:
+                best[begin + i + 1], back[begin + i + 1] = value, None
+    found, e = [], size
     while e:
-        if back[e] < 0:
+        if back[e] is None:
             e -= 1
             continue
-        i, n, k = region.candidates[back[e]]
-        found.append((KINDS[k], region.tokens[i][0], region.tokens[i + n - 1][1]))
-        e = i
+        n, k, start, end = back[e]
+        found.append((KINDS[k], start, end))
+        e -= n
     return found[::-1]
 
 
@@ -271,10 +295,11 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """The rules' finds, and those with the field's additions."""
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
+    begins, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]  # how far the first finds reach
     added = []
     for tokens in regions_of(text):
-        for kind, s, e in best_segments(Region(text, tokens), weights):
-            if not any(s < b and a < e for a, b in taken):
+        for kind, s, e in best_segments(text, tokens, weights):
+            if reach[bisect_left(begins, e)] <= s:
                 added.append((kind, s, e))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted([*base, *added], key=lambda x: (order[x[0]], x[1], x[2]))

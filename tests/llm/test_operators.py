@@ -300,6 +300,38 @@ def test_base_spans():
     assert pii.base_spans("") == []
 
 
+def test_base_spans_are_the_patterns_matches():
+    import random
+
+    # The contract's patterns, as they stand.
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d[::-1])) % 10 == 0
+    draw = random.Random(4)
+    for marks in ("a1@._ ", "12.+ ", "0123456789 -", "+1 ().-", "b@.é\n9"):
+        for _ in range(2000):
+            text = "".join(draw.choice(marks) for _ in range(draw.randint(0, 50)))
+            want = [("email", *m.span()) for m in email.finditer(text)]
+            want += [("ip", *m.span()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+            want += [("card", *m.span()) for m in card.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+            want += [("phone", *m.span()) for m in phone.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+            assert pii.base_spans(text) == want, text
+
+
+def test_personal_data_in_very_long_texts():
+    """Runs without an end are read once, and a long stretch of entities is segmented in pieces, alike."""
+    weights = np.random.default_rng(1).normal(size=(5, len(pii.FEATURES)))
+    for text in ("a" * 2_000_000 + " x@", "1" * 500_000 + ".", "+1" * 300_000):
+        pii.base_spans(text)
+    many = "ask u1@m.example.com or 10.0.0.1 (at) 4111 1111 1111 1111 x +12 345 678 9 " * 300
+    base, spans = pii.all_spans(many, weights)
+    assert len(base) == 300 * 4 and set(base) <= set(spans)
+    tokens = pii.regions_of(many)[0]
+    whole = pii.best_segments(many, tokens, weights, len(tokens))
+    assert all(pii.best_segments(many, tokens, weights, n) == whole for n in (1, 7, 2000))
+
+
 def test_personal_data_is_found_and_base_stays(docs, rows):
     got = {(r["doc_id"], r["text"]): r["found"] for r in pii.find_personal_data(docs).collect()}
     for (_, text), f in got.items():
