@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over the awkward corpus."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -292,6 +293,29 @@ def test_language_of_awkward_texts(docs):
     assert {r["language"]["lang"] for r in predict_language(docs, None).collect()} == {"und"}
 
 
+LANGUAGES = {"aa": ["ka", "ko", "tu"], "bb": ["shi", "ran", "el"], "cc": ["ö", "ßt", "ung"]}
+
+
+def made_up(lang, n, seed):
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choices(LANGUAGES[lang], k=3)) for _ in range(n))
+
+
+def test_language_of_long_and_noisy_texts(spark):
+    known = [(i, made_up(k, 30, f"{k}{i}"), k) for k in LANGUAGES for i in range(40)]
+    model = fit(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    for lang in LANGUAGES:
+        run = made_up(lang, 3000, 1) + " " + noise(60_000)
+        strewn = " ".join(f"{made_up(lang, 8, i)} {noise(8)}" for i in range(10_000))
+        scores = model.scores([run, strewn])
+        assert [model.languages[i] for i in scores.argmax(axis=1)] == [lang, lang]
+        # What is told apart in a text stays told apart when it goes on in the same way.
+        short, long = model.scores([strewn[:20_000], strewn])
+        assert np.abs(short - long).max() < 0.05
+
+
 # ---------------------------------------------------------------- personal data
 def test_base_spans():
     text = "x a.b@c.de 1.2.3.4.5.6.7.8 999.1.1.1. 4111-1111 1111 1111, +12 345 678 9 é z@q"
