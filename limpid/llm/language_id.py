@@ -120,7 +120,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     """
     spark = docs.sparkSession
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.abs(F.xxhash64(text_col) % 1_000_000_007).alias("order"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Distinct texts, for copies of one pass any cut together or not at all.
+    counts = {r["lang"]: r["n"] for r in labelled.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     # Few more texts than are wanted pass this cut of the hashes, so what is stored is bounded.
@@ -129,6 +130,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     orders: dict[str, list[int]] = {}
     for r in few.select("lang", "order").collect():
         orders.setdefault(r["lang"], []).append(r["order"])
+    if not orders:
+        return None
     languages = sorted(orders)
     sampled = {lang: sorted(o)[:sample_per_language] for lang, o in orders.items()}
     first = few.where(_up_to({lang: o[:landmarks_per_language][-1] for lang, o in sampled.items()}))

@@ -316,6 +316,14 @@ def test_language_of_long_and_noisy_texts(spark):
         assert np.abs(short - long).max() < 0.05
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    texts = [(k, made_up(k, 30, 7)) for k in LANGUAGES]
+    copies = spark.createDataFrame(texts, "lang string, text string").crossJoin(spark.range(5000).withColumnRenamed("id", "doc_id"))
+    model = fit(copies)
+    assert model.languages == sorted(LANGUAGES)
+    assert [model.languages[i] for i in model.scores([made_up(k, 30, 8) for k, _ in texts]).argmax(axis=1)] == [k for k, _ in texts]
+
+
 # ---------------------------------------------------------------- personal data
 def test_base_spans():
     text = "x a.b@c.de 1.2.3.4.5.6.7.8 999.1.1.1. 4111-1111 1111 1111, +12 345 678 9 é z@q"
