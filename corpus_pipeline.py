@@ -17,16 +17,18 @@ from limpid.llm.line_dedup import dedup_lines
 from limpid.llm.ngram_join import one_of_each
 from limpid.llm.packing import pack_documents
 
-#: Documents whose language is less sure than this are rejected: no better than a guess among four.
-LEAST_SCORE = 0.3
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that resemble no language."""
+    """Rejects documents without a letter, the only ones that no language is told for.
+
+    Scores reject none: they depend on how many languages were learned. Where
+    none could be learned, every document with a letter stays.
+    """
     small_batches(spark)
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    told = predict_language(docs, model)
-    return told.where((F.col("language.lang") != "und") & (F.col("language.score") >= LEAST_SCORE)).select(docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return predict_language(docs, model).where(F.col("language.lang") != "und").select(docs.columns)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

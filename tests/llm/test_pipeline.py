@@ -1,5 +1,9 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from limpid.llm.common import stored
 from tests.llm.corpus import documents, prose
@@ -39,3 +43,15 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 10
+
+
+def test_language_stage_keeps_what_has_a_letter(spark, tmp_path):
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=50_000)), "Ж", "12 a", "ʰ", *(" ".join(prose(i, 40)) for i in range(30))]
+    # Six languages with the same words, so that no score stands out.
+    rows = [(i, t, f"l{i % 6}") for i, t in enumerate(texts)] + [(100, "7 8 !", "l0"), (101, "", "l1"), (102, None, "l2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for given in (docs, docs.withColumn("lang", F.lit(None).cast("string")), docs.limit(0)):
+        kept = corpus_pipeline.known_language(spark, given, str(tmp_path))
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in given.collect() if r["doc_id"] < 100)
