@@ -11,12 +11,14 @@ def event_stream(spark: SparkSession, folder: str, like: DataFrame, files_at_onc
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def windowed_profile(events: DataFrame, time: str, key: str, value: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def windowed_profile(events: DataFrame, time: str, key: str, value: str, window: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
     """Counts, missing values and moments of a column by key and tumbling window; later events than ``late`` drop out.
 
-    The same expression serves a batch table. Times without a zone are read in the session's.
+    With ``late`` None no event is too late, and all windows stay open: for a
+    stream over a finished table, whose files come in any order. The same expression serves a batch table. Times without a zone are read in the session's.
     """
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return (timed if late is None else timed.withWatermark(time, late)).groupBy(F.window(time, window).alias("w"), key).agg(
         F.count("*").alias("rows"), F.count_if(F.col(value).isNull()).alias("missing"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total"),
     ).select(F.col("w.start").alias("start"), key, "rows", "missing", "low", "high", "total")
 

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the small tables."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -43,3 +45,18 @@ def test_registered(spark):
     names = registered.queries()
     assert set(registry.QUERIES) <= set(names) and set(registered.oracle_sql()) <= set(names)
     assert registered.entry(spark).columns == ["lhs", "rhs", "score", "violations", "imputables"]
+
+
+def test_stream_profile_of_files_out_of_order(spark, tmp_path):
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    events = pd.read_parquet(f"{FOLDER}/events.parquet").sort_values("ts")
+    step = -(-len(events) // 5)
+    for i, part in enumerate([events[b : b + step] for b in range(0, len(events), step)][::-1]):  # the latest events arrive first
+        part.to_parquet(folder / f"part-{i}.parquet", coerce_timestamps="us", index=False)
+        os.utime(folder / f"part-{i}.parquet", (10**9 + i, 10**9 + i))
+    got = registry.QUERIES["stream_profile"](spark, str(tmp_path))
+    want = duckdb.sql(registry.ORACLE["stream_profile"].replace("FROM events", f"FROM read_parquet('{folder}/*.parquet')"))
+    rows = lambda found: sorted(tuple(shown(r[i]) for i in order) for r in found)
+    order = range(len(want.columns))
+    assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
