@@ -38,8 +38,6 @@ LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ӿ]+$"
 WORDS_KEPT = 700_000
 #: Texts, and bytes of them, that are looked up at once.
 AT_ONCE, BYTES_AT_ONCE = 1500, 6 << 20
-#: Terms of a seed that are looked up.
-QUERY_TERMS = 24
 
 
 def tokenizer_file(name: str) -> str:
@@ -277,17 +275,46 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.items, self.weights = of[order], weight[order]
         self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.held = np.arange(self.n)  # the items that postings count through: all at first
+        # Terms of more than a sixteenth of the items: rows of a weight an item add up faster than postings, of which they take at most twice the room.
+        self.common: dict[int, np.ndarray] = {}
+        of_term = np.diff(self.begins)
+        often = np.argsort(-of_term, kind="stable")[: 2 * len(term) // max(self.n, 1)]
+        for t in often[16 * of_term[often] > self.n]:
+            a, b = self.begins[t], self.begins[t + 1]
+            self.common[int(t)] = row = np.zeros(self.n)
+            row[self.items[a:b]] = self.weights[a:b]
+
+    def _drop_used(self, unused: np.ndarray) -> None:
+        """Takes used items out of the index; ``unused`` has a flag for each that is held."""
+        keep = unused[self.items]
+        self.begins = np.r_[0, np.cumsum(keep)][self.begins]
+        self.items, self.weights = (np.cumsum(unused) - 1)[self.items[keep]], self.weights[keep]
+        self.common = {t: row[unused] for t, row in self.common.items()}
+        self.held = self.held[unused]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each held item for all distinct terms of a seed."""
+        scores, items, weights = np.zeros(len(self.held)), [], []
+        common, begins = self.common, self.begins
+        terms = self.terms[seed]
+        for t, a, b in zip(terms.tolist(), begins[terms].tolist(), begins[terms.astype(np.int64) + 1].tolist(), strict=True):
+            if t in common:
+                scores += common[t]
+            elif a < b:
+                items.append(self.items[a:b])
+                weights.append(self.weights[a:b])
+        if items:
+            scores += np.bincount(np.concatenate(items), np.concatenate(weights), len(scores))
+        return scores
 
     def neighbours(self, seed: int, left: np.ndarray) -> Iterator[int]:
-        """Unused items by falling score, those with the same score in order."""
-        terms = self.terms[seed]
-        rare = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        scores = np.zeros(self.n)
-        for t in rare:
-            a, b = self.begins[t], self.begins[int(t) + 1]
-            scores[self.items[a:b]] += self.weights[a:b]
-        unused = np.flatnonzero(left)
-        values = scores[unused]
+        """Unused items by falling score, those with the same score in order; ``left`` only ever loses items."""
+        flags = left[self.held]
+        if 4 * np.count_nonzero(flags) < 3 * len(flags):
+            self._drop_used(flags)
+            flags = np.ones(len(self.held), bool)
+        unused, values = self.held[flags], self.scores(seed)[flags]
         if len(unused) > 64:  # most windows take a few
             some = np.argpartition(-values, 64)[:64]
             yield from unused[some[np.lexsort((some, -values[some]))]]

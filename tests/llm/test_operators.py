@@ -441,6 +441,32 @@ def test_neighbours_are_lexical():
     assert next(iter(index.neighbours(1, np.array([True, False, True, True])))) == 3
 
 
+def test_all_terms_of_a_seed_count():
+    # Thirty ids that no other item has are rarer than the ids that tell the neighbour.
+    idf = np.r_[np.ones(20), np.full(80, 9.0)]
+    index = packing.Index([np.r_[1:9, 30:60], np.array([17, 18]), np.array([19]), np.array([1, 2, 3, 4])], idf)
+    assert next(iter(index.neighbours(0, np.array([False, True, True, True])))) == 3
+
+
+def test_neighbours_are_those_of_brute_force():
+    draw = np.random.default_rng(6)
+    items = [draw.zipf(1.3, int(draw.integers(1, 200))) % 300 for _ in range(150)]
+    holders = np.bincount(np.concatenate([np.unique(x) for x in items]), minlength=300)
+    idf = np.log(1 + (len(items) - holders + 0.5) / (holders + 0.5))
+    mean = np.mean([len(x) for x in items])
+    index, left = packing.Index(items, idf), np.ones(len(items), bool)
+    for seed in draw.permutation(len(items)):
+        left[seed] = False
+        want = np.zeros(len(items))
+        for i, x in enumerate(items):
+            for t in np.intersect1d(items[seed], x):
+                tf = np.count_nonzero(x == t)
+                want[i] += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+        got = list(dict.fromkeys(index.neighbours(int(seed), left)))  # the first are given twice
+        assert sorted(got) == np.flatnonzero(left).tolist()
+        assert np.all(np.diff(want[got]) < 1e-9)
+
+
 # ---------------------------------------------------------------- for all
 def _each(docs, spark):
     bench = spark.createDataFrame([(1, "some words of a benchmark item")], "item_id long, text string")
