@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,28 +23,38 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORDS_KEPT = 200_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in local tests.
+    Where the session names none, a local session gets a temporary folder; on
+    a cluster, whose machines share no such folder, that is an error.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="limpid-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="limpid-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and read back.
+    """``df`` written as Parquet to the shared folder and read back.
 
     For tables too large for row checkpoints. Like checkpoint files, what is
     written stays in that folder until its owner clears it.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{(shared or tempfile.mkdtemp(prefix='limpid-')).rstrip('/')}/limpid-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/limpid-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,9 +63,30 @@ def stored(df: DataFrame) -> DataFrame:
 FEW_ROWS = 250_000
 
 
-def few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     """A stored table marked for broadcast if its count says that it is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def named(name: str) -> Column:
+    """A column by its name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to clash with no column of ``df``, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def given(df: DataFrame, added: str) -> list[Column]:
+    """All columns of ``df`` but one that has the name of the column to be added, in any case."""
+    return [named(c) for c in df.columns if c.lower() != added.lower()]
 
 
 def text_hash(column: Column) -> Column:
@@ -62,6 +94,11 @@ def text_hash(column: Column) -> Column:
     return F.xxhash64(column, column.isNull())
 
 
+def text_hashes(column: Column) -> tuple[Column, Column]:
+    """128 bits in two halves that tell texts apart, null from empty too."""
+    return text_hash(column), F.xxhash64(F.lit("second"), column)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)

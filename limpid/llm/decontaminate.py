@@ -1,31 +1,41 @@
 """Benchmark decontamination: a prefix-filtered set join with exact verification.
 
-An item's windows of 13 words are the sets to find. All of a window's words
-must occur, so with words ordered from rare to common (document frequencies
-over the whole corpus) the necessary prefix is one word, the window's rarest.
-Documents are joined with windows on that word; the word's offset in the
-window fixes the only possible alignment, which must lie inside the document,
-and there the words are compared one by one.
+An item's windows of 13 words are the sets to find, and their shingles of three
+words the elements. A document holds a window only if it holds all of its
+shingles, so with shingles ordered from rare to common (document frequencies
+over the whole corpus) the necessary prefix is one shingle, the rarest. The
+corpus is read once to count the benchmark's shingles and once more for the
+places of prefix shingles; Spark joins these with the windows. The shingle's
+offset in the window fixes the only possible alignment, which must lie inside
+the document; there the words are compared one by one.
+
+Both readings look shingles up in a bitmap of bounded size, which may pass some
+that the benchmark does not hold, never lose one; the joins settle which. So
+the number of readings and what executors hold do not depend on the size of
+the benchmark.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import covered, payload, utf8
+from limpid.llm.common import WordHashes, covered, few, given, gram_hashes, named, payload, private, signed, stored, text_hashes, utf8
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+#: The same words for Spark's expressions, case aside.
+WORD_RUN, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^a]+"
+#: Shingles counted before a task hands its counts on.
+COUNTS_HELD = 1 << 20
+#: Windows, a line of text each, that may be broadcast.
+FEW_WINDOWS = 50_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -33,100 +43,181 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has; null has none. Runs become one letter each, so no list of words is made."""
+    return F.coalesce(F.char_length(F.regexp_replace(F.regexp_replace(text.cast("string"), WORD_RUN, "a"), BETWEEN, "")), F.lit(0)).cast("long")
+
+
+def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, distinct from those of other sizes."""
+    return gram_hashes(hashes, size) ^ np.uint64(size)
+
+
 def _windows(size: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(payload(text))
-                found = dict.fromkeys(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else {}
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(list(found), pa.binary())], names=["item", "window"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(payload(text.as_py()))
+                found = dict.fromkeys(b" ".join(words[i : i + size]).decode() for i in range(max(1, len(words) - size + 1))) if words else {}
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(list(found), pa.string())], names=["item", "window"])
 
     return windows
 
 
-def _document_counts(vocabulary):
+def _listed(shingle: int):
+    """Each window's shingles and their first places; a window of fewer words is one shingle."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
+        for batch in batches:
+            rows = []
+            for window in batch.column(0).to_pylist():
+                words = window.encode().split()
+                size = min(shingle, len(words))
+                values, first = np.unique(shingles_of(memory.of(words), size), return_index=True)
+                rows += [(window, len(words), size, v, at) for v, at in zip(signed(values).tolist(), first.tolist(), strict=True)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["window", "words", "size", "shingle", "offset"])
+
+    return listed
+
+
+class Bitmap:
+    """A set of 64-bit hashes as two bits each: it may hold more than was put in, never less."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for x in (hashes & self.mask, (hashes >> np.uint64(32)) & self.mask):
+            found &= (self.bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return found
+
+
+def bitmap_of(hashes: DataFrame, column: str, most_bits: int) -> Bitmap:
+    """A bitmap of a column, of 1024 bits a value but at most ``most_bits`` in all, in pieces of 4 KB that executors fill."""
+    wanted = 1024 * max(1, hashes.select(column).distinct().count())
+    bits = 1 << min(max(15, (wanted - 1).bit_length()), max(15, (most_bits - 1).bit_length()))
+    places = [x.bitwiseAND(F.lit(bits - 1)) + 1 for x in (F.col(column), F.shiftrightunsigned(column, 32))]
+    placed = hashes.select(F.explode(F.array(*places)).alias("place"))
+    pieces = placed.groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces.collect():
+        out[(r["piece"] - 1) * 4096 :][:4096] = np.frombuffer(r["bits"], np.uint8)[: len(out)]
+    return Bitmap(out)
+
+
+def _document_counts(shared, sizes: list[int]):
+    """How many documents hold each shingle that the bitmap passes, summed up within a task."""
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = vocabulary.value, Counter()
+        memory, bitmap, held, n = WordHashes(), shared.value, [], 0
+
+        def summed() -> pa.RecordBatch:
+            values, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(times)], names=["shingle", "n"])
+
         for batch in batches:
             for text in batch.column(0):
-                seen.update(known.intersection(words_of(payload(text.as_py()))))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                hashes = memory.of(words_of(payload(text.as_py())))
+                for size in sizes:
+                    x = shingles_of(hashes, size)
+                    held.append(np.unique(x[bitmap.holds(x)]))
+                    n += len(held[-1])
+            if n >= COUNTS_HELD:
+                yield summed()
+                held, n = [], 0
+        yield summed()
 
     return counts
 
 
-def _matcher(index):
-    @F.pandas_udf(_HITS)
-    def match(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        by_word = index.value
-        rare = by_word.keys()
-        for series in texts:
-            rows = []
-            for text in series:
-                words = words_of(payload(text))
-                if rare.isdisjoint(words):
-                    rows.append((len(words), b"", []))
-                    continue
-                starts, ends, items = [], [], set()
-                for at, word in enumerate(words):
-                    for offset, window, names in by_word.get(word, ()):
-                        begin, end = at - offset, at - offset + len(window)
-                        if begin >= 0 and end <= len(words) and words[begin:end] == window:
-                            starts.append(begin)
-                            ends.append(end)
-                            items.update(names)
-                hit = covered(np.array(starts, np.int64), np.array(ends, np.int64), len(words)) if starts else None
-                rows.append((len(words), b"" if hit is None else zlib.compress(np.packbits(hit).tobytes()), list(items)))
-            yield pd.DataFrame(rows, columns=_HITS.names)
-
-    return match
+def _places(shared, sizes: list[int], window: int, shingle: int):
+    """Where a document's shingles pass the bitmap, and the words around that a window could cover.
 
+    A shingle of fewer words than ``shingle`` is a whole window, so nothing around it counts.
+    """
 
-@F.pandas_udf(T.LongType())
-def _hit_words(maps: pd.Series) -> pd.Series:
-    def one(blocks) -> int:
-        bits = [np.frombuffer(zlib.decompress(x), np.uint8) for x in blocks if x]
-        return int(np.bitwise_count(np.bitwise_or.reduce(bits)).sum()) if bits else 0
-
-    return maps.map(one).astype("int64")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, bitmap = WordHashes(), shared.value
+        names = ["t1", "t2", "shingle", "place", "before", "around"]
+        for batch in batches:
+            cols = [[] for _ in names]
+            for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = words_of(payload(text.as_py()))
+                hashes = memory.of(words)
+                for size in sizes:
+                    x = shingles_of(hashes, size)
+                    reach = window - size if size == shingle else 0
+                    for at in np.flatnonzero(bitmap.holds(x)).tolist():
+                        begin = max(0, at - reach)
+                        row = (t1, t2, signed(x[at : at + 1])[0], at, at - begin, [w.decode() for w in words[begin : at + size + reach]])
+                        for col, value in zip(cols, row, strict=True):
+                            col.append(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return places
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_windows: int = 200_000) -> DataFrame:
-    """``docs`` with all its columns and a struct ``hits``: n_words, n_hit, items (sorted), contaminated.
+@F.pandas_udf(T.LongType())
+def _covered_words(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([int(covered(np.asarray(s, np.int64), np.asarray(e, np.int64), int(max(e))).sum()) for s, e in zip(starts, ends, strict=True)], dtype="int64")
+
+
+def prefixes_of(windows: DataFrame, texts: DataFrame, shingle: int, most_bits: int) -> DataFrame:
+    """``window, words, size, shingle, offset``: each window's rarest shingle, of the windows all of whose shingles occur in the corpus."""
+    spark = texts.sparkSession
+    table = stored(windows.mapInArrow(_listed(shingle), "window string, words int, size int, shingle long, offset int"))
+    sizes = [r["size"] for r in table.select("size").distinct().collect()]  # at most as many as ``shingle`` says
+    shared = spark.sparkContext.broadcast(bitmap_of(table, "shingle", most_bits))
+    counted = texts.select("text").mapInArrow(_document_counts(shared, sizes), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    ranked = table.join(counted, "shingle", "left").groupBy("window", "words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("p"))
+    return stored(ranked.where("p.n > 0").select("window", "words", "size", "p.shingle", "p.offset"))
+
+
+def occurrences(texts: DataFrame, prefixes: DataFrame, window: int, shingle: int, most_bits: int) -> DataFrame:
+    """``t1, t2, start, end, window``: where the windows occur in the texts that have these hashes."""
+    spark = texts.sparkSession
+    sizes = [r["size"] for r in prefixes.select("size").distinct().collect()]
+    shared = spark.sparkContext.broadcast(bitmap_of(prefixes, "shingle", most_bits))
+    found = texts.mapInArrow(_places(shared, sizes, window, shingle), "t1 long, t2 long, shingle long, place int, before int, around array<string>")
+    candidates = found.join(few(prefixes, FEW_WINDOWS), "shingle")
+    begin = F.col("before") - F.col("offset")
+    inside = (begin >= 0) & (begin + F.col("words") <= F.size("around"))  # the window lies inside the document
+    same = F.array_join(F.slice("around", begin + 1, F.col("words")), " ") == F.col("window")
+    start = F.col("place") - F.col("offset")
+    return candidates.where(F.when(inside, same).otherwise(False)).select("t1", "t2", start.alias("start"), (start + F.col("words")).alias("end"), "window")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, shingle: int = 3, most_bits: int = 1 << 27) -> DataFrame:
+    """``docs`` with a struct ``hits``: n_words, n_hit, items (sorted), contaminated.
 
     A document word inside any occurrence of a window (``window`` consecutive
     item words; an item with fewer, but some, is one window) is hit. A
     document is contaminated when it has a hit and ``share`` times its hits
-    are at least its words. Items are taken in blocks of about
-    ``block_windows`` windows, so what is sent to the executors stays bounded
-    however large the benchmark is; each block is one more pass.
-
-    Each row of ``docs`` is judged on its own: repeated rows get equal
-    results. Null texts have no words and no hits; null or wordless items have
-    no windows. An item with a null id still hits words, but is not listed.
+    are at least its words. ``shingle`` is the words of the elements that the
+    join works on, ``most_bits`` the size of the bitmap that goes to the
+    executors (16 MB by default): both change what the job costs, never what
+    it finds.
+
+    Each row of ``docs`` comes back with its columns (but a column ``hits``,
+    in any case, is replaced) and is judged on its own: repeated rows get
+    equal results. Null and empty texts have no words and no hits; null or
+    wordless items have no windows. An item with a null id still hits words,
+    but is not listed.
     """
-    spark = docs.sparkSession
-    found = benchmark.select(F.col(item_id).cast("string").alias("item"), utf8(F.col(item_text)).alias("text")).mapInArrow(_windows(window), "item string, window binary")
-    windows = found.groupBy("window").agg(F.collect_set("item").alias("items"))
-    blocks = max(1, -(-windows.count() // block_windows))
-    out, parts = docs, []
-    for block in range(blocks):
-        table = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
-        split = [(bytes(r["window"]).split(), r["items"]) for r in table]
-        vocabulary = spark.sparkContext.broadcast(frozenset(w for words, _ in split for w in words))
-        counted = docs.select(utf8(F.col(text_col)).alias("text")).mapInArrow(_document_counts(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        rarity = {bytes(r["word"]): r["n"] for r in counted.collect()}
-        index = defaultdict(list)
-        for words, items in split:
-            rarest = min(words, key=lambda w: (rarity.get(w, 0), w))
-            if rarest in rarity:  # else no document can hold the window
-                index[rarest].append((words.index(rarest), words, items))
-        part = f"__hits{block}"
-        out = out.withColumn(part, _matcher(spark.sparkContext.broadcast(dict(index)))(utf8(F.col(text_col))))
-        parts.append(part)
-    n_hit = _hit_words(F.array(*[F.col(f"{p}.hits") for p in parts]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    n_words = F.col(f"{parts[0]}.n_words")
-    out = out.withColumn("__n_hit", n_hit)
-    hits = F.struct(n_words.alias("n_words"), F.col("__n_hit").alias("n_hit"), items.alias("items"), ((F.col("__n_hit") > 0) & (F.col("__n_hit") * share >= n_words)).alias("contaminated"))
-    return out.withColumn("hits", hits).select(*[F.col(f"`{c}`") for c in docs.columns if c != "hits"], "hits")
+    t1, t2 = text_hashes(named(text_col))
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), utf8(named(text_col)).alias("text"))
+    holders = stored(benchmark.select(named(item_id).cast("string").alias("item"), utf8(named(item_text)).alias("text")).mapInArrow(_windows(window), "item string, window string").distinct())
+    prefixes = prefixes_of(holders.select("window").distinct(), texts, min(shingle, window), most_bits)
+    found = stored(occurrences(texts, prefixes, window, min(shingle, window), most_bits).distinct())
+    spans = found.select("t1", "t2", "start", "end").distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    items = found.select("t1", "t2", "window").distinct().join(holders, "window").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    by_text = few(stored(spans.select("t1", "t2", _covered_words("s.start", "s.end").alias("n_hit")).join(items, ["t1", "t2"])))
+    a, b, c, d, e, f = private(docs, "t1", "t2", "t1_hit", "t2_hit", "n_hit", "items")
+    joined = docs.withColumns({a: t1, b: t2}).join(by_text.toDF(c, d, e, f), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    n_words, n_hit = word_count(named(text_col)), F.coalesce(F.col(e), F.lit(0)).cast("long")
+    hits = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce(F.col(f), F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"))
+    return joined.select(*given(docs, "hits"), hits.alias("hits"))

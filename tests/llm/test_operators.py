@@ -188,11 +188,12 @@ def brute_hits(rows, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_decontaminate(spark, docs, rows, block):
+@pytest.mark.parametrize(("shingle", "bits"), [(3, 1 << 27), (1, 64), (5, 64), (13, 1 << 20)])
+def test_decontaminate(spark, docs, rows, shingle, bits):
+    """Any shingle and any bitmap find the same; a small bitmap passes most places, and the joins settle them."""
     items = [(1, " ".join(prose(99, 50))[:120]), (2, "One, two!"), (10, " ".join(prose(201, 20))), (3, None), (4, "?!"), (None, " ".join(prose(200, 15)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(docs, bench, block_windows=block).select("doc_id", "hits.n_words", "hits.n_hit", F.array_join("hits.items", ","), "hits.contaminated").collect()
+    got = decontaminate(docs, bench, shingle=shingle, most_bits=bits).select("doc_id", "hits.n_words", "hits.n_hit", F.array_join("hits.items", ","), "hits.contaminated").collect()
     assert sum(r["n_hit"] for r in got) > 20
     same(got, brute_hits(rows, items))
 
