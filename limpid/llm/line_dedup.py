@@ -23,29 +23,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import BLANKS, ascii_lower, checkpointed, stored, text_hash
+from limpid.llm.common import BLANKS, ascii_lower, checkpointed, given, named, private, stored, text_hash
 
 #: Stands for a null document id while rows are sorted: it is below all others.
 NO_ID = -(2**63)
-_ROWS = T.StructType([T.StructField("open", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("h1", "h2", "doc", "text_key", "line")])
+_COLUMNS = ("h1", "h2", "doc", "text_key", "line", "n_lines")
+_ROWS = T.StructType([T.StructField("open", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in _COLUMNS])
 
 
 def _streamed(min_docs: int):
-    """The pass over one sorted range: rows to drop, and rows whose run may reach into other ranges."""
+    """The pass over one sorted range: rows to drop, and rows whose run may reach into other ranges.
+
+    Rows that are there again, from repeated rows of the table, count once.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("h1", "h2", "doc", "text_key", "line")
-        held = np.empty((5, 0), np.int64)  # of the current run: the rows of its first min_docs documents
-        held_at = np.empty(0, np.int64)  # and which document of the run each is in
-        key, last_doc, docs, first = None, None, 0, True
+        held: list[np.ndarray] = []  # of the current run: the rows of its first min_docs documents
+        held_at: list[np.ndarray] = []  # and which document of the run each is in
+        key, last_row, last_doc, docs, first = None, None, None, 0, True
 
         def out(rows: np.ndarray, is_open: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], is_open))] + [pa.array(x) for x in rows], names=["open", *names])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], is_open))] + [pa.array(x) for x in rows], names=["open", *_COLUMNS])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names])
+            rows = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in _COLUMNS])
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            fresh[0] = last_row is None or (rows[:, 0] != last_row).any()
+            last_row = rows[:, -1].copy()
+            rows = rows[:, fresh]
+            if not rows.shape[1]:
+                continue
             h1, h2, doc = rows[0], rows[1], rows[2]
             new_run = np.ones(len(h1), bool)
             new_run[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -69,16 +79,17 @@ def _streamed(min_docs: int):
             yield out(rows[:, ~in_first & (at > 1) & (total[run] >= min_docs)], False)
             goes_on = not new_run[0]
             if goes_on and not first and docs < min_docs <= total[0]:
-                yield out(held[:, held_at > 1], False)
+                yield from (out(x[:, n > 1], False) for x, n in zip(held, held_at, strict=True))
             last = run == run[-1]
             if run[-1] > 0:
-                held, held_at = np.empty((5, 0), np.int64), np.empty(0, np.int64)
+                held, held_at = [], []
                 first = first and key is None and run[-1] == 1
             keep = last & (at <= min_docs)
-            held, held_at = np.concatenate([held, rows[:, keep]], axis=1), np.concatenate([held_at, at[keep]])
+            held.append(rows[:, keep])
+            held_at.append(at[keep])
             key, last_doc, docs = (h1[-1], h2[-1]), doc[-1], int(total[run[-1]])
-        if held.shape[1] and not first:
-            yield out(held, True)
+        if not first:
+            yield from (out(x, True) for x in held)
 
     return stream
 
@@ -100,17 +111,19 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lower-cased. Keys of at least ``min_chars`` code points that are found
     under at least ``min_docs`` ids lose all their lines except under the
     largest id. ``id_col`` holds integers; a null id ranks below all others
-    and all rows without an id count as one document for that purpose. Rows
-    with the same id and text count once and get the same bitmap. A null or
-    empty text is one empty line. ``keep_bitmap`` is the zlib-compressed
-    packed bits of the lines, first line first, 1 for keep.
+    (``doc`` is then ``NO_ID``) and all rows without an id count as one
+    document for that purpose. ``text_key`` is the text's hash. Rows with the
+    same id and text count once and have one row here. A null or empty text is
+    one empty line. ``keep_bitmap`` is the zlib-compressed packed bits of the
+    lines, first line first, 1 for keep.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    lines = docs.select(doc.alias("doc"), text_hash(F.col(text_col)).alias("text_key"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "raw"))
-    keys = lines.select("doc", "text_key", F.col("line").cast("long").alias("line"), ascii_lower(F.btrim("raw", F.lit(BLANKS))).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "text_key", "line")
+    doc = F.coalesce(named(id_col).cast("long"), F.lit(NO_ID))
+    split = docs.select(doc.alias("doc"), text_hash(named(text_col)).alias("text_key"), F.split(F.coalesce(named(text_col), F.lit("")), "\n").alias("lines"))
+    lines = split.select("doc", "text_key", F.size("lines").cast("long").alias("n_lines"), F.posexplode("lines").alias("line", "raw"))
+    keys = lines.select("doc", "text_key", F.col("line").cast("long").alias("line"), "n_lines", ascii_lower(F.btrim("raw", F.lit(BLANKS))).alias("key")).where(F.char_length("key") >= min_chars)
+    hashed = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "text_key", "line", "n_lines")
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
     hashed = stored(hashed)  # ranges are cut from a sample, which reads the rows once more than the shuffle
     ranged = hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text_key", "line")
@@ -119,11 +132,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     totals = edge.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs)
     # Only the first and the last run of a range are open, so there are at most two keys a range to send.
     settled = edge.join(F.broadcast(totals), ["h1", "h2"]).where("doc <> keeper")
-    drops = streamed.where("not open").select("doc", "text_key", "line").unionByName(settled.select("doc", "text_key", "line"))
-    return drops.groupBy("doc", "text_key").agg(F.collect_set("line").alias("dropped")).withColumn("n_dropped", F.size("dropped").cast("long"))
+    drops = streamed.where("not open").unionByName(settled.select(streamed.columns))
+    gathered = drops.groupBy("doc", "text_key", "n_lines").agg(F.collect_set("line").alias("dropped"))
+    return gathered.select("doc", "text_key", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), _bitmap("n_lines", "dropped").alias("keep_bitmap"))
 
 
-_KEPT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("keep_bitmap", T.BinaryType())])
+_KEPT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())])
 
 
 @F.pandas_udf(_KEPT)
@@ -137,21 +151,23 @@ def _kept(text: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
         else:
             lines_kept = lines
         kept = "\n".join(lines_kept)
-        rows.append((len(lines), kept, hashlib.sha256(kept.encode()).hexdigest(), bits))
+        rows.append((len(lines), kept, hashlib.sha256(kept.encode()).hexdigest()))
     return pd.DataFrame(rows, columns=_KEPT.names)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with all its columns and a struct ``lines``: n_lines, n_dropped, kept, kept_sha256, keep_bitmap.
+    """``docs`` with a struct ``lines``: n_lines, n_dropped, kept, kept_sha256, keep_bitmap.
 
-    Each row of ``docs`` comes back once, repeated rows too. See
-    :func:`keep_bitmaps` for the rule; ``keep_bitmap`` is null where all lines
-    stay. An empty table gives an empty one.
+    Each row of ``docs`` comes back once with its columns, repeated rows too;
+    a column ``lines``, in any case, is replaced. See :func:`keep_bitmaps` for
+    the rule; ``keep_bitmap`` is null where all lines stay. An empty table
+    gives an empty one.
     """
-    found = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), F.col("n_dropped").alias("__n_dropped"), F.col("dropped").alias("__dropped"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": text_hash(F.col(text_col))})
-    joined = keyed.join(found, (F.col("__id") == F.col("__doc")) & (F.col("__key") == F.col("__text_key")), "left")
-    n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    kept = _kept(F.col(text_col), F.when(F.col("__dropped").isNotNull(), _bitmap(n_lines, F.coalesce("__dropped", F.array().cast("array<long>")))))
-    lines = F.struct(F.col("__kept.n_lines").alias("n_lines"), F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.col("__kept.kept").alias("kept"), F.col("__kept.kept_sha256").alias("kept_sha256"), F.col("__kept.keep_bitmap").alias("keep_bitmap"))
-    return joined.withColumn("__kept", kept).withColumn("lines", lines).select(*[F.col(f"`{c}`") for c in docs.columns if c != "lines"], "lines")
+    a, b, doc, key, total, dropped, bitmap, kept = private(docs, "own_doc", "own_key", "doc", "text_key", "n_lines", "n_dropped", "keep_bitmap", "kept")
+    found = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs).toDF(doc, key, total, dropped, bitmap)
+    keyed = docs.withColumns({a: F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)), b: text_hash(named(text_col))})
+    joined = keyed.join(found, (F.col(a) == F.col(doc)) & (F.col(b) == F.col(key)), "left")
+    out = joined.withColumn(kept, _kept(named(text_col), F.col(bitmap)))
+    k = F.col(kept)
+    lines = F.struct(k["n_lines"].alias("n_lines"), F.coalesce(F.col(dropped), F.lit(0)).cast("long").alias("n_dropped"), k["kept"].alias("kept"), k["kept_sha256"].alias("kept_sha256"), F.col(bitmap).alias("keep_bitmap"))
+    return out.select(*given(docs, "lines"), lines.alias("lines"))

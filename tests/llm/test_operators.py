@@ -14,7 +14,8 @@ from limpid.llm import media, packing, pii, quality, sharding
 from limpid.llm.components import components
 from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
-from limpid.llm.line_dedup import dedup_lines
+from limpid.llm.common import text_hash
+from limpid.llm.line_dedup import NO_ID, dedup_lines, keep_bitmaps
 from limpid.llm.media import media_features, sniff, sniff_media
 from limpid.llm.ngram_join import light_boundary, near_duplicates, one_of_each
 from limpid.llm.packing import pack_documents
@@ -95,11 +96,26 @@ def test_lines(docs, rows):
     same(got, brute_lines(rows))
 
 
+def test_bitmaps_are_of_the_lines(docs, rows):
+    """What comes back for a document that loses lines is a bitmap of its lines; no text."""
+    bitmaps = keep_bitmaps(docs)
+    assert bitmaps.columns == ["doc", "text_key", "n_lines", "n_dropped", "keep_bitmap"]
+    keys = {r["k"]: r["text"] for r in docs.select("text", text_hash(F.col("text")).alias("k")).collect()}
+    got = []
+    for r in bitmaps.collect():
+        keep = np.unpackbits(np.frombuffer(zlib.decompress(r["keep_bitmap"]), np.uint8))[: r["n_lines"]]
+        lines = keys[r["text_key"]].split("\n")
+        got.append((None if r["doc"] == NO_ID else r["doc"], len(lines), r["n_dropped"], sha("\n".join(x for x, k in zip(lines, keep, strict=True) if k))))
+        assert len(lines) == r["n_lines"] and r["n_dropped"] == r["n_lines"] - keep.sum()
+    same(got, {x for x in brute_lines(rows) if x[2]})
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_lines_across_ranges(spark, seed):
     """Few keys over many partitions: runs cross the edges of ranges, and one line is everywhere."""
     rng = np.random.default_rng(seed)
     made = [(int(d), "\n".join(["x" * int(rng.integers(1, 6)) for _ in range(int(rng.integers(0, 5)))] + ["always here"])) for d in rng.permutation(60)]
+    made += [made[0]] * 50  # rows that are there again
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
