@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limpid.llm.common import given, named
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns; an address's part before the at-sign as its characters.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -271,23 +273,39 @@ def rewritten(text: str, spans: list[Span], draw: random.Random) -> tuple[str, l
     return out + text[at:], found
 
 
-def training_samples(docs: DataFrame, text_col: str, sample_texts: int, longest: int = 80) -> list[tuple[str, list[Span]]]:
-    """The first 20 regions (of at most ``longest`` tokens) of each of the ``sample_texts`` texts with the smallest hashes among those with a sign."""
+def training_samples(docs: DataFrame, text_col: str, sample_texts: int, regions_per_text: int, longest_region: int) -> list[tuple[str, list[Span]]]:
+    """Regions of the ``sample_texts`` distinct texts with the smallest hashes among those with a digit or an at-sign.
+
+    Of a text the first ``regions_per_text`` regions of at most
+    ``longest_region`` tokens. Only these reach the driver; texts are cut by
+    hash where they lie, so nothing that grows with the corpus moves.
+    """
+    space = 1 << 40
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [t[r[0][0] : r[-1][1]] for t in batch.column(0).to_pylist() for r in regions_of(t)[:20] if len(r) <= longest]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["region"])
-
-    some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample_texts)
-    texts = sorted({r["region"] for r in some.select("text").mapInArrow(regions, "region string").collect()})
+            orders, found = [], []
+            for order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                short = [r for r in regions_of(text) if len(r) <= longest_region][:regions_per_text]
+                found += [text[r[0][0] : r[-1][1]] for r in short]
+                orders += [order] * len(short)
+            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int64()), pa.array(found, pa.string())], names=["order", "region"])
+
+    text = named(text_col).cast("string")
+    signed_texts = docs.where(text.rlike("[0-9@]")).select(F.pmod(F.xxhash64(text), F.lit(space)).alias("order"), text.alias("text"))
+    # Distinct texts, for copies of one pass the cut together or not at all.
+    texts = signed_texts.select("order").distinct().count()
+    cut = int(min(1.0, (sample_texts + 10 * sample_texts**0.5) / max(texts, 1)) * space)
+    some = signed_texts.where(F.col("order") <= cut)
+    found = {(r["order"], r["region"]) for r in some.mapInArrow(regions, "order long, region string").distinct().collect()}
+    orders = set(sorted({o for o, _ in found})[:sample_texts])
     draw, out = random.Random(5), []
-    for text in texts:
-        spans = base_spans(text)
+    for region in sorted({r for o, r in found if o in orders}):
+        spans = base_spans(region)
         if apart(spans):
-            out.append((text, spans))
+            out.append((region, spans))
             if spans:
-                out.append(rewritten(text, spans, draw))
+                out.append(rewritten(region, spans, draw))
     return out
 
 
@@ -337,15 +355,19 @@ def _finder(weights):
     return find
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", sample_texts: int = 400) -> DataFrame:
-    """``docs`` with all its columns and a struct ``found``: n_email, n_ip, n_card, n_phone, base_sha256, spans, masked.
+def find_personal_data(docs: DataFrame, text_col: str = "text", sample_texts: int = 400, regions_per_text: int = 20, longest_region: int = 80) -> DataFrame:
+    """``docs`` with a struct ``found``: n_email, n_ip, n_card, n_phone, base_sha256, spans, masked.
 
     Counts and ``base_sha256`` are of the rules' finds; ``spans`` lists these
     and the added ones as kind:start:end (code points, end exclusive), by kind,
-    then start. ``masked`` is the text with each span replaced by its kind. At
-    most ``sample_texts`` texts train the field; all are searched, whole. A
-    null text is an empty one. Repeated rows get equal results.
+    then start. ``masked`` is the text with each span replaced by its kind.
+
+    The field is trained on at most ``sample_texts`` texts, of each at most
+    ``regions_per_text`` runs of at most ``longest_region`` tokens around a
+    digit or an at-sign; all texts are searched, whole. Rows come back with
+    their columns, but a column ``found``, in any case, is replaced. A null
+    text is an empty one. Repeated rows get equal results.
     """
-    weights = train(training_samples(docs, text_col, sample_texts))
+    weights = train(training_samples(docs, text_col, sample_texts, regions_per_text, longest_region))
     find = _finder(docs.sparkSession.sparkContext.broadcast(weights))
-    return docs.withColumn("found", find(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns if c != "found"], "found")
+    return docs.select(*given(docs, "found"), find(named(text_col).cast("string")).alias("found"))
