@@ -19,7 +19,7 @@ from limpid.llm.line_dedup import NO_ID, dedup_lines, keep_bitmaps
 from limpid.llm.media import media_features, sniff, sniff_media
 from limpid.llm.ngram_join import light_boundary, near_duplicates, one_of_each
 from limpid.llm.packing import pack_documents
-from limpid.llm.substring_dedup import dedup_substrings
+from limpid.llm.substring_dedup import compacted, dedup_substrings
 from tests.llm.corpus import crowded, documents, empty, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +73,32 @@ def test_substrings_of_few_words(spark, seed):
     same(got, brute_substrings(made, 9))
 
 
+@pytest.mark.parametrize(("window", "k"), [(400, 8), (6, 6), (9, 1)])
+def test_substrings_of_other_widths(spark, window, k):
+    base = prose(21, 1500)
+    texts = [base, base[100:700] + prose(22, 90), prose(23, 50) + base[600:1400], base[:window], base[3 : window + 2], prose(24, 7) * 12]
+    made = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = dedup_substrings(spark.createDataFrame(made, "doc_id long, text string"), window=window, k=k).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256").collect()
+    same(got, brute_substrings(made, window))
+
+
+def test_windows_that_do_not_fit_are_refused(docs):
+    for window in (7, 70_000):
+        with pytest.raises(ValueError):
+            dedup_substrings(docs, window=window)
+
+
+def test_paths_compact_to_their_first_nodes(spark):
+    """A chain of 200 nodes, a node with two followers, one with fewer copies than what follows, and a cycle of two."""
+    nodes = [(i, 3, 2, i + 1, i + 1) for i in range(1, 200)] + [(200, 3, 2, 0, 0), (300, 4, 1, 301, 302), (301, 2, 1, 0, 0), (302, 4, 5, 0, 0), (400, 2, 1, 302, 302), (500, 2, 1, 501, 501), (501, 2, 1, 500, 500)]
+    table = spark.createDataFrame(nodes, "node long, copies long, windows long, low long, high long")
+    got = {r["head"]: r["extra"] for r in compacted(table, rounds=60).collect()}
+    assert got[1] == 2 * 199 and not set(range(2, 201)) & set(got)
+    assert {k: got[k] for k in (300, 301, 302, 400)} == {300: 0, 301: 0, 302: 0, 400: 0}
+    some = {r["head"]: r["extra"] for r in compacted(table, rounds=2).collect()}
+    assert sum(2 + some[h] for h in some if h <= 200) == 400
+
+
 # ---------------------------------------------------------------- line dedup
 def brute_lines(rows, min_chars=40, min_docs=5):
     strip = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
