@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over the awkward corpus."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limpid.llm import media, packing, pii, quality, sharding
+from limpid.llm import media, ngram_join, packing, pii, quality, sharding
 from limpid.llm.components import components
 from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
@@ -193,7 +194,40 @@ def test_small_and_graded_sets(spark):
 
 
 def test_boundary_follows_cost():
-    assert light_boundary(0.5) <= light_boundary(5) <= light_boundary(500)
+    assert light_boundary(0) < light_boundary(0.5) <= light_boundary(5) <= light_boundary(60)
+    for partners in (0, 0.5, 5):
+        n = light_boundary(partners)
+        cost = lambda n: sum(math.comb(n, c) for _, c in ngram_join.subsets_of(n, n)) - ngram_join.prefix_size(n) * (1 + partners * ngram_join.PAIR_COST)
+        assert cost(n) <= 0 < cost(n + 1)
+
+
+def test_lists_scanned_in_blocks(spark, monkeypatch):
+    """Graded copies, a boilerplate with own words, and sets of all sizes, with nearly all lists long and blocks tiny."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    base, made = prose(6, 120), []
+    for i in range(60):
+        words = list(base)
+        for j in range(i // 4):
+            words[(j * 17 + i) % 120] = f"new{i}x{j}"
+        made.append((i, " ".join(words)))
+    made += [(100 + i, " ".join(base[: 40 + i] + prose(400 + i, i))) for i in range(0, 60, 2)]
+    made += [(200 + i, " ".join(prose(500 + i, 8 + i) + base)) for i in range(40)]
+    got = near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    same(got, brute_components(made))
+
+
+def test_rows_of_a_boilerplate_are_bounded(spark):
+    """20 000 documents with one head: what is dealt out follows what may still link, not their square."""
+    n, block = 20_000, ngram_join.BLOCK
+    entries = spark.range(n).select(F.lit(1).alias("head"), F.col("id").alias("set_key"), F.lit(230).alias("n"), F.lit(200).alias("room"), F.col("id").alias("root"))
+    # They share 200 of 230 shingles: no partner of their own size is left.
+    assert ngram_join.dealt_members(entries).count() == 0
+    # One component, and ten outsiders that may link to it: its sets meet the outsiders' block only.
+    mixed = entries.withColumn("room", F.lit(230)).withColumn("root", F.when(F.col("set_key") < n - 10, F.lit(0).cast("long")).otherwise(F.col("set_key")))
+    assert ngram_join.dealt_members(mixed).count() <= 2 * (n + 10 * (n // block + 2))
+    # Nothing known: every block meets every block of its size class and the next.
+    assert ngram_join.dealt_members(entries.withColumn("room", F.lit(230))).count() <= 2 * n * (n // block + 1)
 
 
 def test_one_of_each(spark, docs, rows, tmp_path):
