@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import stored
+from limpid.llm.common import given, named, stored
 
 #: Dimensions that n-grams are hashed to.
 GRAMS = 1 << 20
@@ -119,7 +119,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     themselves must be few, as classes are. None if no row can be learned from.
     """
     spark = docs.sparkSession
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.abs(F.xxhash64(text_col) % 1_000_000_007).alias("order"))
+    text = named(text_col).cast("string")
+    labelled = docs.where(named(lang_col).isNotNull() & (F.length(F.trim(text)) > 0)).select(named(lang_col).cast("string").alias("lang"), text.alias("text"), F.abs(F.xxhash64(text) % 1_000_000_007).alias("order"))
     # Distinct texts, for copies of one pass any cut together or not at all.
     counts = {r["lang"]: r["n"] for r in labelled.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -183,16 +184,16 @@ def _predictor(model):
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and a struct ``language``: lang, score.
+    """``docs`` with a struct ``language``: lang, score.
 
-    Only the text counts. A text without a letter, a null or empty text, and
+    Rows come back with their columns, but a column ``language``, in any case,
+    is replaced. Only the text counts. A text without a letter, a null or empty text, and
     any text when nothing could be learned, is ``und`` with score 0. Ties go
     to the language that sorts first. ``score`` is the softmax of the
     one-versus-rest scores. Repeated rows get equal results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS x languages floats
-    predicted = _predictor(shared)(F.col(text_col).cast("string"))
-    return docs.withColumn("language", predicted).select(*[F.col(f"`{c}`") for c in docs.columns if c != "language"], "language")
+    return docs.select(*given(docs, "language"), _predictor(shared)(named(text_col).cast("string")).alias("language"))
 
 
 def held_out(doc_id: Column) -> Column:

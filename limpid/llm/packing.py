@@ -2,12 +2,13 @@
 
 Documents are cut into token sequences with neighbours that are lexically
 close. They are dealt out in ranges of a key made of their commonest tokens and
-the smallest hash of their token triples, so that each range is a shard of
-like documents. In each shard, block by block, a BM25 inverted index over
-tokens (with document frequencies of the whole corpus) returns unused
-neighbours for each seed, which fill the seed's window one after the other.
-The piece that does not fit is cut, and its rest is the next seed, so only a
-shard's last window is padded.
+the smallest hash of their token triples, so that like documents lie side by
+side. Each run of some million tokens in that order is a shard with a BM25
+inverted index of its own (over tokens, with document frequencies of the whole
+corpus), which returns unused neighbours for each seed; they fill the seed's
+window one after the other. The piece that does not fit is cut, and its rest is
+the next seed. A task takes shards one after the other and goes on with the
+open window, so only the last window of a range is padded.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import released, stored
+from limpid.llm.common import named, released, stored
 
 #: Ends each document.
 END_ID = 1
@@ -195,15 +196,15 @@ def _tokenised(name: str, id_type: pa.DataType):
     return tokenise
 
 
-class Shard:
-    """Fills windows from blocks of documents; the open window goes on from block to block."""
+class Windows:
+    """Fills windows from shards of documents; the open window goes on from shard to shard."""
 
     def __init__(self, window: int, idf: np.ndarray):
         self.window, self.idf = window, idf
         self.sequence, self.used, self.open_number = 0, 0, 0
 
     def pieces(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document's place in the block, start, length, sequence, offset) of each piece."""
+        """(document's place in the shard, start, length, sequence, offset) of each piece."""
         tails = []
         for d, ids in enumerate(docs):
             whole = len(ids) // self.window
@@ -260,7 +261,7 @@ class Shard:
 
 
 class Index:
-    """A BM25 inverted index over the tails of a block."""
+    """A BM25 inverted index over the tails of a shard: what is left of documents after their full windows."""
 
     def __init__(self, items: list[np.ndarray], idf: np.ndarray):
         self.n, self.idf = len(items), idf
@@ -321,13 +322,13 @@ class Index:
         yield from unused[np.argsort(-values, kind="stable")]
 
 
-def _packed(window: int, block_tokens: int, kind, idf, names: list[str]):
+def _packed(window: int, shard_tokens: int, kind, idf, names: list[str]):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(window, idf.value)
+        windows = Windows(window, idf.value)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def out(ids_of: list, docs: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
-            rows = list(shard.pieces(docs))
+            rows = list(windows.pieces(docs))
             d, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 5
             crc = np.array([zlib.crc32(docs[i][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(d, start, length, strict=True)], np.int64)
             total = np.array([len(x) for x in docs], np.int64)[d] if rows else d
@@ -339,7 +340,7 @@ def _packed(window: int, block_tokens: int, kind, idf, names: list[str]):
                 ids_of.append(doc)
                 docs.append(np.frombuffer(packed.as_py(), kind))
                 held += len(docs[-1])
-                if held >= block_tokens:
+                if held >= shard_tokens:
                     yield out(ids_of, docs, batch.schema.field(0).type)
                     ids_of, docs, held = [], [], 0
             id_type = batch.schema.field(0).type
@@ -349,15 +350,19 @@ def _packed(window: int, block_tokens: int, kind, idf, names: list[str]):
     return pack
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, tokenizer: str = "word_bpe_49k.json", block_tokens: int = 3_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, tokenizer: str = "word_bpe_49k.json", shard_tokens: int = 3_000_000) -> DataFrame:
     """Pieces of all rows: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids are the tokenizer's for its text (null: empty), without special
     tokens, then ``END_ID``; each lies in exactly one piece. ``start`` counts
     the row's ids before the piece, ``offset`` the sequence's. A sequence holds
-    at most ``window`` ids; only the last of a shard holds fewer. Repeated rows
-    are packed each for itself. An empty table has no pieces. What goes to the
-    driver and executors is one frequency for each entry of the vocabulary.
+    at most ``window`` ids; only the last of a range holds fewer.
+    ``shard_tokens`` ids, and the document that goes beyond them, are indexed
+    together, which bounds a task's memory: neighbours come from the same
+    shard. Repeated rows are packed each for itself. An empty table has no
+    pieces. Columns of ``docs`` other than these two do not matter. What goes
+    to the driver and executors is one frequency for each entry of the
+    vocabulary.
     """
     from tokenizers import Tokenizer
 
@@ -368,7 +373,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
     id_field = docs.schema[id_col]
     schema = T.StructType([T.StructField("doc", id_field.dataType), T.StructField("stat", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    tokens = stored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_tokenised(tokenizer, to_arrow_type(id_field.dataType)), schema))
+    tokens = stored(docs.select(named(id_col).alias("doc"), named(text_col).cast("string").alias("text")).mapInArrow(_tokenised(tokenizer, to_arrow_type(id_field.dataType)), schema))
     stats = {r["key"]: r["n"] for r in tokens.where("stat").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     total = stats.pop(-1, 0)
     rows = tokens.where("not stat")
@@ -377,9 +382,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         frequency[t] = n
     count = max(frequency[END_ID], 1)  # each row holds the end id
     idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
-    # A padded window in 128 at worst, and a shard of at most 64 million ids.
+    # A padded window in 128 at worst, and a range of at most 64 million ids.
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (128 * window)), total >> 26)
     dealt = rows.repartitionByRange(int(parts), "key", "doc").sortWithinPartitions("key", "doc", "n").select("doc", "ids")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = T.StructType([T.StructField(id_col, id_field.dataType)] + [T.StructField(n, T.LongType()) for n in names[1:]])
-    return dealt.mapInArrow(_packed(window, block_tokens, kind, spark.sparkContext.broadcast(idf), names), out)
+    return dealt.mapInArrow(_packed(window, shard_tokens, kind, spark.sparkContext.broadcast(idf), names), out)

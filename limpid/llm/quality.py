@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import LOWER_BYTES, WordHashes, checkpointed, gram_hashes, payload, utf8
+from limpid.llm.common import LOWER_BYTES, WordHashes, checkpointed, gram_hashes, named, payload, utf8
 
 BUCKETS = 10_000
 #: Keys are compared in steps of this size.
 STEP = 1e-6
 
 
+#: N-grams that a task gathers before it counts them.
+GRAMS_HELD = 1 << 21
+
+
 def buckets_of(text: bytes, memory: WordHashes) -> np.ndarray:
     hashes = memory.of(text.translate(LOWER_BYTES).split())
     return (np.concatenate([gram_hashes(hashes, 1), gram_hashes(hashes, 2)]) % np.uint64(BUCKETS)).astype(np.int64)
@@ -33,15 +37,28 @@ def buckets_of(text: bytes, memory: WordHashes) -> np.ndarray:
 def _counts(target_ids):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, memory = target_ids.value, WordHashes()
-        raw, wanted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        sums = {True: np.zeros(BUCKETS, np.int64), False: np.zeros(BUCKETS, np.int64)}  # of target texts, of the others
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        n = 0
+
+        def count() -> None:
+            for kind, grams in held.items():
+                if grams:
+                    sums[kind] += np.bincount(np.concatenate(grams), minlength=BUCKETS)
+                    grams.clear()
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.bincount(buckets_of(payload(text.as_py()), memory), minlength=BUCKETS)
-                raw += found
-                if doc in target:
-                    wanted += found
-        held = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(raw[held]), pa.array(wanted[held])], names=["bucket", "raw", "target"])
+                grams = buckets_of(payload(text.as_py()), memory)
+                held[doc in target].append(grams)
+                n += len(grams)
+                if n >= GRAMS_HELD:
+                    count()
+                    n = 0
+        count()
+        raw = sums[True] + sums[False]
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(sums[True][at])], names=["bucket", "raw", "target"])
 
     return counts
 
@@ -62,7 +79,7 @@ def log_ratios(docs: DataFrame, target_ids: list, id_col: str, text_col: str) ->
     Raw counts cover all rows; target counts those whose id is in ``target_ids``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
-    table = docs.select(F.col(id_col), utf8(F.col(text_col)).alias("text")).mapInArrow(_counts(shared), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    table = docs.select(named(id_col).alias("id"), utf8(named(text_col)).alias("text")).mapInArrow(_counts(shared), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in table.collect():  # one row a bucket at most
         raw[r["bucket"]] += r["raw"]
@@ -106,14 +123,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     any target label all rows weigh the same against an even model.
     """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
+    known = labels.where(named(id_col).isNotNull() & F.col("quality").isNotNull()).select(named(id_col).alias("id"), good.alias("good"))
     if share is None:
-        share = known.agg(F.avg(good.cast("int"))).first()[0]
+        share = known.agg(F.avg(F.col("good").cast("int"))).first()[0]
         share = 1.0 if share is None else share
-    ids = known.where(good).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(target_rows)
+    ids = known.where("good").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
     ratios = log_ratios(docs, [r[0] for r in ids.collect()], id_col, text_col)
-    weight = _weigher(docs.sparkSession.sparkContext.broadcast(ratios))(utf8(F.col(text_col)))
-    scored = checkpointed(docs.select(F.col(id_col), weight.alias("log_weight")).withColumn("sample_key", F.col("log_weight") + gumbel(F.col(id_col), seed)).withColumn("rank_key", F.round(F.col("sample_key") / STEP).cast("long")))
+    weight = _weigher(docs.sparkSession.sparkContext.broadcast(ratios))(utf8(named(text_col)))
+    weighed = docs.select(named(id_col).alias("id"), weight.alias("log_weight")).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("id"), seed))
+    scored = checkpointed(weighed.withColumn("rank_key", F.round(F.col("sample_key") / STEP).cast("long")))
     last = kth_largest(scored, "rank_key", round(share * scored.count()))
     selected = F.lit(False) if last is None else F.col("rank_key") >= last
-    return scored.select(id_col, "log_weight", "sample_key", selected.alias("selected"))
+    return scored.select(F.col("id").alias(id_col), "log_weight", "sample_key", selected.alias("selected"))

@@ -38,11 +38,3 @@ def documents(spark: SparkSession) -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
-
-
-def crowded(docs: DataFrame) -> DataFrame:
-    """The same with further columns whose names operators use themselves."""
-    extra = {c: "1" for c in ("key", "n", "token", "set_key", "h1", "line", "ids", "edge", "span", "bucket", "hits", "lines", "cut", "media", "found", "language", "shard", "__key", "word")}
-    from pyspark.sql import functions as F
-
-    return docs.withColumns({k: F.lit(v) for k, v in extra.items()})

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from limpid.llm import media, ngram_join, packing, pii, quality, sharding
@@ -21,7 +22,7 @@ from limpid.llm.media import media_features, sniff, sniff_media
 from limpid.llm.ngram_join import light_boundary, near_duplicates, one_of_each
 from limpid.llm.packing import pack_documents
 from limpid.llm.substring_dedup import compacted, dedup_substrings
-from tests.llm.corpus import crowded, documents, empty, prose
+from tests.llm.corpus import documents, empty, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -329,19 +330,46 @@ def test_shards_are_written(spark, docs, tmp_path):
 
 
 # ---------------------------------------------------------------- quality
+def mixed(x):
+    """The finaliser of the 64-bit hash of n-grams, in whole numbers."""
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+    return x ^ x >> 33
+
+
+def brute_buckets(text):
+    words = [xxhash.xxh3_64_intdigest(w.encode()) for w in WORD.findall(ascii_lower(text or ""))]
+    grams = words + [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(words, words[1:], strict=False)]
+    return Counter(mixed(g) % 10_000 for g in grams)
+
+
+def brute_gumbel(key, seed):
+    """Noise from XXH64 of the seed and the id; a null id adds nothing to the hash."""
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+    h = h if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=h)
+    return -math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+
+
 def test_resampling_weights_and_selection(spark, docs, rows):
+    """Against buckets, models, weights, noise and choice of the k largest that share no code with the operator."""
     labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i == 4)) for i in range(20)], "doc_id long, quality int, toxic int")
     got = quality.resample(docs, labels, share=0.5).collect()
-    memory = quality.WordHashes()
-    found = [np.bincount(quality.buckets_of((t or "").encode(), memory), minlength=quality.BUCKETS) for _, t in rows]
     target = {i for i in range(0, 20, 2) if i != 4}
-    raw, wanted = 1 + sum(found), 1 + sum(f for f, (d, _) in zip(found, rows, strict=True) if d in target)
-    ratio = np.log(wanted / wanted.sum()) - np.log(raw / raw.sum())
-    want = sorted((str(d), round(float(f @ ratio), 6)) for f, (d, _) in zip(found, rows, strict=True))
-    assert [x for x, _ in want] == sorted(str(r["doc_id"]) for r in got)
-    np.testing.assert_allclose(sorted(w for _, w in want), sorted(r["log_weight"] for r in got), atol=1e-5)
-    kept = sorted((r["sample_key"] for r in got if r["selected"]), reverse=True)
-    assert len(kept) >= round(0.5 * len(rows)) and min(kept) >= max([r["sample_key"] for r in got if not r["selected"]], default=-1e9)
+    found = [brute_buckets(t) for _, t in rows]
+    raw, wanted = Counter(), Counter()
+    for f, (doc, _) in zip(found, rows, strict=True):
+        raw.update(f)
+        if doc in target:
+            wanted.update(f)
+    total = lambda c: sum(c.values()) + 10_000
+    ratio = {g: math.log((wanted[g] + 1) / total(wanted)) - math.log((raw[g] + 1) / total(raw)) for g in raw}
+    weights = [sum(n * ratio[g] for g, n in f.items()) for f in found]
+    keys = [w + brute_gumbel(d, 17) for w, (d, _) in zip(weights, rows, strict=True)]
+    last = round(sorted(keys)[-round(0.5 * len(rows))], 5)
+    want = sorted((str(d), round(w, 5), round(k, 5), round(k, 5) >= last) for (d, _), w, k in zip(rows, weights, keys, strict=True))
+    close = sorted((str(r["doc_id"]), round(r["log_weight"], 5), round(r["sample_key"], 5), r["selected"]) for r in got)
+    for x, y in zip(close, want, strict=True):
+        assert x[0] == y[0] and abs(x[1] - y[1]) < 1e-4 and abs(x[2] - y[2]) < 1e-4 and x[3] == y[3]
 
 
 def test_kth_largest(spark):
@@ -370,6 +398,33 @@ def test_language_of_awkward_texts(docs):
     assert {r["language"]["lang"] for r in predict_language(docs, None).collect()} == {"und"}
 
 
+def test_scores_are_those_of_kernel_ridge_regression(spark):
+    """Against n-gram sets of strings, their kernel matrix and the normal equations written out."""
+    draw = random.Random(8)
+    letters = {"aa": "abcde ", "bb": "defgh ", "cc": "hijab "}
+    known = [(k, "".join(draw.choices(marks, k=draw.randint(20, 80)))) for k, marks in letters.items() for _ in range(12)]
+    model = fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(known)], "doc_id long, text string, lang string"), ridge=0.05)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)}
+    alike = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    sets = [grams(t) for _, t in known]
+    k = np.array([[alike(a, b) for b in sets] for a in sets])
+    labels = np.array([sorted(letters).index(x) for x, _ in known])
+    y = np.where(labels[:, None] == np.arange(3), 1.0, -1.0)
+    w = np.diag([1 / np.mean(labels == x) / 3 for x in labels])
+    alpha = np.linalg.solve(k.T @ w @ k + 0.05 * len(known) * k / 100 + 1e-6 * np.eye(len(known)), k.T @ w @ y)
+    unseen = ["".join(draw.choices("".join(letters.values()), k=60)) for _ in range(30)]
+    want = np.array([[alike(grams(t), s) for s in sets] for t in unseen]) @ alpha
+    assert np.abs(model.scores(unseen) - want).max() < 0.02
+
+
+def test_held_out_languages_are_told(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    unseen = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    right = predict_language(unseen, model).agg(F.avg((F.col("language.lang") == F.col("lang")).cast("int"))).first()[0]
+    assert right >= 0.98
+
+
 LANGUAGES = {"aa": ["ka", "ko", "tu"], "bb": ["shi", "ran", "el"], "cc": ["ö", "ßt", "ung"]}
 
 
@@ -485,7 +540,7 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_file("word_bpe_49k.json"))
-    got = sorted(pack_documents(docs, window=64, block_tokens=3000).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    got = sorted(pack_documents(docs, window=64, shard_tokens=3000).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
     want = Counter()
     for doc, t in rows:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
@@ -565,10 +620,32 @@ def test_empty_tables(spark):
         assert out.count() == 0, name
 
 
+#: Names that the operators use for themselves, anywhere in their plans, in either case.
+INNER = """again around at band before beside blocks bucket copies count cut depth digest doc dropped edge end ends extra fine found h1 h2 head high hits id ids items item k1 k2 keep_bitmap kept key keys
+    language leaf line lines links list lists log_weight low media met most n n_bytes n_dropped n_hit n_lines name node order other own own_digest own_doc own_key own_size own_t1 own_t2 p place places
+    prefix rank_key read room root row rows sample_key seen set_key shard shingle shingles size sketch sniffed span spans start starts stat t1 t1_found t1_hit t2 t2_found t2_hit text_key token total window
+    windows word __bits __doc __dropped __ends __found __hits0 __id __key __n_hit __read __row __size __sniffed __starts __text_key _t1 _doc _read""".split()  # noqa: SIM905
+#: The one column of its own that each operator adds; a column of that name is replaced.
+ADDED = {"media": "media", "substrings": "cut", "shards": "shard", "lines": "lines", "language": "language", "hits": "hits", "pii": "found"}
+
+
 def test_clashing_columns(spark, docs):
-    n = docs.count()
-    for name, out in _each(crowded(docs).drop("__key"), spark):
-        assert name == "packing" or out.count() == n, name
+    """Columns with all the operators' inner names come back with their values, and results are those of the table without them."""
+    crowd = {name.upper() if i % 3 == 0 else name: F.concat(F.lit(f"{name}="), F.coalesce(F.xxhash64("text").cast("string"), F.lit("none"))) for i, name in enumerate(INNER)}
+    crowded = docs.withColumns(crowd)
+    plain = dict(_each(docs, spark))
+    for name, out in _each(crowded, spark):
+        if name not in ADDED:
+            assert out.columns == plain[name].columns, name
+            if name != "packing":
+                same(out.collect(), plain[name].collect())
+            continue
+        added = ADDED[name]
+        assert sorted(out.columns) == sorted([c for c in crowded.columns if c.lower() != added] + [added]), name
+        values = [c for c in out.columns if c != added]
+        same(out.select(values).collect(), crowded.select(values).collect())
+        result = lambda df: df.select("doc_id", "text", F.to_json(F.struct(added))).collect()  # noqa: B023, E731
+        same(result(out), result(plain[name]))
 
 
 def test_empty_benchmark(spark, docs):
