@@ -40,7 +40,7 @@ from limpid.llm.common import WordHashes, covered, few, given, gram_hashes, mixe
 #: ``place`` packs where a span is: 32 bits for its first window, and so many each for its other windows and for the edge's offset.
 BITS = 16
 #: Rounds of joins in which paths compact; links that are left only cost time.
-ROUNDS = 8
+ROUNDS = 6
 _NODE = np.uint64(0xD6E8FEB86659FD93)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -129,14 +129,15 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TOLD = "edge long, span long, node long, copies long, low long, high long, t1 long, t2 int, place long"
 
 
-def _read_again(window: int):
+def _read_again(window: int, t1_col: str, t2_col: str, text_col: str, places_col: str):
     """128-bit hashes of the words at the places beside a text: of a path's, or of each single window."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h1", "h2", "again", "t1", "start", "end", "t2"]
         for batch in batches:
             rows, digests = [], []
-            for t1, t2, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            texts = batch.column(text_col).cast(pa.binary())
+            for t1, t2, text, places in zip(batch.column(t1_col).to_pylist(), batch.column(t2_col).to_pylist(), texts, batch.column(places_col).to_pylist(), strict=True):
                 words = text.as_py().split()
                 for p in places:
                     n = p["windows"]
@@ -179,10 +180,14 @@ def compacted(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     # Names are 64 bits: in the rare case that two spans share one, neither is linked.
     named_once = nodes.groupBy("node").agg(F.count("*").alias("same"), F.max("copies").alias("copies"), F.max("windows").alias("windows"), F.min("low").alias("low"), F.max("high").alias("high"))
-    one = named_once.where("same = 1 and low = high and low <> 0 and low <> node")
+    one = named_once.where("same = 1 and low = high and low <> 0 and low <> node").select(F.col("node").alias("head"), "copies", F.col("low").alias("next"))
     two = named_once.where("same = 1").select(F.col("node").alias("next"), F.col("copies").alias("as_many"))
-    links = one.join(two, F.col("low") == F.col("next")).where("copies = as_many").select("node", "next")
-    pieces = stored(named_once.join(links, "node", "left").select(F.col("node").alias("head"), "next", "windows", F.lit(0).cast("long").alias("extra")))
+    links = stored(one.join(two, "next").where("copies = as_many").select("head", "next"))
+    taken = links.select(F.col("next").alias("head"), F.lit(True).alias("taken"))
+    marked = stored(named_once.select(F.col("node").alias("head"), "windows", F.lit(0).cast("long").alias("extra")).join(links, "head", "left").join(taken, "head", "left"))
+    columns = ["head", "next", "windows", "extra"]
+    in_links = F.col("next").isNotNull() | F.col("taken")
+    pieces, alone = marked.where(in_links).select(columns), marked.where(~F.coalesce(in_links, F.lit(False))).select(columns)
     for i in range(rounds):
         if pieces.where("next is not null").isEmpty():
             break
@@ -197,16 +202,17 @@ def compacted(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             F.when(no_taker, F.col("y.extra")).when(no_taken, F.col("x.extra")).otherwise(F.col("x.extra") + F.col("y.windows") + F.col("y.extra")).alias("extra"),
         )
         pieces = stored(grown.unionByName(pieces.where(coin & F.col("next").isNull())))
-    return pieces.select("head", "extra")
+    return pieces.unionByName(alone).select("head", "extra")
 
 
-def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
+def repeated_spans(keyed: DataFrame, t1_col: str, t2_col: str, text_col: str, window: int, k: int) -> DataFrame:
     """The word ranges to remove, by text: ``t1, t2, starts, ends``.
 
     A range [start, end) lies in windows of ``window`` words whose word
-    sequence also starts elsewhere, in any text or the same one. ``texts``
-    holds ``t1, t2, text``: two hashes, and the text as bytes.
+    sequence also starts elsewhere, in any text or the same one. ``keyed`` has
+    two hashes beside each text.
     """
+    texts = keyed.select(F.col(t1_col).alias("t1"), F.col(t2_col).alias("t2"), utf8(named(text_col)).alias("text"))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = stored(texts.mapInArrow(_edges(window, k), "edge long, span long, next long, t1 long, place long, t2 int"))
     order = ["edge", "span", "t1", "t2"]
@@ -228,10 +234,15 @@ def repeated_spans(texts: DataFrame, window: int, k: int) -> DataFrame:
     opened = spans.join(diverging, "edge").select("at.t1", "at.t2", place(False, F.col("copies") > 1, "at.place", F.lit(0)))
 
     beside = on_paths.unionByName(opened).groupBy("t1", "t2").agg(F.collect_set("p").alias("places"))
-    read = texts.join(beside, ["t1", "t2"]).select("t1", "t2", "text", "places").mapInArrow(_read_again(window), "h1 long, h2 long, again boolean, t1 long, start int, end int, t2 int")
+    c, d, places_col = private(keyed, "t1_read", "t2_read", "places")
+    # With all columns, as in the join that follows in dedup_substrings: so both take the texts from one shuffle.
+    joined = keyed.join(beside.toDF(c, d, places_col), (F.col(t1_col) == F.col(c)) & (F.col(t2_col) == F.col(d)))
+    read = joined.mapInArrow(_read_again(window, t1_col, t2_col, text_col, places_col), "h1 long, h2 long, again boolean, t1 long, start int, end int, t2 int")
     # Spans that are known to repeat need no second find, and are not to be removed by their single windows.
-    repeated = read.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("again").alias("known")).where("n > 1 or known").select("h1", "h2")
-    ranges = read.where("not again").join(repeated, ["h1", "h2"])
+    repeated = read.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("again").alias("known")).where("n > 1 or known")
+    # The join has keys of its own, the same hashes with all bits turned, so that both of its sides are dealt out for it alone and a passage that very many texts hold can be split.
+    turned = repeated.select(F.bitwise_not("h1").alias("g1"), F.bitwise_not("h2").alias("g2"))
+    ranges = read.where("not again").join(turned, (F.bitwise_not("h1") == F.col("g1")) & (F.bitwise_not("h2") == F.col("g2")))
     gathered = ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("r"))
     return gathered.select("t1", "t2", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
 
@@ -254,7 +265,8 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = 35,
         raise ValueError(f"A window has to have from {k} to {k + (1 << BITS) - 1} words, not {window}.")
     t1, t2 = text_hashes(named(text_col))
     t2 = t2.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    found = repeated_spans(docs.select(t1.alias("t1"), t2.alias("t2"), utf8(named(text_col)).alias("text")), window, k)
     a, b, c, d, starts, ends = private(docs, "t1", "t2", "t1_found", "t2_found", "starts", "ends")
-    joined = docs.withColumns({a: t1, b: t2}).join(found.toDF(c, d, starts, ends), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    keyed = docs.withColumns({a: t1, b: t2})
+    found = repeated_spans(keyed, a, b, text_col, window, k)
+    joined = keyed.join(found.toDF(c, d, starts, ends), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
     return joined.select(*given(docs, "cut"), _cut(utf8(named(text_col)), F.col(starts), F.col(ends)).alias("cut"))
