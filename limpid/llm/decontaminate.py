@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,6 @@ from limpid.llm.common import WordHashes, covered, few, given, gram_hashes, name
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: The same words for Spark's expressions, case aside.
-WORD_RUN, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^a]+"
 #: Shingles counted before a task hands its counts on.
 COUNTS_HELD = 1 << 20
 #: Windows, a line of text each, that may be broadcast.
@@ -43,9 +41,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def word_count(text: Column) -> Column:
-    """How many words a text has; null has none. Runs become one letter each, so no list of words is made."""
-    return F.coalesce(F.char_length(F.regexp_replace(F.regexp_replace(text.cast("string"), WORD_RUN, "a"), BETWEEN, "")), F.lit(0)).cast("long")
+@F.pandas_udf(T.LongType())
+def _word_count(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(payload(t))) for t in texts], dtype="int64")
 
 
 def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -216,8 +214,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spans = found.select("t1", "t2", "start", "end").distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     items = found.select("t1", "t2", "window").distinct().join(holders, "window").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item")).alias("items"))
     by_text = few(stored(spans.select("t1", "t2", _covered_words("s.start", "s.end").alias("n_hit")).join(items, ["t1", "t2"])))
-    a, b, c, d, e, f = private(docs, "t1", "t2", "t1_hit", "t2_hit", "n_hit", "items")
-    joined = docs.withColumns({a: t1, b: t2}).join(by_text.toDF(c, d, e, f), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
-    n_words, n_hit = word_count(named(text_col)), F.coalesce(F.col(e), F.lit(0)).cast("long")
+    a, b, c, d, e, f, g = private(docs, "t1", "t2", "t1_hit", "t2_hit", "n_hit", "items", "n_words")
+    joined = docs.withColumns({a: t1, b: t2, g: _word_count(utf8(named(text_col)))}).join(by_text.toDF(c, d, e, f), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    n_words, n_hit = F.col(g), F.coalesce(F.col(e), F.lit(0)).cast("long")
     hits = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce(F.col(f), F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"))
     return joined.select(*given(docs, "hits"), hits.alias("hits"))
