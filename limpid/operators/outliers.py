@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from limpid.functions.numbers import to_number
 from limpid.functions.text import shortened
+from limpid.operators.ranks import median
 
 THRESHOLD = 5.0
 FACTOR = 0.6745
 LEAST_ROWS = 10
 
 
-def center(df: DataFrame, column: str) -> DataFrame:
-    """One row ``median, mad, n``: exact, interpolated medians of the values that read as numbers."""
+def center(df: DataFrame, column: str) -> tuple[float | None, float | None, int]:
+    """Median, median absolute deviation (both exact and interpolated) and number of the values that read as numbers."""
     x = df.select(to_number(F.col(f"`{column}`")).alias("x")).where("x is not null")
-    median = x.agg(F.median("x").alias("median"), F.count("*").alias("n"))
-    spread = x.crossJoin(F.broadcast(median)).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    return median.crossJoin(F.broadcast(spread)).select("median", "mad", "n")
+    middle = median(x, F.col("x"))
+    mad = None if middle is None else median(x, F.abs(F.col("x") - F.lit(middle)))
+    return middle, mad, x.count()
 
 
 def outlier_rows(df: DataFrame, column: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -27,9 +28,11 @@ def outlier_rows(df: DataFrame, column: str, threshold: float = THRESHOLD) -> Da
     None with fewer than ten numbers, or where at least half of them are equal
     (no spread to measure by).
     """
-    scale = F.broadcast(center(df, column).where((F.col("n") >= LEAST_ROWS) & (F.col("mad") != 0)).select(F.col("median").alias("__median"), F.col("mad").alias("__mad")))
-    valued = df.withColumn("__x", to_number(F.col(f"`{column}`"))).where("__x is not null").crossJoin(scale)
-    return valued.where(F.abs(FACTOR * (F.col("__x") - F.col("__median")) / F.col("__mad")) > threshold).drop("__median", "__mad")
+    middle, mad, n = center(df, column)
+    valued = df.withColumn("__x", to_number(F.col(f"`{column}`")))
+    if n < LEAST_ROWS or not mad:
+        return valued.limit(0)
+    return valued.where(F.abs(FACTOR * (F.col("__x") - F.lit(middle)) / F.lit(mad)) > threshold)
 
 
 def outliers(df: DataFrame, rid: str, column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions.kinds import value_kind, zero_one
 from limpid.functions.text import signature
+from limpid.operators.ranks import median
 
 BINS = 16
 FLOAT_SHARE = 0.05
@@ -78,8 +79,9 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = []
     for c in columns:
         x = F.col(f"`{c}`").cast("double")
+        middle = F.lit(median(df, x)).cast("double")
         x = F.when(~F.isnan(x), x)
-        stats.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("low"), F.max(x).alias("high"), (F.max(x) - F.min(x)).alias("span"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std")))
+        stats.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("low"), F.max(x).alias("high"), (F.max(x) - F.min(x)).alias("span"), F.avg(x).alias("mean"), middle.alias("median"), F.stddev_pop(x).alias("std")))
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 

@@ -7,12 +7,13 @@ are found without a sort of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions.kinds import is_datetime
 from limpid.functions.numbers import to_number
 from limpid.functions.text import noise_mask
+from limpid.operators.ranks import kth_smallest, median
 
 #: What a profile looks at: all of a small table, else a bounded number of rows.
 ALL_CELLS, ALL_ROWS, MOST_ROWS, FEWEST_ROWS = 50_000, 1_500, 1_000, 100
@@ -66,15 +67,24 @@ def text_parts(df: DataFrame, column: str) -> DataFrame:
     """``df`` with ``is_short``: whether a text is no longer than the median length."""
     length = F.char_length(f"`{column}`" if "`" not in column else column)
     present = df.where(F.col(f"`{column}`").isNotNull())
-    median = present.agg(F.median(length).alias("__median"))
-    return present.crossJoin(F.broadcast(median)).withColumn("is_short", length <= F.col("__median")).drop("__median")
+    middle = median(present, length.cast("double"))
+    return present.withColumn("is_short", length <= F.lit(middle).cast("double"))
 
 
 def text_halves(values: DataFrame) -> DataFrame:
-    """Few distinct texts in halves by length: ``value, half`` with 0 for the shorter half."""
-    by_length = Window.orderBy(F.char_length("value"), "first_rid")
-    total = values.agg(F.count("*").alias("total"))
-    return values.withColumn("__r", F.row_number().over(by_length)).crossJoin(F.broadcast(total)).select("value", F.when(F.col("__r") <= F.floor(F.col("total") / 2), 0).otherwise(1).alias("half"))
+    """Distinct texts in halves by length, ties by first appearance: ``value, half`` with 0 for the shorter half.
+
+    The last of the shorter half is found by rank, first of lengths, then of
+    the rows of that length, so nothing is sorted as a whole.
+    """
+    length = F.char_length("value")
+    k = values.count() // 2
+    if not k:
+        return values.select("value", F.lit(1).alias("half"))
+    last = kth_smallest(values, length, k)
+    k -= values.where(length < last).count()
+    rid = kth_smallest(values.where(length == last), F.col("first_rid"), k)
+    return values.select("value", F.when((length < last) | ((length == last) & (F.col("first_rid") <= rid)), 0).otherwise(1).alias("half"))
 
 
 def noise_patterns(df: DataFrame, rid: str, column: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from limpid.functions.equality import lenient_equal, outcome
 
 REPORT_ROWS = 1500
+#: Parts of a column that its first rows are looked for in.
+REPORT_PARTS = 64
 
 
 def aligned(left: DataFrame, right: DataFrame, rid: str) -> DataFrame:
@@ -21,9 +23,9 @@ def aligned(left: DataFrame, right: DataFrame, rid: str) -> DataFrame:
 
 def same_shape(*tables: DataFrame) -> None:
     """Raises ValueError unless all tables have the same columns and number of rows."""
-    first = tables[0]
+    rows = tables[0].count()
     for t in tables[1:]:
-        if t.columns != first.columns or t.count() != first.count():
+        if t.columns != tables[0].columns or t.count() != rows:
             raise ValueError("The tables must have the same rows and columns.")
 
 
@@ -91,10 +93,15 @@ def dashboard(counted: DataFrame) -> DataFrame:
 
 
 def report(cells: DataFrame, most: int = REPORT_ROWS) -> DataFrame:
-    """Cells that were wrong or were touched, and how each ended; the first rows of each column."""
-    listed = cells.where("error or changed").withColumn("status", outcome(F.col("error"), F.col("changed"), F.col("correct")))
-    first = Window.partitionBy("column").orderBy("rid")
-    return listed.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r")
+    """Cells that were wrong or were touched, and how each ended; the first ``most`` rows of each column.
+
+    The first rows of a column are looked for in each of many parts of its
+    rows before these are put together, so no task sorts a whole column.
+    """
+    listed = cells.where("error or changed").withColumn("status", outcome(F.col("error"), F.col("changed"), F.col("correct"))).withColumn("__part", F.pmod(F.xxhash64("rid"), F.lit(REPORT_PARTS)))
+    for parts in (["column", "__part"], ["column"]):
+        listed = listed.withColumn("__r", F.row_number().over(Window.partitionBy(*parts).orderBy("rid"))).where(F.col("__r") <= most).drop("__r")
+    return listed.drop("__part")
 
 
 def detection_only(cells: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    scale = out.center(events, "value").first()
-    reach = out.THRESHOLD * scale["mad"] / out.FACTOR
-    value = rules.capped_outliers(F.col("value"), scale["median"], scale["median"] - reach, scale["median"] + reach, "median")
+    middle, mad, _ = out.center(events, "value")
+    reach = out.THRESHOLD * mad / out.FACTOR
+    value = rules.capped_outliers(F.col("value"), middle, middle - reach, middle + reach, "median")
     return events.select("event_id", F.round(value, 6).alias("value"))
 
 

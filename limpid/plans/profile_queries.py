@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.functions import kinds, numbers, text
 from limpid.operators import outliers as out
 from limpid.operators import profile, sampling
+from limpid.operators.ranks import numbered
 from limpid.plans.demo import PARTS, STAR, made, table
 
 EVENT_COLUMNS = ["user_id", "event_type", "value"]
@@ -122,7 +123,7 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = sampling.distinct_values(table(spark, sf_dir, "part"), "p_partkey", "p_type")
-    return x.select(F.row_number().over(Window.orderBy("first_rid")).cast("long").alias("place"), "value", "n")
+    return numbered(x, "first_rid", "place").select(F.col("place").cast("long").alias("place"), "value", "n")
 
 
 def text_halves(spark: SparkSession, sf_dir: str) -> DataFrame:

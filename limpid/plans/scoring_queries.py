@@ -44,7 +44,7 @@ def gui_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.report(_cells(spark, sf_dir), 100).select("rid", "column", "dirty", "cleaned", "truth", "status")
+    return scoring.report(_cells(spark, sf_dir)).select("rid", "column", "dirty", "cleaned", "truth", "status")
 
 
 def score_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ ORACLE = {
                round(2 * rp * rr / nullif(rp + rr, 0), 6) AS repair_f1 FROM g""",
     "score_reports": f"""{_MASK.format(**_ONE)}, r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY rid) AS i FROM m WHERE error OR changed)
         SELECT rid, "column", dirty, cleaned, truth, CASE WHEN error AND correct THEN 'Corrected (TP)' WHEN NOT error AND NOT correct THEN 'Wrong correction (FP)'
-               WHEN error AND changed THEN 'Detected but wrong fix' WHEN error THEN 'Not fixed (FN)' ELSE '(TN)' END AS status FROM r WHERE i <= 100""",
+               WHEN error AND changed THEN 'Detected but wrong fix' WHEN error THEN 'Not fixed (FN)' ELSE '(TN)' END AS status FROM r WHERE i <= 1500""",
     "score_strict": f"""WITH p AS (SELECT p_partkey, size_text AS a, CAST(p_size AS VARCHAR) AS b FROM ({PARTS}))
         SELECT p_partkey, {_EQ.format(a="a", b="b")} AS lenient, false AS strict, false AS typed, coalesce(TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE), trim(a) = b, false) AS shown FROM p""",
     "changed_rows": f"""{_F} SELECT d.{RID}, {_SHOW.format("d.n_name")} || ', ' || {_SHOW.format("d.r_name")} || ' => ' || {_SHOW.format("c.n_name")} || ', ' || {_SHOW.format("c.r_name")} AS line
