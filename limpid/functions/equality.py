@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpid.functions.numbers import close, close_symmetric, to_number
 
@@ -21,6 +22,24 @@ def lenient_equal(a: Column, b: Column, numeric: bool = True) -> Column:
     return _with_missing(a, b, F.when(x.isNotNull() & y.isNotNull(), close(x, y)).otherwise(a.cast("string") == b.cast("string")))
 
 
+def value_kind_of(c: Column, of_type: T.DataType) -> Column:
+    """bool, int, float or text: by the column's type, and of whole floating numbers none is an int."""
+    kind = "bool" if isinstance(of_type, T.BooleanType) else "int" if isinstance(of_type, T.IntegralType) else "float" if isinstance(of_type, (T.FractionalType, T.DecimalType)) else "text"
+    return F.when(c.isNotNull(), F.lit(kind))
+
+
+def text_kind(c: Column) -> Column:
+    """The kind that a cell of a text table was written as: a number without marks is a number, ``true`` and ``false`` are bool, all else is text."""
+    text = c.cast("string")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), "int").when(to_number(text).isNotNull(), "float").when(F.lower(text).isin("true", "false"), "bool").when(text.isNotNull(), "text")
+
+
+def column_kind(df: DataFrame, column: str) -> str | None:
+    """The kind that all cells of a text column share (int and float together are float); None for mixed ones, where each cell decides."""
+    kinds = {r[0] for r in df.select(text_kind(F.col(f"`{column}`")).alias("k")).where("k is not null").distinct().collect()}  # four at most
+    return "float" if kinds == {"int", "float"} else kinds.pop() if len(kinds) == 1 else None
+
+
 def typed_equal(a: Column, b: Column, a_kind: Column, b_kind: Column) -> Column:
     """As values of their kinds: the text ``20`` is not the number 20, but 20 and 20.0 are the same."""
     number = lambda k: k.isin("int", "float")

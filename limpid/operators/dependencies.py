@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions.text import shortened
 from limpid.operators.profile import column_stats, repetition, value_counts
+from limpid.sources.store import stored
 
 LEAST_SCORE = 0.925
 REPEATED_VALUES = 0.7
@@ -43,6 +44,26 @@ def pair_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [some(numbered[i : i + PAIRS_AT_ONCE]) for i in range(0, len(numbered), PAIRS_AT_ONCE)])
 
 
+def _known_scores(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
+    """Scores of pairs with a column that is never missing and never repeats, which follow from the columns' own counts.
+
+    Such a column determines every other; and it agrees with another's value
+    once for each distinct one. No row need be unfolded for that. One cheap
+    pass says which columns may be such, one more settles it.
+    """
+    x = {c: F.col(f"`{c}`") for c in columns}
+    rough = df.agg(F.count("*").alias("rows"), *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)], *[F.approx_count_distinct(x[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    rows = rough["rows"]
+    near = [c for i, c in enumerate(columns) if rows and rough[f"n{i}"] == rows and rough[f"d{i}"] >= 0.8 * rows]
+    if not near:
+        return {}
+    exact = df.agg(*[F.count_distinct(x[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    present, distinct = ({c: r[f"{k}{i}"] for i, c in enumerate(columns)} for r, k in ((rough, "n"), (exact, "d")))
+    keys = [c for c in near if distinct[c] == rows]
+    found = {(k, c): 1.0 if present[c] else 0.0 for k in keys for c in columns if c != k}
+    return {(c, k): distinct[c] / present[c] if present[c] else 0.0 for k in keys for c in columns if c != k} | found
+
+
 def score_pairs(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
     """``lhs, rhs, ord, score``: the share of rows that agree with their lhs value's commonest rhs value.
 
@@ -51,17 +72,20 @@ def score_pairs(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
     """
     wanted = [(a, b) for a in lhs for b in rhs if a != b]
     order = {p: i for i, p in enumerate(wanted)}
-    pairs = [p for p in combinations(dict.fromkeys([*lhs, *rhs]), 2) if p in order or p[::-1] in order]
+    columns = list(dict.fromkeys([*lhs, *rhs]))
+    known = _known_scores(df, columns)
+    pairs = [p for p in combinations(columns, 2) if any(q in order and q not in known for q in (p, p[::-1]))]
     spark = df.sparkSession
-    names = spark.createDataFrame([(a, b, i) for (a, b), i in order.items()] or [("", "", -1)], "lhs string, rhs string, ord int").where("ord >= 0")
+    told = spark.createDataFrame([(a, b, i, known.get((a, b))) for (a, b), i in order.items()] or [("", "", -1, None)], "lhs string, rhs string, ord int, known double").where("ord >= 0")
+    names = told.select("lhs", "rhs", "ord")
     if not pairs:
-        return names.withColumn("score", F.lit(0.0))
+        return told.select("lhs", "rhs", "ord", F.coalesce("known", F.lit(0.0)).alias("score"))
     sides = spark.createDataFrame([(i, *p, False) for i, p in enumerate(pairs) if p in order] + [(i, *p[::-1], True) for i, p in enumerate(pairs) if p[::-1] in order], "pair int, lhs string, rhs string, turned boolean")
     counted = pair_counts(df, pairs)
     directed = counted.join(F.broadcast(sides), "pair").select("lhs", "rhs", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("l"), "n")
     best = directed.groupBy("lhs", "rhs", "l").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
     score = best.groupBy("lhs", "rhs").agg((F.sum("most") / F.sum("all")).alias("score"))
-    return names.join(F.broadcast(score), ["lhs", "rhs"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return told.join(F.broadcast(score), ["lhs", "rhs"], "left").select(*names.columns, F.coalesce("known", "score", F.lit(0.0)).alias("score"))
 
 
 def dependencies(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
@@ -96,7 +120,11 @@ def issues(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def detect(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
-    """Merged dependencies that have violations or gaps: ``lhs, rhs, score, violations, imputables``."""
+    """Merged dependencies that have violations or gaps: ``lhs, rhs, score, violations, imputables``.
+
+    The columns are written once and read for each question, however the table was made.
+    """
+    df = stored(df.select(*dict.fromkeys([rid, *columns])))
     kept = merged(dependencies(df, rid, columns), df, columns).collect()  # at most one row a column
     if not kept:
         return df.sparkSession.createDataFrame([], "lhs string, rhs string, score double, violations bigint, imputables bigint")

@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 from limpid.functions.numbers import half_even_integer, to_number
 from limpid.functions.text import placeholder_to_null, strip_markup
 
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "M/d/yy", "yyyyMMdd"]
+#: Date formats in the order in which they are tried, and the shape that a text must have to be worth parsing.
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "yyyy/MM/dd": r"[0-9]{4}/[0-9]{2}/[0-9]{2}",
+    "dd/MM/yyyy": r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
+    "MM/dd/yyyy": r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
+    "dd-MM-yyyy": r"[0-9]{2}-[0-9]{2}-[0-9]{4}",
+    "d MMMM yyyy": r"[0-9]{1,2} \p{L}+ [0-9]{4}",
+    "MMMM d, yyyy": r"\p{L}+ [0-9]{1,2}, [0-9]{4}",
+    "yyyy-MM-dd HH:mm:ss": r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}",
+    "M/d/yy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}",
+    "yyyyMMdd": r"[0-9]{8}",
+}
+DATE_FORMATS = list(DATE_SHAPES)
 #: Fixed pairs of words for true and false, the first of which a column uses most.
 PAIRS = [("true", "false"), ("t", "f"), ("yes", "no"), ("y", "n"), ("1", "0")]
 
@@ -26,24 +39,31 @@ def missing(c: Column, more: tuple[str, ...] = (), sentinels: tuple[float, ...]
 
 
 def dominant(df: DataFrame, form: Column, rid: str) -> str | None:
-    """The commonest value of ``form``, ties by first appearance: one small row to the driver."""
-    row = df.where(form.isNotNull()).groupBy(form.alias("form")).agg(F.count("*").alias("n"), F.min(rid).alias("first_rid")).orderBy(F.desc("n"), "first_rid").first()
+    """The commonest value of ``form``, ties by first appearance: one small row to the driver.
+
+    ``form`` is told once for each distinct row of the columns beside ``rid``.
+    """
+    values = df.groupBy(*[F.col(f"`{c}`") for c in df.columns if c != rid]).agg(F.count("*").alias("__n"), F.min(rid).alias("__first"))
+    row = values.where(form.isNotNull()).groupBy(form.alias("form")).agg(F.sum("__n").alias("n"), F.min("__first").alias("first_rid")).orderBy(F.desc("n"), "first_rid").first()
     return row["form"] if row else None
 
 
 def date_format_of(c: Column) -> Column:
     """The first known format that a text reads in, written back the same."""
-    x, text = F.lit(None).cast("string"), F.trim(c)
-    for f in reversed(DATE_FORMATS):
-        stamp = F.try_to_timestamp(text, F.lit(f))
-        x = F.when(stamp.isNotNull() & ((F.date_format(stamp, f) == text) | (F.char_length(text) != F.char_length(F.date_format(stamp, f)))), F.lit(f)).otherwise(x)
-    return x
+    text = F.trim(c)
+    return F.coalesce(*[F.when(parsed(text, f).isNotNull(), F.lit(f)) for f in DATE_FORMATS])
+
+
+def parsed(text: Column, form: str) -> Column:
+    """A timestamp if the text has the format's shape and is a date, else null: most texts fail on the shape, which is cheap."""
+    shaped = text.rlike(rf"^{DATE_SHAPES[form]}$") if form in DATE_SHAPES else F.lit(True)
+    return F.when(shaped, F.try_to_timestamp(text, F.lit(form)))
 
 
 def dates(c: Column, keep: str) -> Column:
     """Dates of any known format in the column's own format ``keep``; impossible ones become null."""
     text = F.trim(F.regexp_replace(c, r"[^0-9A-Za-z:/,. -]", ""))
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in [keep, *DATE_FORMATS]]), keep)
+    return F.date_format(F.coalesce(*[parsed(text, f) for f in dict.fromkeys([keep, *DATE_FORMATS])]), keep)
 
 
 def booleans(c: Column, pair: tuple[str, str] = PAIRS[0]) -> Column:

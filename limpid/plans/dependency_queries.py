@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from limpid.operators import dependencies as fd
 from limpid.operators import sampling
 from limpid.plans.demo import FLAT, FLAT_COLUMNS, made
+from limpid.sources.store import stored
 
 RID = "o_orderkey"
 LHS, RHS = "c_nationkey", "n_name"
@@ -23,7 +24,7 @@ def fd_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fd_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fd.score_pairs(_flat(spark, sf_dir), FLAT_COLUMNS, FLAT_COLUMNS).select("lhs", "rhs", F.round("score", 6).alias("score"))
+    return fd.score_pairs(stored(_flat(spark, sf_dir)), FLAT_COLUMNS, FLAT_COLUMNS).select("lhs", "rhs", F.round("score", 6).alias("score"))
 
 
 def fd_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

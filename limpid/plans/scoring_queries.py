@@ -48,12 +48,13 @@ def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A numeric column exported as text, held against the numbers leniently and strictly."""
+    """A numeric column exported as text, held against the numbers leniently, strictly and by kind; kinds are told from the cells and of the whole truth."""
     parts = made(spark, sf_dir, PARTS)
-    kind = F.when(F.col("size_text").rlike(r"^[0-9]+$"), "text").when(F.col("size_text").isNotNull(), "text")
-    strict = equality.strict_equal(F.col("size_text"), F.col("p_size").cast("string"), kind, F.lit("int"), "int")
+    kind, truth_kind = equality.text_kind(F.col("size_text")), equality.value_kind_of(F.col("p_size"), parts.schema["p_size"].dataType)
+    of_column = equality.column_kind(parts.select(F.col("p_size").cast("string").alias("size")), "size")
+    strict = equality.strict_equal(F.col("size_text"), F.col("p_size").cast("string"), kind, truth_kind, of_column)
     lenient = equality.lenient_equal(F.col("size_text"), F.col("p_size").cast("string"))
-    typed = equality.typed_equal(F.col("size_text"), F.col("p_size").cast("string"), kind, F.lit("int"))
+    typed = equality.typed_equal(F.col("size_text"), F.col("p_size").cast("string"), kind, truth_kind)
     shown = equality.shown_equal(F.col("size_text"), F.col("p_size").cast("string"))
     return parts.select("p_partkey", lenient.alias("lenient"), strict.alias("strict"), typed.alias("typed"), shown.alias("shown"))
 
@@ -145,7 +146,9 @@ ORACLE = {
         SELECT rid, "column", dirty, cleaned, truth, CASE WHEN error AND correct THEN 'Corrected (TP)' WHEN NOT error AND NOT correct THEN 'Wrong correction (FP)'
                WHEN error AND changed THEN 'Detected but wrong fix' WHEN error THEN 'Not fixed (FN)' ELSE '(TN)' END AS status FROM r WHERE i <= 1500""",
     "score_strict": f"""WITH p AS (SELECT p_partkey, size_text AS a, CAST(p_size AS VARCHAR) AS b FROM ({PARTS}))
-        SELECT p_partkey, {_EQ.format(a="a", b="b")} AS lenient, false AS strict, false AS typed, coalesce(TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE), trim(a) = b, false) AS shown FROM p""",
+        SELECT p_partkey, {_EQ.format(a="a", b="b")} AS lenient,
+               coalesce(regexp_full_match(a, '[0-9]+') AND TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE), false) AS strict,
+               coalesce(regexp_matches(a, '^[0-9]+([.][0-9]*)?$') AND TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE), false) AS typed, coalesce(TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE), trim(a) = b, false) AS shown FROM p""",
     "changed_rows": f"""{_F} SELECT d.{RID}, {_SHOW.format("d.n_name")} || ', ' || {_SHOW.format("d.r_name")} || ' => ' || {_SHOW.format("c.n_name")} || ', ' || {_SHOW.format("c.r_name")} AS line
         FROM d JOIN c USING ({RID}) WHERE """ + " OR ".join(f"d.{x} IS DISTINCT FROM c.{x}" for x in CELLS),
     "align_rows": f"{_F} SELECT d.{RID}, d.n_name AS before, c.n_name AS after FROM d JOIN c USING ({RID}) WHERE d.n_name IS NOT NULL",
