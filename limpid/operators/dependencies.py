@@ -34,11 +34,17 @@ def candidate_columns(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
 
 
 def pair_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``pair, a, b, n``: how often two values stand side by side, both being present."""
+    """``pair, a, b, n``: how often two values stand side by side, both being present.
+
+    Rows that agree in all columns are counted before they are unfolded into
+    pairs, so what is unfolded are the distinct rows.
+    """
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    df = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("__n"))
 
     def some(part: list[tuple[int, tuple[str, str]]]) -> DataFrame:
         cells = [F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) for i, (a, b) in part]
-        return df.select(F.inline(F.array(*cells))).where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.count("*").alias("n"))
+        return df.select("__n", F.inline(F.array(*cells))).where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.sum("__n").alias("n"))
 
     numbered = list(enumerate(pairs))
     return reduce(DataFrame.unionByName, [some(numbered[i : i + PAIRS_AT_ONCE]) for i in range(0, len(numbered), PAIRS_AT_ONCE)])

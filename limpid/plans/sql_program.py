@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 #: Trim, repair spellings, unify nulls, cast: the shape of a cleaning program. It runs unchanged on either engine.
@@ -17,7 +19,13 @@ BRANDS = """
 
 
 def run(df: DataFrame, sql: str, relation: str = "dirty", columns: list[str] | None = None) -> DataFrame:
-    """The program's result over ``df`` under the relation's name, in the order of the input's columns where they remain."""
-    out = df.sparkSession.sql(sql.replace(f"FROM {relation}", "FROM {__dirty}"), __dirty=df)
+    """The program's result over ``df`` under the relation's name, in the order of the input's columns where they remain.
+
+    The name is taken after FROM and JOIN in any case, quoted or not, where it
+    stands alone: not as a part of a longer name, and not in a text.
+    """
+    named = re.compile(rf"('(?:[^']|'')*')|\b(FROM|JOIN)(\s+)([\"`]?){re.escape(relation)}\4(?![\w.])", re.IGNORECASE)
+    text = named.sub(lambda m: m[1] or f"{m[2]}{m[3]}{{__dirty}}", sql)
+    out = df.sparkSession.sql(text, __dirty=df)
     kept = [c for c in (columns or df.columns) if c in out.columns]
     return out.select(*kept, *[c for c in out.columns if c not in kept])
