@@ -94,13 +94,13 @@ def score_pairs(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
     return told.join(F.broadcast(score), ["lhs", "rhs"], "left").select(*names.columns, F.coalesce("known", "score", F.lit(0.0)).alias("score"))
 
 
-def dependencies(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
+def dependencies(df: DataFrame, rid: str, columns: list[str], least: float = LEAST_SCORE) -> DataFrame:
     """Dependencies at or above the threshold between candidate columns, before merging: ``lhs, rhs, ord, score``."""
     roles = candidate_columns(df, rid, columns).collect()  # one row a column
     by = {r["column"]: r for r in roles}
     lhs = [c for c in columns if c in by and by[c]["as_lhs"]]
     rhs = [c for c in columns if c in by and by[c]["as_rhs"]]
-    return score_pairs(df, lhs, rhs).where(F.col("score") >= LEAST_SCORE)
+    return score_pairs(df, lhs, rhs).where(F.col("score") >= least)
 
 
 def merged(found: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,13 +125,13 @@ def issues(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return names.join(F.broadcast(seen), "pair", "left").select("lhs", "rhs", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"), F.coalesce("imputables", F.lit(0)).cast("long").alias("imputables"))
 
 
-def detect(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
+def detect(df: DataFrame, rid: str, columns: list[str], least: float = LEAST_SCORE) -> DataFrame:
     """Merged dependencies that have violations or gaps: ``lhs, rhs, score, violations, imputables``.
 
     The columns are written once and read for each question, however the table was made.
     """
     df = stored(df.select(*dict.fromkeys([rid, *columns])))
-    kept = merged(dependencies(df, rid, columns), df, columns).collect()  # at most one row a column
+    kept = merged(dependencies(df, rid, columns, least), df, columns).collect()  # at most one row a column
     if not kept:
         return df.sparkSession.createDataFrame([], "lhs string, rhs string, score double, violations bigint, imputables bigint")
     pairs = [(r["lhs"], r["rhs"]) for r in kept]

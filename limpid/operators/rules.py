@@ -138,6 +138,22 @@ def dictionary(c: Column, words: dict[str, str | None]) -> Column:
     return x.otherwise(c)
 
 
+def usual_digits(df: DataFrame, rid: str, share: float) -> int | None:
+    """The digits behind the point that at least ``share`` of the numbers in the column beside ``rid`` have or stay below; None if no number of them is so usual."""
+    (column,) = [c for c in df.columns if c != rid]
+    counted = df.groupBy(fraction_digits(F.col(f"`{column}`")).alias("digits")).count().where("digits is not null").collect()  # a row a number of digits
+    total = sum(r["count"] for r in counted)
+    best = max(counted, key=lambda r: (r["count"], r["digits"]), default=None)
+    return int(best["digits"]) if best and best["digits"] and best["count"] >= share * total else None
+
+
+def case_map(df: DataFrame, column: str, rid: str) -> DataFrame:
+    """``value, canonical``: spellings that differ only in case and blanks, to the commonest; ties go to the first."""
+    counted = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(rid).alias("first_rid"))
+    best = counted.groupBy(F.lower(F.trim("value")).alias("folded")).agg(F.min(F.struct((-F.col("n")).alias("n"), "first_rid", "value")).alias("b"))
+    return counted.join(best, F.lower(F.trim("value")) == F.col("folded")).select("value", F.col("b.value").alias("canonical"))
+
+
 def spelling_map(df: DataFrame, column: str, rid: str, common: int = 5, rare: int = 2) -> DataFrame:
     """``value, canonical``: rare values one edit or only case and blanks from a common one.
 
@@ -172,6 +188,26 @@ def capped_outliers(c: Column, median: float, low: float, high: float, policy: s
     return F.when(is_placeholder, None).when(out, given).otherwise(x)
 
 
+def all_change_problems(before: DataFrame, changes: dict[str, Column]) -> dict[str, dict[str, bool]]:
+    """:func:`change_problems` of many columns at once: one aggregate, one row to the driver."""
+    if not changes:
+        return {}
+    aggs = []
+    for i, (column, after) in enumerate(changes.items()):
+        a, b = F.col(f"`{column}`").cast("string"), after.cast("string")
+        aggs += [
+            F.count(a).alias(f"present{i}"), F.count(b).alias(f"kept{i}"), F.count_if((a != b) & (F.lower(a) == F.lower(b))).alias(f"recased{i}"), F.count_if(F.char_length(b) * 2 < F.char_length(a)).alias(f"short{i}"),
+            F.min(a).alias(f"a{i}"), F.max(a).alias(f"b{i}"), F.approx_count_distinct(a).alias(f"da{i}"), F.min(b).alias(f"c{i}"), F.max(b).alias(f"d{i}"),
+        ]
+    r = before.agg(*aggs).first()
+    out = {}
+    for i, column in enumerate(changes):
+        x = lambda k: r[f"{k}{i}"]  # noqa: B023, E731
+        # One value is left if least and greatest agree; more than two were there is a matter of an estimate that is exact for so few.
+        out[column] = {"emptied": x("present") > 0 and x("kept") == 0, "collapsed": x("da") > 2 and x("kept") > 0 and x("c") == x("d"), "recased": x("recased") * 2 > x("present"), "shortened": x("short") * 2 > x("present")}
+    return out
+
+
 def change_problems(before: DataFrame, column: str, after: Column) -> DataFrame:
     """What a validator would object to in a rule's effect: ``emptied, collapsed, recased, shortened`` as booleans."""
     a, b = F.col(f"`{column}`").cast("string"), after.cast("string")

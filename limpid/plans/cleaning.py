@@ -1,11 +1,13 @@
 """Cleaning a whole table: column rules by semantic type, then dependencies in order.
 
 Only plans are assembled on the driver. Types come from one profile job; all
-column rules fuse into one projection; each dependency adds one join.
+column rules fuse into one projection and are judged by one aggregate; each
+list of unified spellings and each dependency adds one join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.operators import dependencies as fd
-from limpid.operators import profile, rules, sampling
+from limpid.operators import outliers, profile, rules, sampling
 from limpid.sources.datasets import Settings
 
 #: A cleaner takes the table, a column and its semantic type; None means that the column is clean already.
@@ -37,74 +39,134 @@ class Report:
     def add(self, *values: str) -> None:
         self.steps.append(Step(*values))
 
+    def outcomes(self) -> dict[str, int]:
+        """How many steps ended in each way."""
+        return dict(Counter(s.outcome for s in self.steps))
+
     def to_df(self, df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([(i, s.target, s.kind, s.outcome, s.note) for i, s in enumerate(self.steps)], "step int, target string, kind string, outcome string, note string")
 
 
-def default_cleaner(rid: str) -> Cleaner:
+#: Kinds whose values repeat as words of a list, where they do: spellings are then unified.
+CATEGORIES = ("NAMED_ENTITY", "DISCRETE_STRING")
+#: A column is a list of categories if its distinct values are at most this share of those present.
+CATEGORY_SHARE = 0.5
+#: Kinds whose effect is not judged: turning them into numbers changes texts as a matter of course.
+NOT_JUDGED = ("INTEGER", "FLOAT", "DIRTY_INTEGER", "DIRTY_FLOAT")
+#: A column's own number of digits is kept to if this share of its numbers has it.
+PRECISION_SHARE = 0.9
+
+
+def default_cleaner(rid: str, settings: Settings | None = None) -> Cleaner:
     """The rule library by semantic type. Cleaned values stay text, but for numbers."""
+    settings = settings or Settings()
+
+    def numbers(df: DataFrame, column: str, value: Column) -> Column:
+        if settings.outlier_policy not in ("median", "null"):
+            return value
+        seen = df.select(value.alias("x"))
+        middle, mad, n = outliers.center(seen, "x")
+        if n < outliers.LEAST_ROWS or not mad:
+            return value
+        reach = outliers.THRESHOLD * mad / outliers.FACTOR
+        capped = rules.capped_outliers(value, middle, middle - reach, middle + reach, settings.outlier_policy)
+        return F.when(value.isNotNull(), capped)
 
     def clean(df: DataFrame, column: str, kind: str) -> Column | None:
-        c = rules.missing(F.col(f"`{column}`").cast("string"))
+        own = df.select(rid, F.col(f"`{column}`").cast("string").alias("v"))
+        c = rules.missing(F.col(f"`{column}`").cast("string"), sentinels=settings.sentinels if kind in NOT_JUDGED else ())
         if kind == "BOOLEAN":
-            words = F.lower(F.trim(F.col(f"`{column}`")))
+            words = F.lower(F.trim("v"))
             pair_of = F.coalesce(*[F.when(words.isin(list(p)), F.lit(i)) for i, p in enumerate(rules.PAIRS)])
-            chosen = rules.dominant(df.select(rid, column), pair_of, rid)
-            return rules.booleans(c, rules.PAIRS[chosen or 0])
+            return rules.booleans(c, rules.PAIRS[rules.dominant(own, pair_of, rid) or 0])
         if kind in ("INTEGER", "DIRTY_INTEGER"):
-            return rules.integers(c)
+            return numbers(df, column, rules.integers(c).cast("double")).cast("bigint")
         if kind in ("FLOAT", "DIRTY_FLOAT"):
-            return rules.decimals(c)
+            return numbers(df, column, rules.decimals(c, rules.usual_digits(own, rid, PRECISION_SHARE)))
         if kind == "DATETIME":
-            form = rules.dominant(df.select(rid, column), rules.date_format_of(F.col(f"`{column}`")), rid)
+            form = rules.dominant(own, rules.date_format_of(F.col("v")), rid)
             return rules.dates(c, form) if form else None
         if kind == "NATURAL_LANGUAGE_TEXT":
             return rules.free_text(c)
         if kind == "COLLECTION":
             return rules.collections(c)
         if kind == "DELIMITED_STRING":
-            return rules.delimited(c, ", ")
+            return rules.delimited(c, rules.dominant(own, F.nullif(F.regexp_extract("v", r"\s*[,;|]\s*", 0), F.lit("")), rid) or ", ")
         return rules.identifiers(c)
 
     return clean
 
 
+def unified(df: DataFrame, rid: str, columns: list[str], report: Report) -> DataFrame:
+    """``df`` with spellings unified in the columns that are lists of categories: first those that differ in case and blanks, then rare ones an edit away from a common one."""
+    stats = {r["column"]: r for r in profile.column_stats(df, columns).collect()} if columns else {}
+    for c in columns:
+        if not stats[c]["present"] or stats[c]["distinct"] > CATEGORY_SHARE * stats[c]["present"]:
+            continue
+        for found, what in ((rules.case_map, "case and blanks"), (rules.spelling_map, "spelling")):
+            words = found(df, c, rid).where("value <> canonical")
+            n = words.count()
+            if n:
+                df = rules.respelled(df, c, words)
+                report.add(c, "CATEGORY", "unified", f"{what}: {n} values")
+    return df
+
+
 def clean_table(df: DataFrame, rid: str, settings: Settings | None = None, cleaner: Cleaner | None = None) -> tuple[DataFrame, Report]:
     """The cleaned table and what was done.
 
     Columns that the settings name as clean, and columns without values, stay.
-    A rule that would empty or collapse its column is not applied, and a
-    cleaner that fails leaves its column as it was; neither stops the others.
-    Dependencies are enforced level by level; each is looked at again on the
-    table as it is by then, and left out if nothing is wrong any more.
+    A rule that would empty or collapse its column, change the case of most of
+    its values or cut most of them short is not applied (numbers are not
+    judged by the last two), and a cleaner that fails leaves its column as it
+    was; neither stops the others. All rules are judged by one aggregate.
+    Without a cleaner of the caller's, spellings of categories are unified
+    next. Dependencies that score at least ``least_score`` are enforced level
+    by level; each is looked at again on the table as it is by then, and left
+    out if nothing is wrong any more.
     """
-    settings, cleaner, report = settings or Settings(), cleaner or default_cleaner(rid), Report()
+    settings, report = settings or Settings(), Report()
+    default = cleaner is None
+    cleaner = cleaner or default_cleaner(rid, settings)
     columns = [c for c in df.columns if c != rid]
     seen = sampling.profile_rows(df, rid, str(settings.seed))
     types = {r["column"]: r["semantic_type"] for r in profile.semantic_types(profile.value_counts(seen, rid, columns), columns).collect()}
     changes: dict[str, Column] = {}
+    outcomes: dict[str, tuple[str, str]] = {}
     for c in columns:
-        kind = types[c]
-        if c in settings.clean_columns or kind in ("EMPTY", "UNKNOWN"):
-            report.add(c, kind, "skipped")
+        if c in settings.clean_columns or types[c] in ("EMPTY", "UNKNOWN"):
+            outcomes[c] = "skipped", ""
             continue
         try:
-            value = cleaner(df, c, kind)
-            if value is None:
-                report.add(c, kind, "already clean")
-                continue
-            problems = rules.change_problems(df, c, value).first().asDict()
+            value = cleaner(df, c, types[c])
+            if value is not None:
+                df.select(value.alias(c))  # a rule that cannot be planned fails here, for its column alone
+                changes[c] = value
+            outcomes[c] = ("cleaned" if value is not None else "already clean"), ""
         except Exception as e:
-            report.add(c, kind, "failed", str(e).splitlines()[0][:200])
-            continue
-        if problems["emptied"] or problems["collapsed"]:
-            report.add(c, kind, "rejected", ", ".join(k for k, v in problems.items() if v))
-            continue
-        changes[c] = value
-        report.add(c, kind, "cleaned")
+            outcomes[c] = "failed", str(e).splitlines()[0][:200]
+    try:
+        judged = rules.all_change_problems(df, changes)
+    except Exception:  # some rule fails on some value: each is judged alone
+        judged = {}
+        for c, value in changes.items():
+            try:
+                judged |= rules.all_change_problems(df, {c: value})
+            except Exception as e:
+                outcomes[c] = "failed", str(e).splitlines()[0][:200]
+    for c in list(changes):
+        problems = [k for k, v in judged.get(c, {}).items() if v and not (types[c] in NOT_JUDGED and k in ("recased", "shortened"))]
+        if problems:
+            outcomes[c] = "rejected", ", ".join(problems)
+        if problems or outcomes[c][0] == "failed":
+            del changes[c]
+    for c in columns:
+        report.add(c, types[c], *outcomes[c])
     cleaned = df.withColumns(changes) if changes else df
+    if default:
+        cleaned = unified(cleaned, rid, [c for c in columns if types[c] in CATEGORIES and c in changes], report)
     text = cleaned.select(rid, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    found = [(r["lhs"], r["rhs"], r["score"]) for r in fd.detect(text.withColumn("__rid", F.col(rid)), "__rid", columns).collect()]
+    found = [(r["lhs"], r["rhs"], r["score"]) for r in fd.detect(text.withColumn("__rid", F.col(rid)), "__rid", columns, settings.least_score).collect()]
     for level in fd.enforcement_order(found):
         for lhs, rhs, score in level:
             left = fd.issues(cleaned, [(lhs, rhs)]).first()
@@ -131,3 +193,19 @@ def apply_series_cleaner(df: DataFrame, column: str, clean: Callable, rid: str)
         return out.astype(object).where(out.notna(), None).map(lambda v: v if v is None else str(v))
 
     return df.withColumn(column, run(F.col(f"`{column}`").cast("string")))
+
+
+def apply_pair_cleaner(df: DataFrame, lhs: str, rhs: str, clean: Callable) -> DataFrame:
+    """A supplied pandas function on two columns, batch by batch; it has to keep the left one as it is and the number of rows."""
+    out_type = T.StringType()
+
+    @F.pandas_udf(out_type)
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        given = pd.DataFrame({lhs: left, rhs: right})
+        out = clean(given.copy())
+        if not isinstance(out, pd.DataFrame) or len(out) != len(given) or not out[lhs].reset_index(drop=True).equals(given[lhs].reset_index(drop=True)):
+            raise TypeError("A cleaner of two columns has to return a table as long as its input, with the left column as it was.")
+        return out[rhs].astype(object).where(out[rhs].notna(), None).map(lambda v: v if v is None else str(v))
+
+    text = [F.col(f"`{c}`").cast("string") for c in (lhs, rhs)]
+    return df.withColumn(rhs, run(*text))

@@ -40,17 +40,10 @@ def clean_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
     trimmed = parts.select("p_partkey", rules.missing(F.col("brand_text")).alias("brand"))
-    respelled = rules.respelled(trimmed, "brand", _case_map(trimmed))
+    respelled = rules.respelled(trimmed, "brand", rules.case_map(trimmed, "brand", "p_partkey"))
     return respelled.select("p_partkey", rules.identifiers(F.col("brand")).alias("brand"))
 
 
-def _case_map(df: DataFrame) -> DataFrame:
-    """Spellings that differ only in case and blanks, to the commonest."""
-    counted = df.where("brand is not null").groupBy(F.col("brand").alias("value")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_rid"))
-    best = counted.groupBy(F.lower(F.trim("value")).alias("folded")).agg(F.min(F.struct((-F.col("n")).alias("n"), "first_rid", "value")).alias("b"))
-    return counted.join(best, F.lower(F.trim("value")) == F.col("folded")).select("value", F.col("b.value").alias("canonical"))
-
-
 def clean_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare misspellings of segments, one letter off, to the common spelling."""
     dirty = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") == 7, F.regexp_replace("c_mktsegment", "[EI]", "")).when(F.col("c_custkey") == 8, F.concat("c_mktsegment", F.lit("S"))).otherwise(F.col("c_mktsegment")).alias("segment"))
