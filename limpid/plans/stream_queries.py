@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.plans.demo import table
+from limpid.sources.store import shared_folder
 from limpid.streaming.profiles import event_stream, windowed_profile
 
 
@@ -16,8 +16,7 @@ def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly profiles of event values, computed by a stream over the events' files and read back from its sink."""
     like = table(spark, sf_dir, "events")
     stream = event_stream(spark, f"{sf_dir}/events.parquet*", like)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="limpid-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
