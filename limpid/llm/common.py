@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limpid.sources.store import shared_folder, stored
+
 #: Characters that separate words and that line keys are stripped of: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,22 +22,6 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORDS_KEPT = 200_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where the session names none, a local session gets a temporary folder; on
-    a cluster, whose machines share no such folder, that is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="limpid-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext
@@ -47,18 +30,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    For tables too large for row checkpoints. Like checkpoint files, what is
-    written stays in that folder until its owner clears it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/limpid-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a few numbers that may be broadcast.
 FEW_ROWS = 250_000
 
