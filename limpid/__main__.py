@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from limpid.plans import export
 from limpid.plans.cleaning import clean_table
 from limpid.sources.datasets import Settings, dirty_next_to, numeric_columns, resolve
 from limpid.sources.tables import RID, load_table, save_table, stored_runs, with_row_ids
+from limpid.streaming.logs import append_trace
 
 
 def _numbered(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -43,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     clean.add_argument("--sample-size", type=int)
     clean.add_argument("--results")
     clean.add_argument("--notebook")
+    clean.add_argument("--trace", help="folder of the run's log")
     judge = commands.add_parser("evaluate", help="score a cleaned file against its ground truth")
     judge.add_argument("cleaned")
     judge.add_argument("truth")
@@ -63,12 +66,14 @@ def main(argv: list[str] | None = None) -> int:
         dirty = _numbered(spark, source).cache()
         cleaned, report = clean_table(dirty, RID, settings)
         path = save_table(cleaned.drop(RID), str(source), args.out)
-        result = {"source": str(source), "cleaned": path, "steps": [vars(s) for s in report.steps]}
+        result = {"source": str(source), "cleaned": path, "settings": vars(settings), "steps": [vars(s) for s in report.steps]}
         if truth:
             result["scores"] = as_json(evaluate(dirty, cleaned, _numbered(spark, truth), numeric_columns(truth)))
+        if args.trace:
+            append_trace(report.trace(cleaned, int(time.time() * 1000)), args.trace)
         if args.notebook:
             changed = scoring.masks(dirty, cleaned, dirty, RID).where("changed").count()
-            export.write_notebook(args.notebook, str(source), args.out, RID, report, changed, {"seed": settings.seed})
+            export.write_notebook(args.notebook, str(source), args.out, RID, report, changed)
     elif args.command == "evaluate":
         tables = [_numbered(spark, p) for p in (dirty_next_to(args.truth), args.cleaned, args.truth)]
         result = {"scores": as_json(evaluate(*tables, numeric_columns(args.truth)))}

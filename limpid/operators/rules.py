@@ -188,6 +188,12 @@ def capped_outliers(c: Column, median: float, low: float, high: float, policy: s
     return F.when(is_placeholder, None).when(out, given).otherwise(x)
 
 
+def capped(c: Column, median: float, low: float, high: float, policy: str, whole: bool = False) -> Column:
+    """``capped_outliers`` of the numbers that are there; whole ones stay whole."""
+    x = F.when(c.isNotNull(), capped_outliers(c.cast("double"), median, low, high, policy))
+    return x.cast("bigint") if whole else x
+
+
 def all_change_problems(before: DataFrame, changes: dict[str, Column]) -> dict[str, dict[str, bool]]:
     """:func:`change_problems` of many columns at once: one aggregate, one row to the driver."""
     if not changes:

@@ -17,6 +17,8 @@ from limpid.operators.ranks import kth_smallest, median
 
 #: What a profile looks at: all of a small table, else a bounded number of rows.
 ALL_CELLS, ALL_ROWS, MOST_ROWS, FEWEST_ROWS = 50_000, 1_500, 1_000, 100
+#: Rows of a clean column that a review looks at.
+CLEAN_REVIEW = 12
 
 
 def seed_of(seed: int, *keys: str) -> str:
@@ -109,6 +111,17 @@ def review_sample(pairs: DataFrame, rid: str, is_changed: Column, seed: str, mos
     return some.unionByName(drawn).limit(cap)
 
 
+def clean_review(df: DataFrame, rid: str, column: str, seed: str, n: int = CLEAN_REVIEW) -> DataFrame:
+    """Values of a column that is said to be clean, for a review: ``rid, original, cleaned, changed`` of up to 12 that are there."""
+    value = F.col(f"`{column}`").cast("string")
+    return sample(df.select(F.col(rid).alias("rid"), value.alias("original")).where("original is not null"), "rid", n, seed).select("rid", "original", F.col("original").alias("cleaned"), F.lit(False).alias("changed"))
+
+
+def capped_cells(cells: DataFrame, rid: str, most: int, seed: str) -> DataFrame:
+    """Labelled cells of a column, a sample of ``most`` (at least 1) where there are more, ordered by row."""
+    return sample(cells, rid, max(1, most), seed).orderBy(rid)
+
+
 def pair_lines(df: DataFrame, rid: str, lhs: str, rhs: str, n: int = 40, seed: str = "42") -> DataFrame:
     """A sample of two columns as lines of CSV."""
     return sample(df.select(rid, lhs, rhs), rid, n, seed).select(F.to_csv(F.struct(lhs, rhs)).alias("line"))

@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.operators import dependencies as fd
 from limpid.operators import outliers, profile, rules, sampling
+from limpid.plans.supplied import ColumnAnalyser, Dependencies, TableCleaner, analysed
 from limpid.sources.datasets import Settings
 
 #: A cleaner takes the table, a column and its semantic type; None means that the column is clean already.
@@ -26,75 +27,111 @@ Cleaner = Callable[[DataFrame, str, str], Column | None]
 
 @dataclass
 class Step:
+    """What was done about a column or a task: how it ended, whether its effect was judged, and the code that repeats it."""
+
     target: str
     kind: str
     outcome: str
     note: str = ""
+    validated: bool = False
+    code: str = ""
 
 
 @dataclass
 class Report:
     steps: list[Step] = field(default_factory=list)
+    notes: dict[str, dict[str, Any]] = field(default_factory=dict)
 
-    def add(self, *values: str) -> None:
-        self.steps.append(Step(*values))
+    def add(self, *values: str, **more: Any) -> None:
+        self.steps.append(Step(*values, **more))
 
     def outcomes(self) -> dict[str, int]:
         """How many steps ended in each way."""
         return dict(Counter(s.outcome for s in self.steps))
 
     def to_df(self, df: DataFrame) -> DataFrame:
-        return df.sparkSession.createDataFrame([(i, s.target, s.kind, s.outcome, s.note) for i, s in enumerate(self.steps)], "step int, target string, kind string, outcome string, note string")
+        rows = [(i, s.target, s.kind, s.outcome, s.note, s.validated) for i, s in enumerate(self.steps)]
+        return df.sparkSession.createDataFrame(rows, "step int, target string, kind string, outcome string, note string, validated boolean")
+
+    def trace(self, df: DataFrame, at: int) -> DataFrame:
+        """The run as a log, ``column, step, status, note, at``: for each target that was worked on a rule is recommended, coded and, where judged, validated; then it is finished."""
+        rows = []
+        for s in self.steps:
+            if s.outcome not in ("skipped", "already clean"):
+                rows.append((s.target, "recommender_1", "done", s.kind))
+                rows.append((s.target, "coder_1", "failed" if s.outcome == "failed" else "done", s.code or s.note))
+                if s.validated:
+                    rows.append((s.target, "validator_1", "needs_correction" if s.outcome == "rejected" else "approved", s.note))
+            rows.append((s.target, "finished", s.outcome, s.note))
+        return df.sparkSession.createDataFrame([(*r, at) for r in rows], "column string, step string, status string, note string, at long")
 
 
 #: Kinds whose values repeat as words of a list, where they do: spellings are then unified.
 CATEGORIES = ("NAMED_ENTITY", "DISCRETE_STRING")
 #: A column is a list of categories if its distinct values are at most this share of those present.
 CATEGORY_SHARE = 0.5
-#: Kinds whose effect is not judged: turning them into numbers changes texts as a matter of course.
-NOT_JUDGED = ("INTEGER", "FLOAT", "DIRTY_INTEGER", "DIRTY_FLOAT")
+NUMBERS = ("INTEGER", "FLOAT", "DIRTY_INTEGER", "DIRTY_FLOAT")
+#: Kinds that are not validated: their rules change case and length as a matter of course. Emptied and collapsed columns are held back all the same.
+NOT_JUDGED = (*NUMBERS, "BOOLEAN")
 #: A column's own number of digits is kept to if this share of its numbers has it.
 PRECISION_SHARE = 0.9
 
 
-def default_cleaner(rid: str, settings: Settings | None = None) -> Cleaner:
-    """The rule library by semantic type. Cleaned values stay text, but for numbers."""
-    settings = settings or Settings()
+class RuleCleaner:
+    """The rule library by semantic type. Cleaned values stay text, but for numbers.
 
-    def numbers(df: DataFrame, column: str, value: Column) -> Column:
-        if settings.outlier_policy not in ("median", "null"):
-            return value
-        seen = df.select(value.alias("x"))
-        middle, mad, n = outliers.center(seen, "x")
-        if n < outliers.LEAST_ROWS or not mad:
-            return value
-        reach = outliers.THRESHOLD * mad / outliers.FACTOR
-        capped = rules.capped_outliers(value, middle, middle - reach, middle + reach, settings.outlier_policy)
-        return F.when(value.isNotNull(), capped)
+    ``code`` has, for each column asked about, the expression that repeats its rules.
+    """
 
-    def clean(df: DataFrame, column: str, kind: str) -> Column | None:
-        own = df.select(rid, F.col(f"`{column}`").cast("string").alias("v"))
-        c = rules.missing(F.col(f"`{column}`").cast("string"), sentinels=settings.sentinels if kind in NOT_JUDGED else ())
+    def __init__(self, rid: str, settings: Settings | None = None):
+        self.rid, self.settings, self.code = rid, settings or Settings(), {}
+
+    def __call__(self, df: DataFrame, column: str, kind: str) -> Column | None:
+        chain = self.chain(df, column, kind)
+        if chain is None:
+            return None
+        name = f"`{column}`"
+        value, code = F.col(name).cast("string"), f'F.col({name!r}).cast("string")'
+        for rule, given in chain:
+            value = getattr(rules, rule)(value, **given)
+            code = f"rules.{rule}({', '.join([code, *[f'{k}={v!r}' for k, v in given.items()]])})"
+        self.code[column] = code
+        return value
+
+    def chain(self, df: DataFrame, column: str, kind: str) -> list[tuple[str, dict[str, Any]]] | None:
+        """Rules with their settings, in order; what they are set to is measured on the column."""
+        own = df.select(self.rid, F.col(f"`{column}`").cast("string").alias("v"))
+        sentinels = self.settings.sentinels if kind in NUMBERS else ()
+        first = [("missing", {"sentinels": sentinels} if sentinels else {})]
         if kind == "BOOLEAN":
             words = F.lower(F.trim("v"))
             pair_of = F.coalesce(*[F.when(words.isin(list(p)), F.lit(i)) for i, p in enumerate(rules.PAIRS)])
-            return rules.booleans(c, rules.PAIRS[rules.dominant(own, pair_of, rid) or 0])
-        if kind in ("INTEGER", "DIRTY_INTEGER"):
-            return numbers(df, column, rules.integers(c).cast("double")).cast("bigint")
-        if kind in ("FLOAT", "DIRTY_FLOAT"):
-            return numbers(df, column, rules.decimals(c, rules.usual_digits(own, rid, PRECISION_SHARE)))
+            return [*first, ("booleans", {"pair": rules.PAIRS[rules.dominant(own, pair_of, self.rid) or 0]})]
+        if kind in NUMBERS:
+            whole = kind in ("INTEGER", "DIRTY_INTEGER")
+            digits = None if whole else rules.usual_digits(own, self.rid, PRECISION_SHARE)
+            last = ("integers", {}) if whole else ("decimals", {"digits": digits})
+            return [*first, last, *self.capped(df, getattr(rules, last[0])(rules.missing(F.col(f"`{column}`").cast("string"), sentinels=sentinels), **last[1]), whole)]
         if kind == "DATETIME":
-            form = rules.dominant(own, rules.date_format_of(F.col("v")), rid)
-            return rules.dates(c, form) if form else None
+            form = rules.dominant(own, rules.date_format_of(F.col("v")), self.rid)
+            return [*first, ("dates", {"keep": form})] if form else None
         if kind == "NATURAL_LANGUAGE_TEXT":
-            return rules.free_text(c)
+            return [*first, ("free_text", {})]
         if kind == "COLLECTION":
-            return rules.collections(c)
+            return [*first, ("collections", {})]
         if kind == "DELIMITED_STRING":
-            return rules.delimited(c, rules.dominant(own, F.nullif(F.regexp_extract("v", r"\s*[,;|]\s*", 0), F.lit("")), rid) or ", ")
-        return rules.identifiers(c)
-
-    return clean
+            found = rules.dominant(own, F.nullif(F.regexp_extract("v", r"\s*[,;|]\s*", 0), F.lit("")), self.rid)
+            return [*first, ("delimited", {"delimiter": found or ", "})]
+        return [*first, ("identifiers", {})]
+
+    def capped(self, df: DataFrame, value: Column, whole: bool) -> list[tuple[str, dict[str, Any]]]:
+        if self.settings.outlier_policy not in ("median", "null"):
+            return []
+        middle, mad, n = outliers.center(df.select(value.cast("double").alias("x")), "x")
+        if n < outliers.LEAST_ROWS or not mad:
+            return []
+        reach = outliers.THRESHOLD * mad / outliers.FACTOR
+        return [("capped", {"median": middle, "low": middle - reach, "high": middle + reach, "policy": self.settings.outlier_policy, "whole": whole})]
 
 
 def unified(df: DataFrame, rid: str, columns: list[str], report: Report) -> DataFrame:
@@ -108,29 +145,33 @@ def unified(df: DataFrame, rid: str, columns: list[str], report: Report) -> Data
             n = words.count()
             if n:
                 df = rules.respelled(df, c, words)
-                report.add(c, "CATEGORY", "unified", f"{what}: {n} values")
+                report.add(c, "CATEGORY", "unified", f"{what}: {n} values", code=f'rules.respelled(df, {c!r}, rules.{found.__name__}(df, {c!r}, {rid!r}).where("value <> canonical"))')
     return df
 
 
-def clean_table(df: DataFrame, rid: str, settings: Settings | None = None, cleaner: Cleaner | None = None) -> tuple[DataFrame, Report]:
+def clean_table(
+    df: DataFrame, rid: str, settings: Settings | None = None, cleaner: Cleaner | None = None, analysers: list[ColumnAnalyser] | None = None, table_cleaners: list[TableCleaner] | None = None
+) -> tuple[DataFrame, Report]:
     """The cleaned table and what was done.
 
     Columns that the settings name as clean, and columns without values, stay.
     A rule that would empty or collapse its column, change the case of most of
-    its values or cut most of them short is not applied (numbers are not
-    judged by the last two), and a cleaner that fails leaves its column as it
-    was; neither stops the others. All rules are judged by one aggregate.
+    its values or cut most of them short is not applied (numbers and booleans
+    are not judged by the last two), and a cleaner that fails leaves its column
+    as it was; neither stops the others. All rules are judged by one aggregate.
     Without a cleaner of the caller's, spellings of categories are unified
-    next. Dependencies that score at least ``least_score`` are enforced level
-    by level; each is looked at again on the table as it is by then, and left
-    out if nothing is wrong any more.
+    next. Then come the table cleaners; by default, dependencies that score at
+    least ``least_score`` are enforced level by level. Each task is looked at
+    again on the table as it is by then, and left out if nothing is wrong any
+    more. What analysers find about columns is in the report's notes.
     """
     settings, report = settings or Settings(), Report()
     default = cleaner is None
-    cleaner = cleaner or default_cleaner(rid, settings)
+    cleaner = cleaner or RuleCleaner(rid, settings)
     columns = [c for c in df.columns if c != rid]
     seen = sampling.profile_rows(df, rid, str(settings.seed))
     types = {r["column"]: r["semantic_type"] for r in profile.semantic_types(profile.value_counts(seen, rid, columns), columns).collect()}
+    report.notes = analysed(df, types, analysers) if analysers else {}
     changes: dict[str, Column] = {}
     outcomes: dict[str, tuple[str, str]] = {}
     for c in columns:
@@ -161,21 +202,23 @@ def clean_table(df: DataFrame, rid: str, settings: Settings | None = None, clean
         if problems or outcomes[c][0] == "failed":
             del changes[c]
     for c in columns:
-        report.add(c, types[c], *outcomes[c])
+        judged_too = types[c] not in NOT_JUDGED and outcomes[c][0] in ("cleaned", "rejected")
+        report.add(c, types[c], *outcomes[c], validated=judged_too, code=getattr(cleaner, "code", {}).get(c, "") if c in changes else "")
     cleaned = df.withColumns(changes) if changes else df
     if default:
         cleaned = unified(cleaned, rid, [c for c in columns if types[c] in CATEGORIES and c in changes], report)
-    text = cleaned.select(rid, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    found = [(r["lhs"], r["rhs"], r["score"]) for r in fd.detect(text.withColumn("__rid", F.col(rid)), "__rid", columns, settings.least_score).collect()]
-    for level in fd.enforcement_order(found):
-        for lhs, rhs, score in level:
-            left = fd.issues(cleaned, [(lhs, rhs)]).first()
-            name = f"{lhs} → {rhs}"
-            if left["violations"] or left["imputables"]:
-                cleaned = fd.enforce(cleaned, rid, lhs, rhs)
-                report.add(name, "DEPENDENCY", "enforced", f"score {score}, {left['violations']} violations, {left['imputables']} gaps")
-            else:
-                report.add(name, "DEPENDENCY", "already clean")
+    for finder in [Dependencies(settings.least_score)] if table_cleaners is None else table_cleaners:
+        text = cleaned.select(F.col(rid).alias("__rid"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+        for task in finder.detect(text, "__rid", columns):
+            name = " → ".join(map(str, task[:2])) if isinstance(task, tuple) else str(task)
+            data = finder.get_data(cleaned, task)
+            if data is None:
+                report.add(name, finder.task_type, "already clean")
+                continue
+            cleaned = finder.settle(cleaned, rid, task)
+            is_fd = isinstance(finder, Dependencies)
+            note = f"score {task[2]}, {data['violations']} violations, {data['imputables']} gaps" if is_fd else str(data)[:200]
+            report.add(name, finder.task_type, "enforced", note, code=f"fd.enforce(df, {rid!r}, {task[0]!r}, {task[1]!r})" if is_fd else "")
     return cleaned, report
 
 

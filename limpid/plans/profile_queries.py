@@ -121,6 +121,15 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(table(spark, sf_dir, "orders"), "o_orderkey", 500, sampling.seed_of(42, "orders")).select("o_orderkey", "o_custkey")
 
 
+def clean_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.clean_review(_parts(spark, sf_dir), "p_partkey", "brand_text", sampling.seed_of(42, "brand_text"))
+
+
+def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoilt = _parts(spark, sf_dir).where("brand_text = 'unknown' or brand_text <> trim(brand_text) or brand_text = lower(brand_text)")
+    return sampling.capped_cells(spoilt.select("p_partkey", "brand_text"), "p_partkey", 100, sampling.seed_of(42, "labels"))
+
+
 def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = sampling.distinct_values(table(spark, sf_dir, "part"), "p_partkey", "p_type")
     return numbered(x, "first_rid", "place").select(F.col("place").cast("long").alias("place"), "value", "n")
@@ -161,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_counts, value_counts, column_profile, repetition, topk_values, numeric_stats, histogram, outliers_mad, outlier_context, regex_signature, shape_rows,
-        noise_mask, type_flags, semantic_types, kind_votes, numeric_split, dirty_top, datetime_split, text_split, sample_exact, distinct_first_seen, text_halves, page_slice, number_readers,
+        noise_mask, type_flags, semantic_types, kind_votes, numeric_split, dirty_top, datetime_split, text_split, sample_exact, clean_review, labelled_cells, distinct_first_seen, text_halves, page_slice, number_readers,
     )
 }
 ORACLE = {
@@ -204,6 +213,18 @@ ORACLE = {
         k AS (SELECT rid, CASE WHEN x = floor(x) THEN 'integer' WHEN x IS NOT NULL THEN 'float' WHEN regexp_matches(v, '^[$]|kg$') THEN 'dirty_integer'
               WHEN v = 'N/A' THEN 'delimited_string' END AS kind FROM v)
         SELECT kind, count(*) AS n, min(rid) AS first_rid FROM k GROUP BY 1""",
+    "semantic_types": f"""{_COUNTS}, k AS (SELECT "column", n, first_rid, CASE WHEN lower(value) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n') THEN 'BOOLEAN'
+            WHEN {_LOOSE.format('value')} = floor({_LOOSE.format('value')}) THEN 'INTEGER' WHEN {_LOOSE.format('value')} IS NOT NULL THEN 'FLOAT'
+            WHEN trim(value) = '' THEN NULL WHEN regexp_matches(value, '^[$][0-9]+$|^[0-9]+ kg$') THEN 'DIRTY_INTEGER'
+            WHEN regexp_matches(value, '\\S[,;|/]\\s*\\S|\\S\\s*[|]\\s*\\S') THEN 'DELIMITED_STRING' ELSE 'DISCRETE_STRING' END AS kind, trim(value) IN ('0', '1', '0.0', '1.0') AS bit FROM counts),
+        v AS (SELECT "column", kind, sum(n) AS n, min(first_rid) AS f FROM k WHERE kind IS NOT NULL GROUP BY 1, 2),
+        t AS (SELECT "column", arg_max(kind, n * 1000000000 - f) AS kind, sum(n) FILTER (kind = 'FLOAT') / sum(n) AS floats FROM v GROUP BY 1),
+        b AS (SELECT "column", sum(n * bit::INT) / sum(n) AS bits FROM k GROUP BY 1)
+        SELECT "column", CASE WHEN bits > 0.95 THEN 'BOOLEAN' WHEN kind = 'INTEGER' AND floats > 0.05 THEN 'FLOAT' ELSE kind END AS semantic_type FROM t JOIN b USING ("column")""",
+    "clean_review": f"""{_P} SELECT p_partkey AS rid, brand_text AS original, brand_text AS cleaned, false AS changed FROM parts WHERE brand_text IS NOT NULL
+        ORDER BY md5('42|brand_text|' || p_partkey), p_partkey LIMIT 12""",
+    "labelled_cells": f"""{_P} SELECT p_partkey, brand_text FROM parts WHERE brand_text = 'unknown' OR brand_text <> trim(brand_text) OR brand_text = lower(brand_text)
+        ORDER BY md5('42|labels|' || p_partkey), p_partkey LIMIT 100""",
     "numeric_split": f"{_P} SELECT p_partkey, size_text, regexp_matches(size_text, '{_NUM}') AS is_clean FROM parts WHERE size_text IS NOT NULL",
     "dirty_top": f"""{_P} SELECT size_text AS value, count(*) AS n, min(p_partkey) AS first_rid FROM parts
         WHERE size_text IS NOT NULL AND NOT regexp_matches(size_text, '{_NUM}') GROUP BY 1 ORDER BY n DESC, first_rid LIMIT 20""",

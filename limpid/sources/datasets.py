@@ -57,6 +57,19 @@ def numeric_columns(truth: str | Path) -> tuple[str, ...] | None:
     return known.numeric if known else None
 
 
+def stored_results(path: str | Path) -> dict:
+    """The results of a run as ``--results`` wrote them."""
+    return json.loads(Path(path).read_text())
+
+
+def stored_runtime(path: str | Path, name: str) -> float:
+    """Seconds of a dataset in a file of runtimes; -1.0 where the file cannot be read or does not name it."""
+    try:
+        return float(json.loads(Path(path).read_text()).get(name, -1.0))
+    except (OSError, ValueError, TypeError, AttributeError):
+        return -1.0
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a cleaning run can be told. Unknown keys are ignored and bad values fall back."""
