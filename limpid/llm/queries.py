@@ -16,6 +16,7 @@ from limpid.llm.pii import find_personal_data
 from limpid.llm.quality import resample
 from limpid.llm.sharding import assign_shards
 from limpid.llm.substring_dedup import dedup_substrings
+from limpid.llm.whitening import fit_whitening, whiten
 
 
 #: Bytes of a shard of op3_sharding.
@@ -73,7 +74,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(vectors, "embedding", components=4)
+    n, explained, error = (model.n, model.explained.tolist(), model.identity_error) if model else (0, [], 0.0)
+    each = whiten(vectors, model, "embedding").select("vec_id", "white.deviation", F.posexplode("white.whitened").alias("at", "whitened"))
+    share = F.element_at(F.array(*[F.lit(e) for e in explained]).cast("array<double>"), F.col("at") + 1)
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing, "op13_whitening": op13_whitening}
 
 ORACLE = {
     "op2_substring_dedup": r"""
