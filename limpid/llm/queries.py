@@ -16,6 +16,7 @@ from limpid.llm.pii import find_personal_data
 from limpid.llm.quality import resample
 from limpid.llm.sharding import assign_shards
 from limpid.llm.substring_dedup import dedup_substrings
+from limpid.llm.target_resampling import resample_to_target
 from limpid.llm.whitening import fit_whitening, whiten
 
 
@@ -74,6 +75,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample_to_target(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = fit_whitening(vectors, "embedding", components=4)
@@ -83,7 +89,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing, "op13_whitening": op13_whitening}
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing, "op11_target_resampling": op11_target_resampling, "op13_whitening": op13_whitening}
 
 ORACLE = {
     "op2_substring_dedup": r"""
@@ -173,4 +179,40 @@ ORACLE = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_target_resampling": r"""
+        WITH crc AS (
+          SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+                   lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+        words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r, t
+          FROM (SELECT doc_id, text, false AS t FROM documents UNION ALL SELECT NULL, text, true FROM benchmark)),
+        grams AS (
+          SELECT r, t, unnest(w) AS g FROM words
+          UNION ALL
+          SELECT r, t, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+        counted AS (SELECT g, count(*) FILTER (NOT t) AS s, count(*) FILTER (t) AS t FROM grams GROUP BY g),
+        placed AS (
+          SELECT g, s, t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                   list_transform(range(octet_length(encode(g))), lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS BIGINT))),
+                   lambda c, b: xor(c >> 8, step[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+          FROM counted, crc),
+        totals AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM placed),
+        gains AS (
+          SELECT bucket, CAST(floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * (any_value(s_all) + 10000)
+                                              / ((CAST(sum(s) AS DOUBLE) + 1) * (any_value(t_all) + 10000)))) AS BIGINT) AS gain
+          FROM placed, totals GROUP BY bucket),
+        means AS (
+          SELECT r, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+          FROM grams JOIN placed USING (g) JOIN gains USING (bucket) WHERE NOT grams.t GROUP BY r),
+        scored AS (
+          SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                                   / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM words LEFT JOIN means USING (r) WHERE NOT t),
+        ordered AS (
+          SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+                 count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= floor(25 * n / 100) THEN place END AS rank
+        FROM ordered""",
 }
