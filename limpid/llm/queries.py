@@ -10,6 +10,7 @@ from limpid.llm.decontaminate import decontaminate
 from limpid.llm.language_id import fit, held_out, predict_language
 from limpid.llm.line_dedup import dedup_lines
 from limpid.llm.media import media_features
+from limpid.llm.minhash import sketch_duplicates
 from limpid.llm.ngram_join import near_duplicates
 from limpid.llm.packing import pack_documents
 from limpid.llm.pii import find_personal_data
@@ -80,6 +81,10 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = fit_whitening(vectors, "embedding", components=4)
@@ -89,7 +94,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing, "op11_target_resampling": op11_target_resampling, "op13_whitening": op13_whitening}
+QUERIES = {"op1_media": op1_media, "op2_substring_dedup": op2_substring_dedup, "op3_sharding": op3_sharding, "op4_line_dedup": op4_line_dedup, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_language_id": op7_language_id, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_packing": op10_packing, "op11_target_resampling": op11_target_resampling, "op12_minhash": op12_minhash, "op13_whitening": op13_whitening}
 
 ORACLE = {
     "op2_substring_dedup": r"""
@@ -215,4 +220,30 @@ ORACLE = {
                  count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= floor(25 * n / 100) THEN place END AS rank
         FROM ordered""",
+    "op12_minhash": r"""
+        WITH RECURSIVE dw AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        held AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY hash(g), g) AS p FROM grams JOIN sizes USING (doc_id)),
+        likely AS (
+          SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+          FROM held a JOIN held b ON a.g = b.g AND a.doc_id < b.doc_id
+          WHERE a.p <= a.n - ceil(a.n * 4 / 5) + 1 AND b.p <= b.n - ceil(b.n * 4 / 5) + 1 AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        linked AS (
+          SELECT likely.a, likely.b
+          FROM likely JOIN grams x ON x.doc_id = likely.a JOIN grams y ON y.doc_id = likely.b AND x.g = y.g
+          JOIN sizes sa ON sa.doc_id = likely.a JOIN sizes sb ON sb.doc_id = likely.b
+          GROUP BY likely.a, likely.b
+          HAVING 100 * count(*) >= 80 * (any_value(sa.n) + any_value(sb.n) - count(*))),
+        links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+        reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION
+          SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT dw.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, dw.doc_id = m AS kept
+        FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
 }
