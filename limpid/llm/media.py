@@ -67,7 +67,9 @@ def _crc_table(poly: int, bits: int) -> list[int]:
     return out
 
 
-CRC8, CRC16, CRC32 = _crc_table(0x07, 8), _crc_table(0x8005, 16), _crc_table(0x04C11DB7, 32)
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+#: bytes.translate table that turns the bits of each byte around.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 class Walk:
@@ -290,18 +292,40 @@ def _flac(w: Walk, at: int) -> int | None:
     return end if not known or left <= 0 else None
 
 
+def ogg_checksum(b: bytes) -> int:
+    """The checksum of an Ogg page whose own field is zero.
+
+    Its polynomial is zlib's, with bits taken from the other end, and nothing
+    is inverted before or after: so bytes go in reversed and the sum comes out reversed.
+    """
+    raw = zlib.crc32(b.translate(REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int.from_bytes(raw.to_bytes(4, "little").translate(REVERSED), "big")
+
+
+def _ogg_page(w: Walk, p: int) -> tuple[int, int, bytes] | None:
+    """A page's end, flags and serial number, if it is whole; what costs least is looked at first.
+
+    A stream's first page holds its identification packet and nothing else.
+    """
+    b, pages = w.b, w.known.setdefault(_ogg_page, {})
+    if p not in pages:
+        pages[p] = None
+        n = b[p + 26] if b[p : p + 5] == b"OggS\0" and p + 27 <= len(b) else 0
+        lacing = b[p + 27 : p + 27 + n]
+        stop = p + 27 + n + sum(lacing)
+        alone = n > 0 and lacing[-1] < 255 and lacing[:-1] == b"\xff" * (n - 1)
+        if b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0 and stop <= len(b) and (alone or not b[p + 5] & 2):
+            if ogg_checksum(b[p : p + 22] + bytes(4) + b[p + 26 : stop]) == int.from_bytes(b[p + 22 : p + 26], "little"):
+                pages[p] = stop, b[p + 5], b[p + 14 : p + 18]
+    return pages[p]
+
+
 def _ogg(w: Walk, at: int) -> int | None:
     """Pages with right checksums, up to where all streams that began have ended and no other begins."""
-    b, p, running, end = w.b, at, set(), None
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
-        flags, serial, n = b[p + 5], b[p + 14 : p + 18], b[p + 26]
-        stop = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if stop > len(b) or (serial not in running and not flags & 2):
-            break
-        crc = 0
-        for x in b[p : p + 22] + bytes(4) + b[p + 26 : stop]:
-            crc = (crc << 8 & 0xFFFFFFFF) ^ CRC32[crc >> 24 ^ x]
-        if crc != struct.unpack_from("<I", b, p + 22)[0]:
+    p, running, end = at, set(), None
+    while (page := _ogg_page(w, p)) is not None:
+        stop, flags, serial = page
+        if serial not in running and not flags & 2:
             break
         running.add(serial)
         if flags & 4:

@@ -78,6 +78,14 @@ def ogg():
     return page(1, 2, b"a") + page(2, 2, b"b") + page(1, 4, b"c") + page(2, 4, b"d") + page(3, 2, b"e") + page(3, 4, b"f")
 
 
+def test_pages_of_ogg():
+    for data in (b"", b"a", bytes(range(256)) * 5):
+        assert media.ogg_checksum(data) == crc(0x04C11DB7, data, 32)
+    two_packets = page(1, 0, b"ab")[:5] + b"\x02" + page(1, 0, b"ab")[6:22] + bytes(4) + bytes([2, 1, 1]) + b"ab"
+    right = two_packets[:22] + crc(0x04C11DB7, two_packets, 32).to_bytes(4, "little") + two_packets[26:]
+    assert found(ogg()) and not found(right + page(1, 4, b"c"))
+
+
 def mp3(tag=True):
     frame = b"\xff\xfb\x90\x00" + bytes(413)
     return (b"ID3\x04\0\0\0\0\0\x0a" + bytes(10) if tag else b"") + frame * 5 + b"TAG" + bytes(125)
