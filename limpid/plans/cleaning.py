@@ -12,10 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from limpid.operators import outliers, profile, rules, sampling
 from limpid.plans.supplied import ColumnAnalyser, Dependencies, TableCleaner, analysed
@@ -218,37 +216,9 @@ def clean_table(
             cleaned = finder.settle(cleaned, rid, task)
             is_fd = isinstance(finder, Dependencies)
             note = f"score {task[2]}, {data['violations']} violations, {data['imputables']} gaps" if is_fd else str(data)[:200]
+            error = getattr(finder, "errors", {}).get(task)
+            if error:
+                report.add(name, finder.task_type, "failed", error)
+                continue
             report.add(name, finder.task_type, "enforced", note, code=f"fd.enforce(df, {rid!r}, {task[0]!r}, {task[1]!r})" if is_fd else "")
     return cleaned, report
-
-
-def apply_series_cleaner(df: DataFrame, column: str, clean: Callable, rid: str) -> DataFrame:
-    """A supplied pandas function on one column, batch by batch.
-
-    The function must look at each value alone: batches are whatever Spark
-    deals out. It has to keep the number of values.
-    """
-    @F.pandas_udf(T.StringType())
-    def run(values: pd.Series) -> pd.Series:
-        out = clean(values)
-        if not isinstance(out, pd.Series) or len(out) != len(values):
-            raise TypeError("A column cleaner has to return a series as long as its input.")
-        return out.astype(object).where(out.notna(), None).map(lambda v: v if v is None else str(v))
-
-    return df.withColumn(column, run(F.col(f"`{column}`").cast("string")))
-
-
-def apply_pair_cleaner(df: DataFrame, lhs: str, rhs: str, clean: Callable) -> DataFrame:
-    """A supplied pandas function on two columns, batch by batch; it has to keep the left one as it is and the number of rows."""
-    out_type = T.StringType()
-
-    @F.pandas_udf(out_type)
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        given = pd.DataFrame({lhs: left, rhs: right})
-        out = clean(given.copy())
-        if not isinstance(out, pd.DataFrame) or len(out) != len(given) or not out[lhs].reset_index(drop=True).equals(given[lhs].reset_index(drop=True)):
-            raise TypeError("A cleaner of two columns has to return a table as long as its input, with the left column as it was.")
-        return out[rhs].astype(object).where(out[rhs].notna(), None).map(lambda v: v if v is None else str(v))
-
-    text = [F.col(f"`{c}`").cast("string") for c in (lhs, rhs)]
-    return df.withColumn(rhs, run(*text))

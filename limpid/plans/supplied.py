@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import signal
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limpid.operators import dependencies as fd
 from limpid.sources.store import stored
 
 #: Seconds that a supplied function may take for its table.
 TIME_LIMIT = 30.0
+#: Seconds after which a function that did not stop by itself is stopped with its jobs.
+GRACE = 10.0
 
 
 class ColumnAnalyser(Protocol):
@@ -76,27 +85,93 @@ def last_line(e: BaseException) -> str:
     return lines[-1] if lines else type(e).__name__
 
 
+class Late(BaseException):
+    """Raised inside a supplied function whose time is up; no Exception, so that the function's own handlers let it pass."""
+
+
+@dataclass(frozen=True)
+class Deadline:
+    """When supplied functions have to be done, by the clock that machines of a cluster share."""
+
+    at: float
+    seconds: float
+
+    @property
+    def note(self) -> str:
+        return f"Stopped after {self.seconds:g} seconds."
+
+
+_deadline: ContextVar[Deadline | None] = ContextVar("deadline", default=None)
+
+
+def stopping(f: Callable) -> Callable:
+    """``f``, stopped from inside at the deadline that holds where this is called; as it is where none does.
+
+    The worker that runs it raises :class:`Late` in it by an interval timer, again every
+    second, and ends its task as after any error. So no process is killed, and
+    Spark's pool of workers stays whole. What begins too late fails at once.
+    """
+    deadline = _deadline.get()
+    if deadline is None:
+        return f
+
+    def run(*args: Any) -> Any:
+        def late(*_: Any) -> None:
+            raise Late(deadline.note)
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, max(deadline.at - time.time(), 1e-3), 1.0)
+        try:
+            return f(*args)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return run
+
+
+def drained(spark: SparkSession, tries: int = 20) -> None:
+    """Runs small Python jobs until one succeeds: a worker that was killed can come back from Spark's pool once."""
+    for left in reversed(range(tries)):
+        try:
+            spark.range(spark.sparkContext.defaultParallelism).mapInArrow(lambda batches: batches, "id long").count()
+            return
+        except Exception:
+            if not left:
+                raise
+
+
 @contextmanager
-def time_limit(df: DataFrame, seconds: float = TIME_LIMIT) -> Iterator[None]:
-    """Spark jobs that this thread starts inside are cancelled after so many seconds, which raises TimeoutError."""
+def time_limit(df: DataFrame, seconds: float = TIME_LIMIT, grace: float = GRACE) -> Iterator[None]:
+    """Supplied functions that are applied inside stop after so many seconds, which raises TimeoutError.
+
+    What does not come back to Python by then (native code) is stopped after
+    ``grace`` more seconds by cancelling this thread's jobs, the last resort:
+    then the killed workers are taken out of Spark's pool before this returns.
+    """
     context, tag, late = df.sparkSession.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    deadline = Deadline(time.time() + seconds, seconds)
 
     def stop() -> None:
         late.set()
         context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    timer = threading.Timer(seconds + grace, stop)
     context.addJobTag(tag)
+    held = _deadline.set(deadline)
     timer.start()
     try:
         yield
     except Exception as e:
-        if late.is_set():
-            raise TimeoutError(f"Stopped after {seconds:g} seconds.") from e
+        if late.is_set() or deadline.note in str(e):
+            raise TimeoutError(deadline.note) from e
         raise
     finally:
         timer.cancel()
+        _deadline.reset(held)
         context.removeJobTag(tag)
+        if late.is_set():
+            drained(df.sparkSession)
 
 
 def run_supplied(df: DataFrame, clean: Callable[[DataFrame], DataFrame], seconds: float = TIME_LIMIT) -> tuple[DataFrame, str | None]:
@@ -110,3 +185,61 @@ def run_supplied(df: DataFrame, clean: Callable[[DataFrame], DataFrame], seconds
             return stored(clean(df)), None
     except Exception as e:
         return df, last_line(e)
+
+
+def apply_series_cleaner(df: DataFrame, column: str, clean: Callable, rid: str) -> DataFrame:
+    """A supplied pandas function on one column, batch by batch.
+
+    The function must look at each value alone: batches are whatever Spark
+    deals out. It has to keep the number of values.
+    """
+    clean = stopping(clean)
+
+    @F.pandas_udf(T.StringType())
+    def run(values: pd.Series) -> pd.Series:
+        out = clean(values)
+        if not isinstance(out, pd.Series) or len(out) != len(values):
+            raise TypeError("A column cleaner has to return a series as long as its input.")
+        return out.astype(object).where(out.notna(), None).map(lambda v: v if v is None else str(v))
+
+    return df.withColumn(column, run(F.col(f"`{column}`").cast("string")))
+
+
+def apply_pair_cleaner(df: DataFrame, lhs: str, rhs: str, clean: Callable) -> DataFrame:
+    """A supplied pandas function on two columns, batch by batch; it has to keep the left one as it is and the number of rows."""
+    clean = stopping(clean)
+
+    @F.pandas_udf(T.StringType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        given = pd.DataFrame({lhs: left, rhs: right})
+        out = clean(given.copy())
+        if not isinstance(out, pd.DataFrame) or len(out) != len(given) or not out[lhs].reset_index(drop=True).equals(given[lhs].reset_index(drop=True)):
+            raise TypeError("A cleaner of two columns has to return a table as long as its input, with the left column as it was.")
+        return out[rhs].astype(object).where(out[rhs].notna(), None).map(lambda v: v if v is None else str(v))
+
+    text = [F.col(f"`{c}`").cast("string") for c in (lhs, rhs)]
+    return df.withColumn(rhs, run(*text))
+
+
+class PairFunctions:
+    """Supplied pandas functions on two columns as table cleaners, each under the time limit.
+
+    A function that fails, or takes too long, leaves the table as it was; ``errors`` says why.
+    """
+
+    task_type = "SUPPLIED"
+
+    def __init__(self, functions: dict[tuple[str, str], Callable], seconds: float = TIME_LIMIT):
+        self.functions, self.seconds, self.errors = functions, seconds, {}
+
+    def detect(self, df: DataFrame, rid: str, columns: list[str]) -> list[tuple[str, str]]:
+        return [pair for pair in self.functions if set(pair) <= set(columns)]
+
+    def get_data(self, df: DataFrame, task: tuple[str, str]) -> Row | None:
+        return df.where(F.col(f"`{task[0]}`").isNotNull() | F.col(f"`{task[1]}`").isNotNull()).select(*[f"`{c}`" for c in task]).first()
+
+    def settle(self, df: DataFrame, rid: str, task: tuple[str, str]) -> DataFrame:
+        out, error = run_supplied(df, lambda df: apply_pair_cleaner(df, *task, self.functions[task]), self.seconds)
+        if error:
+            self.errors[task] = error
+        return out

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from limpid.operators import rules, scoring
-from limpid.plans.cleaning import apply_pair_cleaner, clean_table
+from limpid.plans.cleaning import clean_table
+from limpid.plans.supplied import apply_pair_cleaner
 from limpid.plans.demo import FLAT, TRUTH, made
 from limpid.plans.sql_program import run
 from limpid.sources.datasets import Settings

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from limpid.operators import dependencies as fd
 from limpid.operators import outliers, profile, rules, sampling, scoring
-from limpid.plans import cleaning, export, sql_program
+from limpid.plans import cleaning, export, sql_program, supplied
 from limpid.sources.datasets import Settings
 from limpid.streaming.profiles import latest_steps
 
@@ -164,9 +164,9 @@ def test_a_failing_cleaner_stops_nothing(spark):
 
 def test_supplied_function(spark):
     df = spark.createDataFrame([(0, " a "), (1, None)], "rid int, v string")
-    assert [r["v"] for r in cleaning.apply_series_cleaner(df, "v", lambda s: s.str.strip(), "rid").orderBy("rid").collect()] == ["a", None]
+    assert [r["v"] for r in supplied.apply_series_cleaner(df, "v", lambda s: s.str.strip(), "rid").orderBy("rid").collect()] == ["a", None]
     with pytest.raises(Exception, match="as long as"):
-        cleaning.apply_series_cleaner(df, "v", lambda s: s.head(0), "rid").collect()
+        supplied.apply_series_cleaner(df, "v", lambda s: s.head(0), "rid").collect()
 
 
 def test_export_repeats_the_run(spark, tmp_path):

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from limpid.plans import export
-from limpid.plans.cleaning import apply_series_cleaner, clean_table
-from limpid.plans.supplied import run_supplied
+from limpid.plans.cleaning import clean_table
+from limpid.plans.supplied import PairFunctions, apply_series_cleaner, drained, run_supplied
 from limpid.sources import datasets
 from limpid.sources.datasets import Settings
 from limpid.sources.tables import load_table, with_row_ids
@@ -40,6 +40,43 @@ def test_supplied_functions_have_a_time_limit_and_name_their_error(spark):
     assert error == "Stopped after 3 seconds." and out is table and time.monotonic() - began < 40
 
 
+def test_stops_leave_the_session_whole(spark):
+    """Ten functions in turn that never end, each followed by a Python job on all cores that succeeds."""
+    table = frame(spark, 40, v=lambda i: f" {i}").repartition(4)
+
+    def endless(s):
+        while True:
+            try:
+                time.sleep(0.01)
+            except Exception:  # what stops it is no Exception
+                pass
+
+    for _ in range(10):
+        out, error = run_supplied(table, lambda df: apply_series_cleaner(df, "v", endless, "rid"), seconds=0.5)
+        assert error == "Stopped after 0.5 seconds." and out is table
+        assert apply_series_cleaner(table, "v", lambda s: s.str.strip(), "rid").where("v = cast(rid as string)").count() == 40
+
+
+def test_jobs_are_cancelled_where_python_does_not_come_back(spark, monkeypatch):
+    """The last resort, with a function that no timer reaches."""
+    monkeypatch.setattr("limpid.plans.supplied.stopping", lambda f: f)
+    monkeypatch.setattr("limpid.plans.supplied.time_limit.__wrapped__.__defaults__", (30.0, 0.5))
+    table = frame(spark, 8, v=str).repartition(4)
+    out, error = run_supplied(table, lambda df: apply_series_cleaner(df, "v", lambda s: time.sleep(60) or s, "rid"), seconds=1)
+    assert error == "Stopped after 1 seconds." and out is table
+    assert apply_series_cleaner(table, "v", lambda s: s, "rid").count() == 8 and drained(spark) is None
+
+
+def test_functions_of_two_columns_in_a_whole_run(spark):
+    table = frame(spark, 30, city=lambda i: ["Gent", "Brugge"][i % 2], code=lambda i: None if i == 3 else f"K{i % 2}")
+    fill = lambda t: t.assign(code=t["code"].fillna("K1"))
+    finder = PairFunctions({("city", "code"): fill, ("code", "city"): lambda t: t.head(1), ("city", "none"): fill})
+    cleaned, report = clean_table(table, "rid", table_cleaners=[finder])
+    assert {r["code"] for r in cleaned.collect()} == {"K0", "K1"}
+    assert [(s.target, s.outcome) for s in report.steps if s.kind == "SUPPLIED"] == [("city → code", "enforced"), ("code → city", "failed")]
+    assert "as long as" in finder.errors["code", "city"]
+
+
 class Lengths:
     def analyse(self, df, column, kind):
         return {"longest": df.agg(F.max(F.char_length(F.col(column).cast("string")))).first()[0]} if column == "city" else {}
