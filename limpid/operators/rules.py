@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limpid.functions.kinds import UNITS
 from limpid.functions.numbers import half_even_integer, to_number
 from limpid.functions.text import placeholder_to_null, strip_markup
 
@@ -30,6 +31,8 @@ DATE_SHAPES = {
 DATE_FORMATS = list(DATE_SHAPES)
 #: Fixed pairs of words for true and false, the first of which a column uses most.
 PAIRS = [("true", "false"), ("t", "f"), ("yes", "no"), ("y", "n"), ("1", "0")]
+#: Letters that are taken for digits, and these. Fixed values.
+ALIKE = ("OoIlSB", "001158")
 
 
 def missing(c: Column, more: tuple[str, ...] = (), sentinels: tuple[float, ...] = ()) -> Column:
@@ -48,10 +51,15 @@ def dominant(df: DataFrame, form: Column, rid: str) -> str | None:
     return row["form"] if row else None
 
 
-def date_format_of(c: Column) -> Column:
-    """The first known format that a text reads in, written back the same."""
-    text = F.trim(c)
-    return F.coalesce(*[F.when(parsed(text, f).isNotNull(), F.lit(f)) for f in DATE_FORMATS])
+def date_format_of(c: Column, formats: list[str] | None = None) -> Column:
+    """The first of the formats, by default of all known ones, that a text reads in."""
+    text = date_text(c)
+    return F.coalesce(*[F.when(parsed(text, f).isNotNull(), F.lit(f)) for f in formats or DATE_FORMATS])
+
+
+def date_text(c: Column) -> Column:
+    """A date's text: marks that no date has, and a note in brackets behind it, go."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""), r"[^0-9A-Za-z:/,. -]", ""))
 
 
 def parsed(text: Column, form: str) -> Column:
@@ -60,10 +68,22 @@ def parsed(text: Column, form: str) -> Column:
     return F.when(shaped, F.try_to_timestamp(text, F.lit(form)))
 
 
-def dates(c: Column, keep: str) -> Column:
-    """Dates of any known format in the column's own format ``keep``; impossible ones become null."""
-    text = F.trim(F.regexp_replace(c, r"[^0-9A-Za-z:/,. -]", ""))
-    return F.date_format(F.coalesce(*[parsed(text, f) for f in dict.fromkeys([keep, *DATE_FORMATS])]), keep)
+def date_formats(df: DataFrame, rid: str) -> list[str]:
+    """The known formats in which any value of the column beside ``rid`` reads, those that read most first; one aggregate.
+
+    So of two orders of day and month the one that all dates have wins, however few of them only it can read.
+    """
+    (column,) = [c for c in df.columns if c != rid]
+    values = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))
+    text = date_text(F.col("v"))
+    r = values.agg(*[F.sum(F.when(parsed(text, f).isNotNull(), F.col("n"))).alias(f"f{i}") for i, f in enumerate(DATE_FORMATS)]).first()
+    return [DATE_FORMATS[i] for i in sorted((i for i in range(len(DATE_FORMATS)) if r[f"f{i}"]), key=lambda i: (-r[f"f{i}"], i))]
+
+
+def dates(c: Column, keep: str, formats: tuple[str, ...] | list[str] = ()) -> Column:
+    """Dates of any known format in the column's own format ``keep``; impossible ones become null. ``formats`` are tried first, in their order."""
+    text = date_text(c)
+    return F.date_format(F.coalesce(*[parsed(text, f) for f in dict.fromkeys([keep, *formats, *DATE_FORMATS])]), keep)
 
 
 def booleans(c: Column, pair: tuple[str, str] = PAIRS[0]) -> Column:
@@ -74,34 +94,80 @@ def booleans(c: Column, pair: tuple[str, str] = PAIRS[0]) -> Column:
     return F.when(x.isin(yes), pair[0]).when(x.isin(no), pair[1]).when(near(yes), pair[0]).when(near(no) & (F.char_length(x) > 2), pair[1])
 
 
-def plain_number(c: Column) -> Column:
-    """The number in a text without currency, unit, percent sign or grouping, read as US or European; as a double.
+def without_unit(c: Column) -> Column:
+    """The text without blanks, and without a unit or currency of the fixed list before or behind its number."""
+    words = sorted({u.rstrip(".") for u in UNITS}, key=lambda u: (-len(u), u))
+    units = "|".join(rf"(?i:\Q{u}\E)" if len(u) > 1 else rf"\Q{u}\E" for u in words)
+    bare = F.regexp_replace(c, r"\s", "")
+    return F.regexp_replace(F.regexp_replace(bare, rf"^([-+]?)(?:{units})(?=[-+.0-9])", "$1"), rf"(?<=[0-9.,])(?:{units})\.?$", "")
+
+
+def unmistaken(x: Column) -> Column:
+    """Letters that are taken for digits made digits, in a text that is of digits otherwise and half of digits at least."""
+    shaped = x.rlike(rf"^[-+]?[0-9{ALIKE[0]}]+([.,][0-9{ALIKE[0]}]+)*$") & (F.char_length(F.regexp_replace(x, "[^0-9]", "")) * 2 >= F.char_length(x))
+    return F.when(shaped, F.translate(x, *ALIKE)).otherwise(x)
+
+
+def _us(x: Column) -> Column:
+    return F.when(x.rlike(r"^[-+]?([0-9]*|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]*)?([eE][-+]?[0-9]+)?$"), to_number(F.replace(x, F.lit(","), F.lit(""))))
+
+
+def _european(x: Column) -> Column:
+    return F.when(x.rlike(r"^[-+]?([0-9]+|[0-9]{1,3}(\.[0-9]{3})+)(,[0-9]+)?$"), to_number(F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))))
+
+
+def decimal_mark(df: DataFrame, rid: str) -> str:
+    """``.`` or ``,``: which of the two more numbers of the column beside ``rid`` need to be read at all; one aggregate."""
+    (column,) = [c for c in df.columns if c != rid]
+    x = without_unit(F.col(f"`{column}`"))
+    us, european = _us(x).isNotNull(), _european(x).isNotNull()
+    r = df.agg(F.count_if(us & ~european).alias("us"), F.count_if(european & ~us).alias("european")).first()
+    return "," if r["european"] > r["us"] else "."
+
+
+def plain_number(c: Column, mark: str | None = None, alike: bool = False) -> Column:
+    """The number in a text without currency, unit, percent sign or grouping, as a double.
 
-    Percentages are not scaled. Text with no number, or several, is null.
+    ``mark`` is the column's decimal mark, by which what could be read in two
+    ways is read; without it each number is read as it is likeliest alone.
+    Percentages are not scaled. Units are those of the fixed list; with
+    ``alike``, letters that are taken for digits are read as these. Text with
+    other letters, with no number, or several, is null.
     """
-    bare = F.regexp_replace(c, r"[\s$€¥£%~]", "")
-    x = F.regexp_replace(bare, r"(?<=[0-9.,])\p{L}[\p{L}./]*$|^\p{L}+(?=[-+0-9.])", "")
+    x = without_unit(c)
+    x = unmistaken(x) if alike else x
+    if mark is not None:
+        return F.coalesce(_european(x), _us(x)) if mark == "," else F.coalesce(_us(x), _european(x))
     european = x.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3})*,[0-9]{1,2}$") | x.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3}){2,}$") | x.rlike(r"^[-+]?[0-9]+,[0-9]{1,2}$")
-    us = F.when(x.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
-    eu = F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return to_number(F.when(european, eu).otherwise(us))
+    return F.when(european, _european(x)).otherwise(_us(x))
 
 
-def integers(c: Column) -> Column:
+def integers(c: Column, mark: str | None = None, alike: bool = False) -> Column:
     """Quantities as whole numbers, halves to the even neighbour. Not for identifiers: those stay text."""
-    return half_even_integer(plain_number(c))
+    return half_even_integer(plain_number(c, mark, alike))
 
 
-def fraction_digits(c: Column) -> Column:
-    return F.char_length(F.regexp_extract(plain_number(c).cast("decimal(30,6)").cast("string"), r"\.([0-9]*?)0*$", 1))
+def fraction_digits(c: Column, mark: str | None = None) -> Column:
+    return F.char_length(F.regexp_extract(plain_number(c, mark).cast("decimal(30,6)").cast("string"), r"\.([0-9]*?)0*$", 1))
 
 
-def decimals(c: Column, digits: int | None = None) -> Column:
+def decimals(c: Column, digits: int | None = None, mark: str | None = None, alike: bool = False) -> Column:
     """Numbers as doubles, rounded to the column's own number of digits where given."""
-    x = plain_number(c)
+    x = plain_number(c, mark, alike)
     return x if digits is None else F.round(x, digits)
 
 
+def codes(c: Column, width: int | None = None) -> Column:
+    """Identifiers and years of digits, as text: an empty fraction goes, letters that are taken for digits become these.
+
+    With a width, that of nearly all, only where the result has it. Zeros in front stay, and so does what is no number.
+    """
+    text = identifiers(c)
+    mended = unmistaken(F.regexp_replace(text, r"^([0-9]+)\.0+$", "$1"))
+    fits = mended.rlike("^[0-9]+$" if width is None else f"^[0-9]{{{width}}}$")
+    return F.when(fits, mended).otherwise(text)
+
+
 def identifiers(c: Column) -> Column:
     """Codes: blanks around and invisible characters go, the rest stays."""
     return F.trim(F.regexp_replace(c, r"[\p{Cc}\p{Cf}�]", ""))
@@ -138,47 +204,15 @@ def dictionary(c: Column, words: dict[str, str | None]) -> Column:
     return x.otherwise(c)
 
 
-def usual_digits(df: DataFrame, rid: str, share: float) -> int | None:
+def usual_digits(df: DataFrame, rid: str, share: float, mark: str | None = None) -> int | None:
     """The digits behind the point that at least ``share`` of the numbers in the column beside ``rid`` have or stay below; None if no number of them is so usual."""
     (column,) = [c for c in df.columns if c != rid]
-    counted = df.groupBy(fraction_digits(F.col(f"`{column}`")).alias("digits")).count().where("digits is not null").collect()  # a row a number of digits
+    counted = df.groupBy(fraction_digits(F.col(f"`{column}`"), mark).alias("digits")).count().where("digits is not null").collect()  # a row a number of digits
     total = sum(r["count"] for r in counted)
     best = max(counted, key=lambda r: (r["count"], r["digits"]), default=None)
     return int(best["digits"]) if best and best["digits"] and best["count"] >= share * total else None
 
 
-def case_map(df: DataFrame, column: str, rid: str) -> DataFrame:
-    """``value, canonical``: spellings that differ only in case and blanks, to the commonest; ties go to the first."""
-    counted = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(rid).alias("first_rid"))
-    best = counted.groupBy(F.lower(F.trim("value")).alias("folded")).agg(F.min(F.struct((-F.col("n")).alias("n"), "first_rid", "value")).alias("b"))
-    return counted.join(best, F.lower(F.trim("value")) == F.col("folded")).select("value", F.col("b.value").alias("canonical"))
-
-
-def spelling_map(df: DataFrame, column: str, rid: str, common: int = 5, rare: int = 2) -> DataFrame:
-    """``value, canonical``: rare values one edit or only case and blanks from a common one.
-
-    Distinct values are blocked by their letters with one left out, so near
-    spellings meet in an equi-join and no pair of all values is formed. Ties
-    go to the commoner, then the earlier value.
-    """
-    counted = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(rid).alias("first_rid"))
-    folded = counted.withColumn("folded", F.lower(F.trim("value")))
-    places = F.when(F.char_length("folded") > 0, F.sequence(F.lit(1), F.char_length("folded"))).otherwise(F.array().cast("array<int>"))
-    left_out = F.transform(places, lambda i: F.concat(F.substr("folded", F.lit(1), i - 1), F.substr("folded", i + 1)))
-    keyed = folded.withColumn("key", F.explode(F.array_union(F.array("folded"), F.array_distinct(left_out))))
-    low = keyed.where(F.col("n") <= rare).select("key", F.col("value").alias("value"), F.col("folded").alias("f"))
-    high = keyed.where(F.col("n") >= common).select("key", F.col("value").alias("canonical"), F.col("folded").alias("g"), F.col("n").alias("m"), F.col("first_rid").alias("r"))
-    near = low.join(high, "key").where((F.levenshtein("f", "g") <= 1) & (F.col("value") != F.col("canonical")))
-    best = near.groupBy("value").agg(F.min(F.struct((F.levenshtein("f", "g")).alias("d"), (-F.col("m")).alias("m"), "r", "canonical")).alias("b"))
-    return best.select("value", F.col("b.canonical").alias("canonical"))
-
-
-def respelled(df: DataFrame, column: str, spelling: DataFrame) -> DataFrame:
-    """``df`` with the values of a spelling map replaced."""
-    table = spelling.select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
-    return df.join(table, F.col(f"`{column}`") == F.col("__value"), "left").withColumn(column, F.coalesce("__canonical", F.col(f"`{column}`"))).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
 def capped_outliers(c: Column, median: float, low: float, high: float, policy: str = "keep", placeholders: tuple[float, ...] = ()) -> Column:
     """Outliers outside [low, high]: placeholders to null, the others kept, set to the median or to null."""
     x = to_number(c)
@@ -192,33 +226,3 @@ def capped(c: Column, median: float, low: float, high: float, policy: str, whole
     """``capped_outliers`` of the numbers that are there; whole ones stay whole."""
     x = F.when(c.isNotNull(), capped_outliers(c.cast("double"), median, low, high, policy))
     return x.cast("bigint") if whole else x
-
-
-def all_change_problems(before: DataFrame, changes: dict[str, Column]) -> dict[str, dict[str, bool]]:
-    """:func:`change_problems` of many columns at once: one aggregate, one row to the driver."""
-    if not changes:
-        return {}
-    aggs = []
-    for i, (column, after) in enumerate(changes.items()):
-        a, b = F.col(f"`{column}`").cast("string"), after.cast("string")
-        aggs += [
-            F.count(a).alias(f"present{i}"), F.count(b).alias(f"kept{i}"), F.count_if((a != b) & (F.lower(a) == F.lower(b))).alias(f"recased{i}"), F.count_if(F.char_length(b) * 2 < F.char_length(a)).alias(f"short{i}"),
-            F.min(a).alias(f"a{i}"), F.max(a).alias(f"b{i}"), F.approx_count_distinct(a).alias(f"da{i}"), F.min(b).alias(f"c{i}"), F.max(b).alias(f"d{i}"),
-        ]
-    r = before.agg(*aggs).first()
-    out = {}
-    for i, column in enumerate(changes):
-        x = lambda k: r[f"{k}{i}"]  # noqa: B023, E731
-        # One value is left if least and greatest agree; more than two were there is a matter of an estimate that is exact for so few.
-        out[column] = {"emptied": x("present") > 0 and x("kept") == 0, "collapsed": x("da") > 2 and x("kept") > 0 and x("c") == x("d"), "recased": x("recased") * 2 > x("present"), "shortened": x("short") * 2 > x("present")}
-    return out
-
-
-def change_problems(before: DataFrame, column: str, after: Column) -> DataFrame:
-    """What a validator would object to in a rule's effect: ``emptied, collapsed, recased, shortened`` as booleans."""
-    a, b = F.col(f"`{column}`").cast("string"), after.cast("string")
-    x = before.agg(
-        F.count_if(a.isNotNull()).alias("present"), F.count_if(b.isNotNull()).alias("kept"), F.count_distinct(a).alias("da"), F.count_distinct(b).alias("db"),
-        F.count_if((a != b) & (F.lower(a) == F.lower(b))).alias("recased"), F.count_if(F.char_length(b) * 2 < F.char_length(a)).alias("short"),
-    )
-    return x.select(((F.col("present") > 0) & (F.col("kept") == 0)).alias("emptied"), ((F.col("da") > 2) & (F.col("db") <= 1)).alias("collapsed"), (F.col("recased") * 2 > F.col("present")).alias("recased"), (F.col("short") * 2 > F.col("present")).alias("shortened"))

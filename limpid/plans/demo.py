@@ -40,6 +40,28 @@ PARTS = """
       CASE p_partkey % 4 WHEN 0 THEN replace(p_type, ' ', ',') WHEN 1 THEN replace(p_type, ' ', '; ') WHEN 2 THEN replace(p_type, ' ', ' | ') ELSE p_type END AS list_text
     FROM part"""
 
+#: Names of market segments with slips of one letter or two, and slips of slips.
+SLIPS = """
+    SELECT c_custkey, CASE WHEN c_custkey % 150 = 7 THEN replace(c_mktsegment, 'I', 'X') WHEN c_custkey % 150 = 8 THEN c_mktsegment || 'S'
+      WHEN c_custkey % 150 = 9 THEN replace(replace(c_mktsegment, 'U', ''), 'B', 'x') WHEN c_custkey % 150 = 10 THEN replace(c_mktsegment, 'E', 'x')
+      WHEN c_custkey % 150 = 11 THEN NULL WHEN c_custkey % 150 < 4 THEN CAST(20532587 + c_custkey % 4 AS STRING) WHEN c_custkey = 12 THEN '2053x587'
+      ELSE c_mktsegment END AS v FROM customer"""
+#: Sizes of parts with a unit, most of them in one way.
+MEASURES = """
+    SELECT p_partkey, CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN CAST(p_size AS STRING) || 'oz' WHEN p_partkey % 37 = 0 THEN CAST(p_size AS STRING) || '.00 OZ'
+      WHEN p_partkey % 13 = 0 THEN CAST(p_size AS STRING) || '.5 oz.' WHEN p_partkey % 29 = 0 THEN CAST(p_size AS STRING) || '.0 ounce' WHEN p_partkey % 31 = 0 THEN CAST(p_size AS STRING) || '.25 oz'
+      ELSE CAST(p_size AS STRING) || '.0 oz' END AS v FROM part"""
+#: Columns of numbers, as text, of all roles.
+NUMBERED = """
+    SELECT c_custkey AS rid, CAST(c_custkey AS STRING) AS number_of_row, lpad(CAST((c_custkey * 7919) % 99991 AS STRING), 5, '0') AS area,
+      CAST(2000000000 + (c_custkey * 15485863) % 999999937 AS STRING) AS line, CAST(1950 + c_custkey % 70 AS STRING) AS founded, CAST(c_custkey * 7 % 90 AS STRING) AS stock,
+      CAST(10000 + 500 * (c_custkey % 160) AS STRING) AS salary, CAST(c_custkey % 40 AS STRING) AS shop_id, c_mktsegment AS segment,
+      CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 11 AS STRING) || ' kg' ELSE CAST(c_custkey % 11 AS STRING) || '.25' END AS weight FROM customer"""
+#: Columns whose form a rule could spoil.
+FORMS = """
+    SELECT p_partkey, '2020-01-' || lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0') AS day, 'Part ' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' (new)' END AS note,
+      CAST(p_size AS STRING) || '.5%' AS rate, lower(p_brand) AS code, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE '' END || p_brand AS name FROM part"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

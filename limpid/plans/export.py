@@ -37,7 +37,7 @@ def script(source: str, target: str, rid: str, report: Report) -> str:
 from pyspark.sql import functions as F
 
 from limpid.operators import dependencies as fd
-from limpid.operators import rules
+from limpid.operators import patterns, rules, spelling
 from limpid.sources.tables import load_table, save_table, with_row_ids
 
 spark = SparkSession.builder.getOrCreate()

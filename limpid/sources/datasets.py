@@ -79,6 +79,7 @@ class Settings:
     outlier_policy: str = "keep"
     clean_columns: tuple[str, ...] = ()
     sentinels: tuple[float, ...] = ()
+    workers: int = 8
     sample_sizes: dict[str, int] = field(default_factory=lambda: {"clean": 20, "dirty": 500, "unique": 500, "random": 20, "short": 30, "long": 10})
 
     @classmethod

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from limpid.operators import rules, scoring
+from limpid.operators import scoring, validation
 from limpid.plans.cleaning import clean_table
 from limpid.plans.supplied import apply_pair_cleaner
 from limpid.plans.demo import FLAT, TRUTH, made
@@ -45,9 +45,8 @@ def test_rules_that_spoil_are_rejected(spark):
     spoil = {"a": F.lower("a"), "b": F.substring("b", 1, 3)}
     cleaned, report = clean_table(table, "rid", cleaner=lambda df, c, kind: spoil[c])
     assert sorted(map(tuple, cleaned.collect())) == sorted(map(tuple, table.collect())) and report.outcomes() == {"rejected": 2}
-    each = {c: rules.change_problems(table, c, spoil[c]).first().asDict() for c in spoil}
-    assert rules.all_change_problems(table, spoil)["a"]["recased"] == each["a"]["recased"] is True
-    assert rules.all_change_problems(table, spoil)["b"]["shortened"] == each["b"]["shortened"] is True
+    found = {r["column"]: r for r in validation.change_problems(table, spoil).collect()}
+    assert found["a"]["recased"] and found["b"]["shortened"] and not found["a"]["emptied"]
 
 
 def test_cleaners_of_two_columns(spark):
