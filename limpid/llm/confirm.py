@@ -14,6 +14,8 @@ from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, named,
 
 #: A set's partners are confirmed in groups of about so many, and of so many shingles.
 GROUP_PAIRS, GROUP_SHINGLES = 256, 500_000
+#: Most buckets of a sketch: with fewer than shingles it rules out less, never a link.
+SKETCH = 4096
 
 
 def shingle_set(text: bytes, memory: WordHashes, width: int) -> np.ndarray:
@@ -30,6 +32,27 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
     return k1, k2
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of K buckets, K being a power of two above 1.5 times their number, if that is not too many.
+
+    The lesser counts of two sets bound their intersection from above. None if
+    a bucket overflows a byte: then nothing is ruled out.
+    """
+    k = 64
+    while 2 * k < 3 * len(shingles) and k < SKETCH:
+        k *= 2
+    found = np.bincount((shingles & np.uint64(k - 1)).astype(np.int64), minlength=k)
+    return found.astype(np.uint8) if found.max() < 256 else np.empty(0, np.uint8)
+
+
+def folded(counts: np.ndarray, k: int) -> np.ndarray:
+    """A sketch with fewer buckets."""
+    wide = counts.astype(np.uint16)
+    while len(wide) > k:
+        wide = wide[: len(wide) // 2] + wide[len(wide) // 2 :]
+    return wide
+
+
 def linked(one: np.ndarray, other: np.ndarray) -> bool:
     common = len(np.intersect1d(one, other, assume_unique=True))
     return 100 * common >= 80 * (len(one) + len(other) - common)

@@ -40,8 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import LOWER_BYTES, WordHashes, few, gram_hashes, named, payload, private, released, signed, stored, text_hashes, utf8
+from limpid.llm.common import WordHashes, few, named, payload, private, released, signed, stored, text_hashes, utf8
 from limpid.llm.components import components
+from limpid.llm.confirm import confirmed, folded, set_keys, shingle_set, sketch, texts_of
 
 SHINGLE = 5
 #: Lists longer than this move to the end of the order.
@@ -54,44 +55,12 @@ BLOCK = 2048
 SIZE_STEP = 1.3
 #: What a pair of sets costs, counted and compared on their texts, against an entry of a list. Measured on small sets: 10 to 30 microseconds against 1 to 2.
 PAIR_COST = 12
-#: Most buckets of a sketch: with fewer than shingles it rules out less, never a link.
-SKETCH = 4096
 #: At most so many shingles are sent to the executors as having long lists; the rest only cost time.
 LONG_LISTS = 200_000
 
 
-def shingle_set(text: bytes, memory: WordHashes) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; one for a shorter text, none for no words."""
-    hashes = memory.of(text.translate(LOWER_BYTES).split())
-    if len(hashes) >= SHINGLE:
-        return np.unique(gram_hashes(hashes, SHINGLE))
-    return gram_hashes(hashes, len(hashes)) + np.uint64(len(hashes)) if len(hashes) else np.empty(0, np.uint64)
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of K buckets, K being a power of two above 1.5 times their number, if that is not too many.
-
-    None if a bucket overflows a byte: then nothing is ruled out.
-    """
-    k = 64
-    while 2 * k < 3 * len(shingles) and k < SKETCH:
-        k *= 2
-    found = np.bincount((shingles & np.uint64(k - 1)).astype(np.int64), minlength=k)
-    return found.astype(np.uint8) if found.max() < 256 else np.empty(0, np.uint8)
-
-
-def folded(counts: np.ndarray, k: int) -> np.ndarray:
-    """A sketch with fewer buckets."""
-    wide = counts.astype(np.uint16)
-    while len(wide) > k:
-        wide = wide[: len(wide) // 2] + wide[len(wide) // 2 :]
-    return wide
-
-
-def set_keys(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits, in two halves, that tell sets apart."""
-    k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
-    return k1, k2
+def own_set(text: bytes, memory: WordHashes) -> np.ndarray:
+    return shingle_set(text, memory, SHINGLE)
 
 
 def prefix_size(n: int) -> int:
@@ -159,7 +128,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in released(batches):
         n, keys, prefixes, sketches = [], [], [], []
         for text in batch.column(3):
-            s = shingle_set(payload(text.as_py()), memory)
+            s = own_set(payload(text.as_py()), memory)
             key = set_keys(s)
             n.append(len(s))
             keys.append(key)
@@ -184,7 +153,7 @@ def _relisted(light: int, long_lists):
         for batch in released(batches):
             n, k1, k2, subsets, lists = [], [], [], [], []
             for text in batch.column(0):
-                s = shingle_set(payload(text.as_py()), memory)
+                s = own_set(payload(text.as_py()), memory)
                 key = set_keys(s)
                 if not len(s) or key in met or (4 * len(s) > 5 * light and not held_in(s[: prefix_size(len(s))], long).any()):
                     continue
@@ -230,19 +199,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(keep))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory = WordHashes()
-    for batch in released(batches):
-        keep, last, one = [], None, None
-        for key, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if key != last:
-                last, one = key, shingle_set(payload(a.as_py()), memory)
-            other = shingle_set(payload(b.as_py()), memory)
-            common = len(np.intersect1d(one, other, assume_unique=True))
-            keep.append(100 * common >= 80 * (len(one) + len(other) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _enough_shared(light: int) -> Column:
     """Whether a pair's shared prefix shingles leave room for a link; subsets of light pairs always do."""
     prefix = lambda n: F.col(n) - F.floor((4 * F.col(n) + 4) / 5) + 1
@@ -405,15 +361,7 @@ def _compared(block: pd.DataFrame, across: bool, likeliest: bool) -> pd.DataFram
 def verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of set keys (a, b) whose sets link, by the texts of one document of each."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    # The id alone could be missing, or be there with other texts.
-    holders = stored(sets.join(keys, "set_key").groupBy("set_key").agg(F.min(F.struct("doc", "t1", "t2")).alias("at")).select("set_key", "at.*"))
-    t1, t2 = text_hashes(named(text_col))
-    rows = docs.select(named(id_col).alias("own_doc"), t1.alias("own_t1"), t2.alias("own_t2"), utf8(named(text_col)).alias("text"))
-    held = rows.join(few(holders), (F.col("own_t1") == F.col("t1")) & (F.col("own_t2") == F.col("t2")) & F.col("own_doc").eqNullSafe(F.col("doc")))
-    texts = stored(held.select("set_key", "text").dropDuplicates(["set_key"]))
-    left = pairs.join(texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b")), "b").select("b", "a", "text_b", "text_a")
-    return both.mapInArrow(_verified, "a long, b long")
+    return confirmed(pairs, texts_of(docs, id_col, text_col, sets, keys), SHINGLE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
