@@ -14,8 +14,9 @@ threshold of 0.8 is in no band in common with a probability of (1 - 0.8^4)^40,
 88 of 160 coordinates go (a link does that with 9e-12), the rest is confirmed
 on the whole sets. No list or group is capped: a bucket's sets are tied to its
 least set first; only buckets that then still span several components are
-compared, block by block on sketches, each set first with its likeliest
-partner and then with all that may link.
+compared, block by block, on sketches and on counts by hash bucket that bound
+any intersection from above. Of what these leave, each set first goes with its
+likeliest partner and then with all that may link.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from limpid.llm.common import WordHashes, mixed, named, payload, released, signed, stored, text_hashes, utf8
 from limpid.llm.components import components
-from limpid.llm.confirm import confirmed, set_keys, shingle_set, texts_of
+from limpid.llm.confirm import confirmed, folded, set_keys, shingle_set, sketch, texts_of
 
 SHINGLE = 2
 ROWS, BANDS = 4, 40
@@ -39,8 +40,8 @@ COORDINATES = ROWS * BANDS
 LEAST_AGREEMENT = 88
 #: Sets of a block whose sketches are compared.
 BLOCK = 1024
-#: Rounds in which likeliest partners are confirmed, before all that may link are.
-LIKELIEST_ROUNDS = 2
+#: Rounds in which each set goes with its likeliest partner, before all that may link do.
+LIKELIEST_ROUNDS = 1
 #: Sets that a task remembers, so as to sketch copies once.
 SETS_MET = 100_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -142,28 +143,66 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def likely_pairs(own: np.ndarray, keys: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.ndarray, across: bool, likeliest: bool) -> list[tuple[int, int]]:
-    """Pairs (greater, lesser key) of a block, or across two, of different components whose sizes and sketches leave room for a link; of each set all or the likeliest."""
+class Bounds:
+    """How many shingles of one set of a block others can share at most, by counts in hash buckets."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts, self.size = counts, np.array([len(c) for c in counts])
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by buckets: the sets that have so many, or twice as many, and their counts
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds; without counts, or for others of very different size, there is none."""
+        k = self.size[i]
+        most = np.full(len(others), np.iinfo(np.int64).max // 16)
+        if k:
+            if k not in self.level:
+                at = np.flatnonzero((self.size == k) | (self.size == 2 * k))
+                self.level[k] = at, np.stack([folded(self.counts[j], k) for j in at])
+            at, table = self.level[k]
+            near = np.flatnonzero((self.size[others] == k) | (self.size[others] == 2 * k))
+            mine = folded(self.counts[i], k)
+            for begin in range(0, len(near), 64):
+                some = near[begin : begin + 64]
+                most[some] = np.minimum(table[np.searchsorted(at, others[some])], mine).sum(axis=1)
+        return most
+
+
+def likely_pairs(own: np.ndarray, keys: np.ndarray, n: np.ndarray, root: np.ndarray, sketches: np.ndarray, counts: list[np.ndarray], across: bool, likeliest: bool) -> list[tuple[int, int]]:
+    """Pairs (greater, lesser key) of a block, or across two, of different components, that may link; of each set all or the likeliest.
+
+    Sizes and counts by bucket leave room for a link, and sketches agree in enough coordinates.
+    """
     order = np.lexsort((keys, n))
     own, keys, n, root, sketches = own[order], keys[order], n[order], root[order], sketches[order]
+    bounds = Bounds([counts[i] for i in order])
     ends, out = np.searchsorted(n, 5 * n // 4, side="right"), []
     for i in range(len(n)):
         later = np.arange(i + 1, ends[i])
         later = later[(root[later] != root[i]) & ((own[later] != own[i]) | (not across))]
-        if len(later):
-            same = agreements(sketches[later], sketches[i])
-            later = later[[same.argmax()]] if likeliest else later
-            same = same[[same.argmax()]] if likeliest else same
-            out += [(max(keys[i], keys[j]), min(keys[i], keys[j])) for j in later[same >= LEAST_AGREEMENT]]
+        same = agreements(sketches[later], sketches[i])
+        later, same = later[same >= LEAST_AGREEMENT], same[same >= LEAST_AGREEMENT]
+        room = 9 * bounds.shared(i, later) >= 4 * (n[i] + n[later])
+        later, same = later[room], same[room]
+        if likeliest and len(later):
+            later = later[[same.argmax()]]
+        out += [(max(keys[i], keys[j]), min(keys[i], keys[j])) for j in later]
     return out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory = WordHashes()
+    for batch in released(batches):
+        counts = [sketch(shingle_set(payload(t.as_py()), memory, SHINGLE)).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["set_key", "counts"])
+
+
 def _scanned(likeliest: bool):
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):
             own, key, n, root = (block.column(c).to_numpy() for c in ("own", "set_key", "n", "root"))
             sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(len(own), -1)
-            found = likely_pairs(own, key, n, root, sketches, block.column("one")[0] != block.column("two")[0], likeliest)
+            counts = [np.frombuffer(c, np.uint8) for c in block.column("counts").to_pylist()]
+            found = likely_pairs(own, key, n, root, sketches, counts, block.column("one")[0] != block.column("two")[0], likeliest)
             a, b = zip(*found, strict=True) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -178,12 +217,12 @@ def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def scan(members: DataFrame, sketches: DataFrame, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) within the heads' groups that may link, by pairs of blocks of their sets."""
+    """Pairs (a, b) within the heads' groups that may link, by pairs of blocks of their sets; ``sketches`` has sketch and counts."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = members.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(blocks, "head").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    dealt = each.join(sketches, "set_key").select("head", "one", "two", "own", "set_key", "n", "root", "sketch")
+    dealt = each.join(sketches, "set_key").select("head", "one", "two", "own", "set_key", "n", "root", "sketch", "counts")
     return dealt.repartition(parts, "head", "one", "two").sortWithinPartitions("head", "one", "two").mapInArrow(_scanned(likeliest), "a long, b long").distinct()
 
 
@@ -213,11 +252,14 @@ def sketch_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[Data
     held = texts_of(docs, id_col, text_col, sets, keys)
     links = stored(confirmed(tried, held, SHINGLE))
     roots = stored(components(links))
+    members = open_buckets(shared, roots)
+    counts = held.join(members.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "text").mapInArrow(_counted, "set_key long, counts binary")
+    sketches = stored(sketches.join(counts, "set_key"))
     settled = False
     for likeliest in [True] * LIKELIEST_ROUNDS + [False]:
         if likeliest and settled:
             continue
-        pairs = stored(scan(open_buckets(shared, roots), sketches, likeliest).join(tried, ["a", "b"], "left_anti"))
+        pairs = stored(scan(members, sketches, likeliest).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             settled = True
             continue
@@ -226,6 +268,7 @@ def sketch_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[Data
         if not found.isEmpty():
             links = stored(links.unionByName(found))
             roots = stored(components(links))
+            members = open_buckets(shared, roots)
     return sets.select("doc", "n", "set_key"), roots
 
 
