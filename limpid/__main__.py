@@ -5,19 +5,24 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.functions.equality import lenient_equal
-from limpid.operators import scoring
+from limpid.functions.text import percent
+from limpid.operators import sampling, scoring
 from limpid.plans import export
-from limpid.plans.cleaning import clean_table
+from limpid.plans.cleaning import Report, clean_table
 from limpid.sources.datasets import Settings, dirty_next_to, numeric_columns, resolve
 from limpid.sources.tables import RID, load_table, save_table, stored_runs, with_row_ids
 from limpid.streaming.logs import append_trace
 
+#: What is averaged over runs.
+METRICS = [f"{k}_{m}" for k in ("detection", "correction") for m in ("precision", "recall", "f1")]
+
 
 def _numbered(spark: SparkSession, path: str | Path) -> DataFrame:
     return with_row_ids(load_table(spark, str(path)))
@@ -30,6 +35,26 @@ def evaluate(dirty: DataFrame, cleaned: DataFrame, truth: DataFrame, numeric: tu
     return scoring.scores(scoring.counts(cells)).orderBy(F.col("column").asc_nulls_first())
 
 
+def mean_of(runs: list[tuple[int, DataFrame]]) -> list[dict]:
+    """Mean and deviation over runs of every metric, by column and of the whole table (all), with the mean correction F1 as a percentage."""
+    every = reduce(DataFrame.unionByName, [df.withColumn("run", F.lit(n)) for n, df in runs]).withColumn("column", F.coalesce("column", F.lit("all")))
+    return as_json(scoring.over_runs(every, ["column"], METRICS).withColumn("correction", percent(F.col("correction_f1_mean"))))
+
+
+def reviewed(dirty: DataFrame, cleaned: DataFrame, report: Report, settings: Settings, folder: str) -> dict[str, str]:
+    """For each column that was worked on, rows before and after as JSON lines: changed ones, up to the size of a dirty sample, and others, up to that of a random one."""
+    out = {}
+    for s in report.steps:
+        if s.outcome in ("cleaned", "unified", "enforced") and s.target in dirty.columns and s.target not in out:
+            side = lambda df, name: df.select(RID, F.col(f"`{s.target}`").cast("string").alias(name))  # noqa: B023, E731
+            pairs = side(dirty, "before").join(side(cleaned, "after"), RID)
+            sizes = settings.sample_sizes
+            drawn = sampling.review_sample(pairs, RID, ~F.col("before").eqNullSafe(F.col("after")), sampling.seed_of(settings.seed, "review", s.target), sizes["dirty"], sizes["random"], sizes["dirty"] + sizes["random"])
+            out[s.target] = f"{folder}/{export.identifier(s.target)}"
+            drawn.write.mode("overwrite").json(out[s.target])
+    return out
+
+
 def as_json(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]  # a row a column
 
@@ -46,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
     clean.add_argument("--results")
     clean.add_argument("--notebook")
     clean.add_argument("--trace", help="folder of the run's log")
+    clean.add_argument("--runs", type=int, default=1, help="runs with seeds one after another; scores are of the first, and their mean over all")
+    clean.add_argument("--review", help="folder for samples of each column before and after, of the sizes that the settings name")
     judge = commands.add_parser("evaluate", help="score a cleaned file against its ground truth")
     judge.add_argument("cleaned")
     judge.add_argument("truth")
@@ -67,8 +94,16 @@ def main(argv: list[str] | None = None) -> int:
         cleaned, report = clean_table(dirty, RID, settings)
         path = save_table(cleaned.drop(RID), str(source), args.out)
         result = {"source": str(source), "cleaned": path, "settings": vars(settings), "steps": [vars(s) for s in report.steps]}
+        more = [clean_table(dirty, RID, settings.merged({"seed": settings.seed + i}))[0] for i in range(1, args.runs)]
+        result["runs"] = [path, *[save_table(df.drop(RID), str(source), args.out) for df in more]]
         if truth:
-            result["scores"] = as_json(evaluate(dirty, cleaned, _numbered(spark, truth), numeric_columns(truth)))
+            gt, numeric = _numbered(spark, truth), numeric_columns(truth)
+            scored = [evaluate(dirty, df, gt, numeric) for df in (cleaned, *more)]
+            result["scores"] = as_json(scored[0])
+            if more:
+                result["mean"] = mean_of(list(enumerate(scored)))
+        if args.review:
+            result["review"] = reviewed(dirty, cleaned, report, settings, args.review)
         if args.trace:
             append_trace(report.trace(cleaned, int(time.time() * 1000)), args.trace)
         if args.notebook:
@@ -83,10 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         runs = [(r["run"], evaluate(dirty, _numbered(spark, r["path"].removeprefix("file:")), truth, numeric_columns(truth_path))) for r in stored_runs(spark, args.runs, args.dataset).collect()]
         if not runs:
             parser.error(f"No stored runs of {args.dataset} in {args.runs}")
-        every = runs[0][1].withColumn("run", F.lit(runs[0][0]))
-        for n, df in runs[1:]:
-            every = every.unionByName(df.withColumn("run", F.lit(n)))
-        result = {"runs": len(runs), "mean": as_json(scoring.over_runs(every.withColumn("column", F.coalesce("column", F.lit("all"))), ["column"], ["detection_f1", "correction_f1"]))}
+        result = {"runs": len(runs), "mean": mean_of(runs)}
     shown = json.dumps(result, indent=2, default=str)
     if args.results:
         Path(args.results).write_text(shown)

@@ -16,10 +16,11 @@ LEAST_ROWS = 10
 
 def center(df: DataFrame, column: str) -> tuple[float | None, float | None, int]:
     """Median, median absolute deviation (both exact and interpolated) and number of the values that read as numbers."""
-    x = df.select(to_number(F.col(f"`{column}`")).alias("x")).where("x is not null")
-    middle = median(x, F.col("x"))
-    mad = None if middle is None else median(x, F.abs(F.col("x") - F.lit(middle)))
-    return middle, mad, x.count()
+    x = df.select(to_number(F.col(f"`{column}`")).alias("x")).where("x is not null and not isnan(x)")
+    n = x.count()
+    middle = median(x, F.col("x"), n=n)
+    mad = None if middle is None else median(x, F.abs(F.col("x") - F.lit(middle)), n=n)
+    return middle, mad, n
 
 
 def outlier_rows(df: DataFrame, column: str, threshold: float = THRESHOLD) -> DataFrame:

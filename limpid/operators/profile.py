@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions.kinds import value_kind, zero_one
 from limpid.functions.text import signature
-from limpid.operators.ranks import median
+from limpid.operators.ranks import FEW_VALUES, median
 
 BINS = 16
 FLOAT_SHARE = 0.05
@@ -74,14 +74,18 @@ def repetition(counts: DataFrame) -> DataFrame:
     )
 
 
-def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, low, high, span, mean, median, std`` (population) of numeric columns; NaN counts as missing."""
+def numeric_stats(df: DataFrame, columns: list[str], few: int = FEW_VALUES) -> DataFrame:
+    """``column, low, high, span, mean, median, std`` (population) of numeric columns; NaN counts as missing.
+
+    One aggregate counts the values of all columns, a second one has all that
+    is asked; only medians of more than ``few`` values are closed in on by passes of their own.
+    """
+    x = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
+    sizes = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(x.values())]).first()
     stats = []
-    for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        middle = F.lit(median(df, x)).cast("double")
-        x = F.when(~F.isnan(x), x)
-        stats.append(F.struct(F.lit(c).alias("column"), F.min(x).alias("low"), F.max(x).alias("high"), (F.max(x) - F.min(x)).alias("span"), F.avg(x).alias("mean"), middle.alias("median"), F.stddev_pop(x).alias("std")))
+    for i, (c, v) in enumerate(x.items()):
+        middle = F.median(v) if sizes[f"n{i}"] <= few else F.lit(median(df, v, few, sizes[f"n{i}"])).cast("double")
+        stats.append(F.struct(F.lit(c).alias("column"), F.min(v).alias("low"), F.max(v).alias("high"), (F.max(v) - F.min(v)).alias("span"), F.avg(v).alias("mean"), middle.alias("median"), F.stddev_pop(v).alias("std")))
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 

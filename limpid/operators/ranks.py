@@ -50,14 +50,14 @@ def kth_smallest(values: DataFrame, x: Column, k: int, bins: int = BINS) -> floa
     return low
 
 
-def median(values: DataFrame, x: Column, few: int = FEW_VALUES) -> float | None:
+def median(values: DataFrame, x: Column, few: int = FEW_VALUES, n: int | None = None) -> float | None:
     """The exact, interpolated median of a numeric expression; nulls and NaN left out, None without values.
 
     Up to ``few`` values are aggregated as Spark does, which holds a map of
-    them in one task; more are closed in on.
+    them in one task; more are closed in on. ``n`` is their number, where it is known.
     """
     x = F.when(~F.isnan(x), x)
-    n = values.agg(F.count(x)).first()[0]
+    n = values.agg(F.count(x)).first()[0] if n is None else n
     if n <= few:
         return values.agg(F.median(x)).first()[0]
     lower = kth_smallest(values, x, (n + 1) // 2)

@@ -22,6 +22,7 @@ DATE_SHAPES = {
     "dd/MM/yyyy": r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "MM/dd/yyyy": r"[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "dd-MM-yyyy": r"[0-9]{2}-[0-9]{2}-[0-9]{4}",
+    "dd.MM.yyyy": r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
     "d MMMM yyyy": r"[0-9]{1,2} \p{L}+ [0-9]{4}",
     "MMMM d, yyyy": r"\p{L}+ [0-9]{1,2}, [0-9]{4}",
     "yyyy-MM-dd HH:mm:ss": r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}",

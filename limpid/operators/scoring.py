@@ -137,6 +137,17 @@ def usage(events: DataFrame) -> DataFrame:
     return x.crossJoin(F.broadcast(whole)).select("agent", "prompt", "completion", "tokens", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("whole")), F.lit(0.0)).alias("share"))
 
 
+def usage_by_level(events: DataFrame, levels: tuple[str, ...] = ("run", "task", "agent")) -> DataFrame:
+    """Tokens at every level of a run, from one rollup: ``level``, the levels' names (null above them), ``prompt, completion, tokens, share`` of the whole."""
+    per = events.rollup(*levels).agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.grouping_id().alias("rolled"))
+    # The id has a bit for each level that is rolled up, the last level's lowest.
+    names = F.array(*[F.lit(n) for n in ("all", *levels)])
+    level = F.element_at(names, len(levels) + 1 - F.bit_count("rolled"))
+    x = per.withColumn("tokens", F.col("prompt") + F.col("completion")).withColumn("level", level)
+    whole = x.where("level = 'all'").select(F.col("tokens").alias("whole"))
+    return x.crossJoin(F.broadcast(whole)).select("level", *levels, "prompt", "completion", "tokens", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("whole")), F.lit(0.0)).alias("share"))
+
+
 def rejections(trace: DataFrame) -> DataFrame:
     """How often a validator sent a column back."""
     return trace.where(F.contains(F.lower("step"), F.lit("validator")) & (F.col("status") == "needs_correction")).agg(F.count("*").alias("rejections"))

@@ -21,7 +21,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from limpid.operators import outliers, patterns, profile, roles, rules, sampling, spelling, validation
+from limpid.operators import disguised, outliers, patterns, profile, roles, rules, sampling, spelling, validation
 from limpid.plans.supplied import ColumnAnalyser, Dependencies, TableCleaner, analysed, apply_series_cleaner, run_supplied
 from limpid.sources.datasets import Settings
 from limpid.sources.store import stored
@@ -90,12 +90,12 @@ class RuleCleaner:
     """The rule library by semantic type and role. Cleaned values stay text, but for quantities.
 
     ``roles`` has what is known of the columns' numbers, as rows of
-    :func:`roles.column_roles`. ``code`` has, for each column asked about, the
+    :func:`roles.column_roles`; ``marks`` the values of a column that stand for none. ``code`` has, for each column asked about, the
     expression that repeats its rules.
     """
 
-    def __init__(self, rid: str, settings: Settings | None = None, roles: dict[str, Row] | None = None):
-        self.rid, self.settings, self.roles, self.code = rid, settings or Settings(), roles or {}, {}
+    def __init__(self, rid: str, settings: Settings | None = None, roles: dict[str, Row] | None = None, marks: dict[str, tuple[str, ...]] | None = None):
+        self.rid, self.settings, self.roles, self.marks, self.code = rid, settings or Settings(), roles or {}, marks or {}, {}
 
     def __call__(self, df: DataFrame, column: str, kind: str) -> Column | None:
         chain = self.chain(df, column, kind)
@@ -114,7 +114,8 @@ class RuleCleaner:
         """Rules with their settings, in order; what they are set to is measured on the column."""
         own = df.select(self.rid, F.col(f"`{column}`").cast("string").alias("v"))
         sentinels = self.settings.sentinels if kind in NUMBERS else ()
-        first = [("missing", {"sentinels": sentinels} if sentinels else {})]
+        given = ({"more": self.marks[column]} if column in self.marks else {}) | ({"sentinels": sentinels} if sentinels else {})
+        first = [("missing", given)]
         if kind == "BOOLEAN":
             words = F.lower(F.trim("v"))
             pair_of = F.coalesce(*[F.when(words.isin(list(p)), F.lit(i)) for i, p in enumerate(rules.PAIRS)])
@@ -123,7 +124,7 @@ class RuleCleaner:
             return [*first, *self.numbers(df, own, column, kind)]
         if kind == "DATETIME":
             formats = rules.date_formats(own, self.rid)
-            return [*first, ("dates", {"keep": formats[0], "formats": tuple(formats[1:])})] if formats else None
+            return [*first, ("dates", {"keep": formats[0], "formats": tuple(formats[1:])})] if formats else first if column in self.marks else None
         if kind == "NATURAL_LANGUAGE_TEXT":
             return [*first, ("free_text", {})]
         if kind == "COLLECTION":
@@ -144,7 +145,7 @@ class RuleCleaner:
         last = "integers" if whole else "decimals"
         if not whole:
             given["digits"] = rules.usual_digits(own, self.rid, PRECISION_SHARE, given["mark"])
-        bare = rules.missing(F.col(f"`{column}`").cast("string"), sentinels=self.settings.sentinels)
+        bare = rules.missing(F.col(f"`{column}`").cast("string"), self.marks.get(column, ()), self.settings.sentinels)
         return [(last, given), *self.capped(df, getattr(rules, last)(bare, **given), whole)]
 
     def capped(self, df: DataFrame, value: Column, whole: bool) -> list[tuple[str, dict[str, Any]]]:
@@ -271,7 +272,8 @@ def clean_table(
     column already clean, and a cleaner that fails leaves it as it was; neither
     stops the others. All rules are judged together. ``functions`` are supplied
     pandas functions by column, run under the time limit in place of rules.
-    Without a cleaner of the caller's, spellings of categories are unified
+    Values that stand for missing ones, unless the settings say otherwise, are
+    looked for in the whole table. Without a cleaner of the caller's, spellings of categories are unified
     next. Then come the table cleaners; by default, dependencies that score at
     least ``least_score`` are enforced level by level. Each task is looked at
     again on the table as it is by then, and left out if nothing is wrong any
@@ -286,8 +288,15 @@ def clean_table(
     types = {r["column"]: r["semantic_type"] for r in profile.semantic_types(counts, columns).collect()}
     found = {r["column"]: r for r in roles.column_roles(counts).collect()}
     default = cleaner is None
-    cleaner = cleaner or RuleCleaner(rid, settings, found)
+    marks: dict[str, tuple[str, ...]] = {}
+    if default and settings.disguised:
+        every = counts if seen is df else stored(profile.value_counts(df, rid, columns))
+        for r in disguised.disguised_missing(df, rid, every, str(settings.seed)).collect():  # at most a few a column
+            marks[r["column"]] = (*marks.get(r["column"], ()), r["value"])
+    cleaner = cleaner or RuleCleaner(rid, settings, found, marks)
     report.notes = analysed(df, types, analysers) if analysers else {}
+    for c, values in marks.items():
+        report.notes.setdefault(c, {})["disguised"] = list(values)
     for c, r in found.items():
         if r["role"] != "none":
             report.notes.setdefault(c, {})["role"] = r["role"]

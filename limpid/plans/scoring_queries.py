@@ -115,6 +115,12 @@ def agent_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.coalesce("agent", F.lit("all")).alias("agent"), "prompt", "completion", "tokens", F.round("share", 6).alias("share"))
 
 
+def usage_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each conversation as a run, of each of its turns as a task, and of each role as an agent."""
+    events = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("task"), F.col("role").alias("agent"), F.char_length("text").cast("long").alias("prompt"), F.size(F.split("text", " ")).cast("long").alias("completion"))
+    return scoring.usage_by_level(events).withColumn("share", F.round("share", 6))
+
+
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = table(spark, sf_dir, "conversations").select(F.concat(F.when(F.col("turn") % 2 == 0, "coder_").otherwise("validator_"), F.col("turn").cast("string")).alias("step"), F.when(F.col("role") == "user", "needs_correction").otherwise("ok").alias("status"))
     return scoring.rejections(trace)
@@ -134,7 +140,7 @@ _SHOW = "coalesce('\"' || replace(CAST({0} AS VARCHAR), '\"', '''') || '\"', 'Na
 
 QUERIES = {
     f.__name__: f
-    for f in (score_overall, score_per_column, gui_metrics, score_reports, score_strict, changed_rows, align_rows, review_sample, except_rows, detection_only, sparse_mask, run_aggregate, agent_usage, rejections)
+    for f in (score_overall, score_per_column, gui_metrics, score_reports, score_strict, changed_rows, align_rows, review_sample, except_rows, detection_only, sparse_mask, run_aggregate, agent_usage, usage_by_level, rejections)
 }
 ORACLE = {
     "score_overall": f'{_MASK.format(**_ONE)} SELECT tp, fp, fn, tn, errors, changes, repaired, "right", cells, wrong_repairs, {_M} FROM s',
@@ -168,5 +174,9 @@ ORACLE = {
     "agent_usage": """WITH e AS (SELECT role AS agent, length(text) AS p, len(string_split(text, ' ')) AS c FROM conversations)
         SELECT coalesce(agent, 'all') AS agent, CAST(sum(p) AS BIGINT) AS prompt, CAST(sum(c) AS BIGINT) AS completion, CAST(sum(p + c) AS BIGINT) AS tokens,
                round(sum(p + c) / (SELECT sum(p + c) FROM e), 6) AS share FROM e GROUP BY GROUPING SETS ((agent), ())""",
+    "usage_by_level": """WITH e AS (SELECT conv_id AS run, turn AS task, role AS agent, length(text) AS p, len(string_split(text, ' ')) AS c FROM conversations)
+        SELECT CASE grouping(run, task, agent) WHEN 0 THEN 'agent' WHEN 1 THEN 'task' WHEN 3 THEN 'run' ELSE 'all' END AS level, run, task, agent,
+               CAST(sum(p) AS BIGINT) AS prompt, CAST(sum(c) AS BIGINT) AS completion, CAST(sum(p + c) AS BIGINT) AS tokens, round(sum(p + c) / (SELECT sum(p + c) FROM e), 6) AS share
+        FROM e GROUP BY ROLLUP (run, task, agent)""",
     "rejections": "SELECT count(*) AS rejections FROM conversations WHERE turn % 2 = 1 AND role = 'user'",
 }

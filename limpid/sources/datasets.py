@@ -80,6 +80,7 @@ class Settings:
     clean_columns: tuple[str, ...] = ()
     sentinels: tuple[float, ...] = ()
     workers: int = 8
+    disguised: bool = True
     sample_sizes: dict[str, int] = field(default_factory=lambda: {"clean": 20, "dirty": 500, "unique": 500, "random": 20, "short": 30, "long": 10})
 
     @classmethod
@@ -99,7 +100,7 @@ class Settings:
                 kept[f.name] = now | {k: v for k, v in new.items() if k in now and isinstance(v, int) and not isinstance(v, bool) and v > 0}
             elif isinstance(now, tuple) and isinstance(new, list):
                 kept[f.name] = tuple(float(x) for x in new if isinstance(x, (int, float)) and not isinstance(x, bool)) if f.name == "sentinels" else tuple(map(str, new))
-            elif new is not None and isinstance(new, type(now)) and not isinstance(new, bool):
+            elif new is not None and isinstance(new, type(now)) and isinstance(new, bool) == isinstance(now, bool):
                 kept[f.name] = new
         return replace(self, **kept)
 

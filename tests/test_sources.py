@@ -70,8 +70,12 @@ def test_commands(spark, tmp_path, capsys):
     write = lambda name, change: (tmp_path / name).write_text("code,city\n" + "".join(f"K{a},{change(i, b)}\n" for i, (a, b) in enumerate(rows)))
     write("x_gt.csv", lambda i, b: b)
     write("x_dirty.csv", lambda i, b: "Citi9" if i == 5 else b)
-    assert main(["clean", str(tmp_path / "x_dirty.csv"), "--out", str(tmp_path / "out"), "--results", str(tmp_path / "r.json"), "--notebook", str(tmp_path / "n.ipynb"), "--seed", "3"]) == 0
+    assert main(["clean", str(tmp_path / "x_dirty.csv"), "--out", str(tmp_path / "out"), "--results", str(tmp_path / "r.json"), "--notebook", str(tmp_path / "n.ipynb"), "--seed", "3", "--runs", "2", "--review", str(tmp_path / "review"), "--sample-size", "7"]) == 0
     result = json.loads((tmp_path / "r.json").read_text())
     assert result["scores"][0]["column"] is None and result["scores"][0]["correction_f1"] == 1.0
+    overall = next(r for r in result["mean"] if r["column"] == "all")
+    assert len(set(result["runs"])) == 2 and overall["runs"] == 2 and overall["correction"] == "100.0%" and overall["detection_recall_mean"] == 1.0 and overall["correction_f1_sd"] == 0.0
+    reviews = spark.read.json(result["review"]["city"]) if "city" in result["review"] else None
+    assert reviews is None or reviews.where("stratum = 'random'").count() <= 7
     assert json.loads((tmp_path / "n.ipynb").read_text())["nbformat"] == 4
     assert main(["evaluate", str(tmp_path / "x_gt.csv"), str(tmp_path / "x_gt.csv")]) == 0
