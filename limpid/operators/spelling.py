@@ -74,7 +74,7 @@ def near_pairs(low: DataFrame, high: DataFrame, edits: int = EDITS) -> DataFrame
 
 
 def spelling_map(df: DataFrame, column: str, rid: str, support: int = SUPPORT) -> DataFrame:
-    """``value, canonical``: spellings that a near one is far commoner than, to the commonest of their cluster.
+    """``value, canonical``: spellings that a near one is far commoner than, or that differ in case and blanks only, to the commonest of their cluster.
 
     A value links to the nearest, then commonest, then earliest value that is
     one edit away and ``support`` times as common, or two and the square of
@@ -82,7 +82,8 @@ def spelling_map(df: DataFrame, column: str, rid: str, support: int = SUPPORT) -
     different codes; only a mark amid digits may stand for one. Links lead to
     commoner values, so they are trees; each value goes to the root of its tree.
     """
-    values = counted_values(df, column, rid).groupBy("folded").agg(F.sum("n").alias("n"), F.min("first_rid").alias("first_rid"), F.min(F.struct((-F.col("n")).alias("m"), "first_rid", "value")).alias("best"))
+    counted = counted_values(df, column, rid)
+    values = counted.groupBy("folded").agg(F.sum("n").alias("n"), F.min("first_rid").alias("first_rid"), F.min(F.struct((-F.col("n")).alias("m"), "first_rid", "value")).alias("best"))
     values = values.select("folded", "n", "first_rid", F.col("best.value").alias("value"))
     totals = values.agg(F.max("n").alias("most"))
     # Only what some value can outweigh, and what outweighs some value, takes part.
@@ -95,7 +96,9 @@ def spelling_map(df: DataFrame, column: str, rid: str, support: int = SUPPORT) -
     fits = (F.col("b.n") >= F.col("a.n") * F.pow(F.lit(support), F.col("distance"))) & (F.least(F.char_length("a.folded"), F.char_length("b.folded")) >= needed) & same_code
     linked = near_pairs(low, high).where(fits)
     links = linked.groupBy(F.col("a.value").alias("value")).agg(F.min(F.struct("distance", (-F.col("b.n")).alias("m"), F.col("b.first_rid").alias("r"), F.col("b.value").alias("to"))).alias("best")).select("value", F.col("best.to").alias("canonical"))
-    return _rooted(links)
+    roots = _rooted(links).select(F.col("value").alias("best"), F.col("canonical").alias("root"))
+    written = counted.select("value", "folded").join(values.select("folded", F.col("value").alias("best")), "folded").join(roots, "best", "left")
+    return written.select("value", F.coalesce("root", "best").alias("canonical")).where("value <> canonical")
 
 
 def _rooted(links: DataFrame) -> DataFrame:

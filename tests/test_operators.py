@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from limpid.operators import dependencies as fd
-from limpid.operators import outliers, profile, rules, sampling, scoring
+from limpid.operators import outliers, profile, rules, sampling, scoring, spelling
 from limpid.plans import cleaning, export, sql_program, supplied
 from limpid.sources.datasets import Settings
 from limpid.streaming.profiles import latest_steps
@@ -132,9 +132,9 @@ def test_dates_take_the_common_form(spark):
 
 def test_spelling(spark):
     df = spark.createDataFrame(list(enumerate(["Utrecht"] * 6 + ["Utrect", "utrecht ", "Delft", "Utrxxht"])), "rid int, v string")
-    spelling = rules.spelling_map(df, "v", "rid")
-    assert {r["value"]: r["canonical"] for r in spelling.collect()} == {"Utrect": "Utrecht", "utrecht ": "Utrecht"}
-    assert rules.respelled(df, "v", spelling).where("v = 'Utrecht'").count() == 8
+    found = spelling.spelling_map(df, "v", "rid")
+    assert {r["value"]: r["canonical"] for r in found.collect()} == {"Utrect": "Utrecht", "utrecht ": "Utrecht"}
+    assert spelling.respelled(df, "v", found).where("v = 'Utrecht'").count() == 8
 
 
 def dirty_table(spark):
