@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from limpid.functions.numbers import nan_as_null
 from limpid.functions.text import null_token_to_null
+from limpid.sources import records
+from limpid.sources.store import shared_folder
 
 RID = "_rid"
 CORRUPT = "_corrupt_record"
@@ -41,28 +44,54 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
-def quoted_line_ends(spark: SparkSession, path: str) -> bool:
-    """Whether a line of the files has an odd number of quotes, as lines that end within quotes have: only then files cannot be split at lines."""
+def line_ends(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a line has an odd number of quotes, as lines that end within quotes have, and whether a carriage return ends lines by itself."""
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def record_lines(spark: SparkSession, path: str) -> bool:
-    """Whether each line of JSON files is a record of its own."""
-    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(\{.*\}\s*)?$")).isEmpty()
+    lines = spark.read.option("lineSep", "\n").text(path)
+    found = lines.agg(F.max(quotes % 2), F.max(F.col("value").rlike("\r(?!$)").cast("int"))).first()
+    return bool(found[0]), bool(found[1])
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, all columns text; short rows are padded, rows with too many fields are skipped."""
-    options = {"header": True, "multiLine": quoted_line_ends(spark, path), "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    """A CSV file with a header, all columns text; short rows are padded, rows with too many fields are skipped.
+
+    Files whose quotes hold line ends are cut into records by byte ranges
+    (``records``), so they are split like any other, and what is within quotes
+    stays as it is. Only where lone carriage
+    returns may end lines is each file read by one task.
+    """
+    odd, lone = line_ends(spark, path)
+    options = {"header": True, "multiLine": odd, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    rows = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path)
+    if odd and not lone:
+        found = records.records(spark, path, records.CSV).where("block > 0 or place > 0")
+        parsed = F.from_csv(F.regexp_replace("record", "\r$", ""), schema.simpleString(), {k: str(v) for k, v in options.items() if k != "header"})
+        rows = found.select(parsed.alias("r")).select("r.*")
+    else:
+        rows = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path)
     filled = F.array_size(F.filter(F.array(*[F.col(f"`{n}`") for n in names]), lambda x: x.isNotNull()))
     # A row is marked both when short and when long; a long one has all its columns filled.
     return rows.where(F.col(CORRUPT).isNull() | (filled < len(names))).select(*[F.col(f"`{n}`") for n in names])
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON files: a record a line, or arrays of objects, which are cut into records by byte ranges; all else, such as an object over many lines, is read by a task a file."""
+    lines = spark.read.text(path)
+    if lines.where(~F.col("value").rlike(r"^\s*(\{.*\}\s*)?$")).isEmpty():
+        return spark.read.json(path)
+    if not records.begin_with(spark, path, r"^\ufeff?\s*\[\s*\{"):
+        return spark.read.json(path, multiLine=True)
+    found = records.records(spark, path, records.JSON)
+    text = F.regexp_replace(F.regexp_replace("record", r"^\ufeff?[\s\[,]+", ""), r"[\r\n]+", " ")
+    objects = found.select(text.alias("value")).where(F.startswith("value", F.lit("{"))).select(F.concat("value", F.lit("}")).alias("value"))
+    # Written as a record a line, from which Spark infers the columns; then parsed in file order.
+    folder = f"{shared_folder(spark)}/limpid-{uuid.uuid4().hex}"
+    objects.write.text(folder)
+    schema = spark.read.json(folder).schema
+    return objects.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """A table by its suffix. Raises FileNotFoundError for a missing local file and ValueError for an unknown suffix."""
     suffix = Path(path).suffix.lower()
@@ -73,7 +102,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     if suffix == ".csv":
         return missing_as_null(read_csv(spark, path))
     if suffix == ".json":
-        return missing_as_null(spark.read.json(path, multiLine=not record_lines(spark, path)))
+        return missing_as_null(read_json(spark, path))
     if suffix == ".xlsx":
         return missing_as_null(_read_sheet(spark, path))
     return missing_as_null(spark.read.format(suffix[1:]).load(path))
