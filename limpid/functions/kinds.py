@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from limpid.functions.literals import is_literal_collection
 from limpid.functions.numbers import GROUPED, SPECIAL, loose_number
 
 BOOLEANS = ["true", "false", "t", "f", "yes", "no", "y", "n"]
@@ -78,18 +79,6 @@ def dirty_number(c: Column) -> Column:
     return F.when(shaped, F.when(F.contains(number, F.lit(".")), "dirty_float").otherwise("dirty_integer"))
 
 
-def is_collection(c: Column) -> Column:
-    """Bracketed text whose quotes, once made double, read as JSON; tuples and sets are read as lists."""
-    text = F.trim(c)
-    inner = F.regexp_replace(text, r"^[\[({]|,?\s*[\])}]$", "")
-    as_list = F.concat(F.lit("["), F.replace(inner, F.lit("'"), F.lit('"')), F.lit("]"))
-    as_map = F.replace(text, F.lit("'"), F.lit('"'))
-    ends = text.rlike(r"^\[[\s\S]*\]$|^\{[\s\S]*\}$|^\([\s\S]*\)$")
-    scalar_in_parens = text.rlike(r"^\([^,]*\)$") & ~text.rlike(r"^\(\s*\)$")
-    read = F.try_parse_json(as_list).isNotNull() | (F.startswith(text, F.lit("{")) & F.try_parse_json(as_map).isNotNull())
-    return (text == "set()") | (ends & ~scalar_in_parens & read)
-
-
 def is_delimited(c: Column) -> Column:
     """At least two non-empty parts around one of five delimiters; links and plain fractions are not."""
     text = F.trim(c)
@@ -136,7 +125,7 @@ def value_kind(c: Column) -> Column:
         .when(c.isNull() | (F.trim(c) == ""), None)
         .when(is_datetime(c), "datetime")
         .when(dirty_number(c).isNotNull(), dirty_number(c))
-        .when(is_collection(c), "collection")
+        .when(is_literal_collection(c), "collection")
         .when(is_delimited(c), "delimited_string")
         .otherwise(text_class(c))
     )
