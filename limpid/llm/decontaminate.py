@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import WordHashes, covered, few, given, gram_hashes, named, payload, private, signed, stored, text_hashes, utf8
+from limpid.llm.common import WordHashes, covered, given, gram_hashes, named, payload, private, signed, stored, text_hashes, utf8
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,6 +34,10 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 COUNTS_HELD = 1 << 20
 #: Windows, a line of text each, that may be broadcast.
 FEW_WINDOWS = 50_000
+#: Bytes of hit documents' rows, each with its items, that may be broadcast.
+FEW_BYTES = 16 << 20
+#: Parts that a shingle's places are dealt to where windows are not broadcast: one of common words may be in very many places.
+PARTS = 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -181,7 +185,11 @@ def occurrences(texts: DataFrame, prefixes: DataFrame, window: int, shingle: int
     sizes = [r["size"] for r in prefixes.select("size").distinct().collect()]
     shared = spark.sparkContext.broadcast(bitmap_of(prefixes, "shingle", most_bits))
     found = texts.mapInArrow(_places(shared, sizes, window, shingle), "t1 long, t2 long, shingle long, place int, before int, around array<string>")
-    candidates = found.join(few(prefixes, FEW_WINDOWS), "shingle")
+    if prefixes.count() <= FEW_WINDOWS:
+        candidates = found.join(F.broadcast(prefixes), "shingle")
+    else:
+        dealt = prefixes.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        candidates = found.withColumn("dealt", F.pmod(F.xxhash64("t1", "t2", "place"), F.lit(PARTS)).cast("int")).join(dealt, ["shingle", "dealt"])
     begin = F.col("before") - F.col("offset")
     inside = (begin >= 0) & (begin + F.col("words") <= F.size("around"))  # the window lies inside the document
     same = F.array_join(F.slice("around", begin + 1, F.col("words")), " ") == F.col("window")
@@ -213,7 +221,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     found = stored(occurrences(texts, prefixes, window, min(shingle, window), most_bits).distinct())
     spans = found.select("t1", "t2", "start", "end").distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     items = found.select("t1", "t2", "window").distinct().join(holders, "window").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    by_text = few(stored(spans.select("t1", "t2", _covered_words("s.start", "s.end").alias("n_hit")).join(items, ["t1", "t2"])))
+    by_text = stored(spans.select("t1", "t2", _covered_words("s.start", "s.end").alias("n_hit")).join(items, ["t1", "t2"]))
+    # A row is two hashes, a number and its items, whose number is not bounded: what may be broadcast is counted in bytes.
+    if (by_text.agg(F.sum(48 + 12 * F.size("items") + F.octet_length(F.array_join("items", "")))).first()[0] or 0) <= FEW_BYTES:
+        by_text = F.broadcast(by_text)
     a, b, c, d, e, f, g = private(docs, "t1", "t2", "t1_hit", "t2_hit", "n_hit", "items", "n_words")
     joined = docs.withColumns({a: t1, b: t2, g: _word_count(utf8(named(text_col)))}).join(by_text.toDF(c, d, e, f), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
     n_words, n_hit = F.col(g), F.coalesce(F.col(e), F.lit(0)).cast("long")

@@ -275,6 +275,15 @@ def test_decontaminate(spark, docs, rows, shingle, bits):
     same(got, brute_hits(rows, items))
 
 
+def test_decontaminate_without_broadcasts(spark, docs, rows, monkeypatch):
+    """Beyond the bounds joins are shuffled, and a shingle's places dealt to parts: the rows are the same."""
+    monkeypatch.setattr("limpid.llm.decontaminate.FEW_WINDOWS", 0)
+    monkeypatch.setattr("limpid.llm.decontaminate.FEW_BYTES", -1)
+    items = [(1, " ".join(prose(99, 50))[:120]), (2, "One, two!"), (10, " ".join(prose(201, 20))), (None, " ".join(prose(200, 15)))]
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "hits.n_words", "hits.n_hit", F.array_join("hits.items", ","), "hits.contaminated").collect()
+    same(got, brute_hits(rows, items))
+
+
 # ---------------------------------------------------------------- media
 def test_media_round_trip(docs, rows):
     got = media_features(docs).select("doc_id", "media.*").collect()
