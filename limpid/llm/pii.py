@@ -2,7 +2,7 @@
 
 Four kinds are found by fixed patterns and checks first; those finds stay.
 Around each place with a digit or an at-sign the text's tokens are then
-segmented: each stretch of up to five tokens is a candidate entity of each
+segmented: each stretch of up to seven tokens is a candidate entity of each
 kind, described by features of the whole span (shape, checks, digit counts,
 cue words before it), every other token is outside. Dynamic programming over
 the candidates chooses boundaries and kinds jointly. Segments that overlap no
@@ -39,10 +39,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: What makes a token worth a look.
-SIGN = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
+SIGN = re.compile(r"[0-9@]|(?i:[(\[{<](?:at|dot)[)\]}>])|(?i:\b(?:at|dot)\b(?=\s+\S+\s+dot\b)|\bdot\b)")
+#: Characters behind a run of tokens that may tell whether its last ones are signs.
+AHEAD = 200
 TOKEN = re.compile(r"\S+")
 LEAD, TRAIL = "([{<\"'", ")]}>\"'.,;:!?"
-LONGEST = 5
+LONGEST = 7
 Span = tuple[str, int, int]
 
 
@@ -88,31 +90,41 @@ def base_spans(text: str) -> list[Span]:
 
 # ------------------------------------------------------------------ the field
 CUES = {"email": ("mail", "email", "e-mail", "contact"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "iban"), "phone": ("tel", "phone", "call", "fax", "mobile")}
+# A mark between the parts of an address: the sign, the word in brackets of any kind or between blanks.
+AT = r"(?:@|(?i:[(\[{<]at[)\]}>]|(?<=\s)at(?=\s)))"
+DOT = r"(?:\.|(?i:[(\[{<](?:dot|\.)[)\]}>]|(?<=\s)dot(?=\s)))"
 SHAPES = {
-    "email": re.compile(r"[\w.%+-]+\s?(?:@|[(\[]at[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]dot[)\]])\s?[\w-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:(?:\.|[(\[]dot[)\]])[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{4}(?:[ ./_-]?[0-9]{4}){2}[ ./_-]?[0-9]{4,7}"),
-    "phone": re.compile(r"(?:\+|00)?[ ]?\(?[0-9]{1,4}\)?(?:[ ./-]?\(?[0-9]{2,4}\)?){2,4}"),
+    "email": re.compile(rf"[\w.%+-]+\s?{AT}\s?(?=[\w-]*[A-Za-z])[\w-]+(?:\s?{DOT}\s?[\w-]+)+"),
+    "ip": re.compile(rf"[0-9]{{1,3}}(?:\s?{DOT}\s?[0-9]{{1,3}}){{3}}"),
+    "card": re.compile(r"[0-9]{2,8}(?:[ ./_:,|*-]{1,2}[0-9]{1,8}){1,7}|[0-9]{16,19}"),
+    "phone": re.compile(r"\(?(?:\+|0)?[ ]?\(?[0-9]{1,5}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,4}"),
 }
-FEATURES = ("bias", "shape", "checked", "shape_and_checked", "cue", "letters", "digits_8_15", "digits_16_19", "tokens", "plus", "at", "long_digits")
+#: Digits that are days, times or amounts.
+DATED = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:[0-9]{4}|[0-9]{2}))(?:[T ][0-9:.]+Z?)?|[0-9]{1,3}(?:[., ][0-9]{3})*[.,][0-9]{2}|[0-9]{4}[-/][0-9]{4}")
+MARKED = re.compile(AT)
+#: How a number to be dialled begins.
+LEADS = re.compile(r"\+|0[0-9]|\(0|\(\+")
+FEATURES = ("bias", "shape", "checked", "shape_and_checked", "cue", "letters", "digits_8_15", "digits_16_19", "tokens", "lead", "at", "long_digits", "dated", "cut")
 
 
-def span_features(kind: str, span: str, tokens: int, before: str) -> tuple[float, ...]:
+def span_features(kind: str, span: str, tokens: int, before: str, after: str = "") -> tuple[float, ...]:
     digits = digits_of(span)
     n = len(digits)
     shape = SHAPES[kind].fullmatch(span) is not None
+    cue = any(c in before for c in CUES[kind])
     if kind == "card":
         checked = 16 <= n <= 19 and luhn(digits)
     elif kind == "ip":
         parts = re.findall("[0-9]+", span)
         checked = len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     elif kind == "phone":
-        checked = 8 <= n <= 15
+        # Without a prefix or a word before it a number is not known to be dialled.
+        checked = 8 <= n <= 15 and not DATED.fullmatch(span) and (LEADS.match(span) is not None or cue)
     else:
-        checked = "@" in span or "(at)" in span or "[at]" in span
-    cue = any(c in before for c in CUES[kind])
+        checked = MARKED.search(span) is not None
     letters = sum(map(str.isalpha, span)) / len(span)
-    return (1.0, shape, checked, shape and checked, cue, letters, 8 <= n <= 15, 16 <= n <= 19, tokens / LONGEST, span[0] == "+", "@" in span, n > 19)
+    cut = after.isdigit() or before[-1:].isdigit()  # more digits stand beside the span
+    return (1.0, shape, checked, shape and checked, cue, letters, 8 <= n <= 15, 16 <= n <= 19, tokens / LONGEST, LEADS.match(span) is not None, "@" in span, n > 19, DATED.fullmatch(span) is not None, cut)
 
 
 class Region:
@@ -126,18 +138,24 @@ class Region:
             while e > s + 1 and text[e - 1] in TRAIL and not (text[e - 1] == ")" and "(" in text[s:e]):
                 e -= 1
             self.tokens.append((s, e))
-        self.signs = [SIGN.search(text, s, e) is not None for s, e in self.tokens]
+        begins = [s for s, _ in tokens]
+        self.signs = [False] * len(tokens)
+        # A sign may look at the words behind it, so signs are sought in the text, not token by token.
+        for m in SIGN.finditer(text, begins[0], tokens[-1][1] + AHEAD) if tokens else ():
+            if m.start() < tokens[-1][1]:
+                self.signs[bisect_right(begins, m.start()) - 1] = True
         self.candidates: list[tuple[int, int, int]] = []
         features = []
         for i in range(len(self.tokens)):
-            before = text[max(0, self.tokens[i][0] - 24) : self.tokens[i][0]].lower()
+            before = text[max(0, self.tokens[i][0] - 24) : self.tokens[i][0]].lower().rstrip()
             for n in range(1, min(LONGEST, len(self.tokens) - i) + 1):
                 if not any(self.signs[i : i + n]):
                     continue
-                span = text[self.tokens[i][0] : self.tokens[i + n - 1][1]]
+                end = self.tokens[i + n - 1][1]
+                span, after = text[self.tokens[i][0] : end], text[end : end + 2].strip()[:1]
                 for k, kind in enumerate(KINDS):
                     self.candidates.append((i, n, k))
-                    features.append(span_features(kind, span, n, before))
+                    features.append(span_features(kind, span, n, before, after))
         self.features = np.array(features, float).reshape(-1, len(FEATURES))
         self.kinds = np.array([k for _, _, k in self.candidates], int)
 
@@ -258,7 +276,8 @@ def rewritten(text: str, spans: list[Span], draw: random.Random) -> tuple[str, l
     for kind, s, e in sorted(spans, key=lambda x: x[1]):
         entity = text[s:e]
         if kind == "email":
-            entity = entity.replace("@", draw.choice([" (at) ", "(at)", "[at]"])).replace(".com", draw.choice([" (dot) com", "[dot]com", ".com"]))
+            entity = entity.replace("@", draw.choice([" (at) ", "(at)", "[at]"])).rpartition(".")
+            entity = entity[0] + draw.choice([" (dot) ", "[dot]", "."]) + entity[2]
         elif kind == "card":
             entity = draw.choice([".", "/", "_"]).join(digits_of(entity)[i : i + 4] for i in range(0, len(digits_of(entity)), 4))
         elif kind == "phone":
