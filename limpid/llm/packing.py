@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,8 @@ class WordIds:
     those of its stretches between ASCII blanks, one after the other. Nor does
     it join letters with other marks, so a word of plain letters keeps its ids
     whatever ASCII marks follow it; and it lower-cases. Ids of words are kept between batches,
-    up to a bound.
+    up to a bound. New words of plain letters are looked up many in one text and told apart by
+    the mark that the tokenizer's last id of a word bears; where it bears none, one by one.
     """
 
     def __init__(self, name: str):
@@ -66,32 +68,58 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known, self.flat, self.sizes = pa.array([""]), np.empty(0, self.kind), np.zeros(1, np.int64)  # words, and their ids on end
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.sizes = {"": 0}, np.empty(0, self.kind), np.zeros(1, np.int64)  # words by place, and their ids on end
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """Where each word is among the known ones; new ones are learned first."""
-        at = pc.index_in(words, value_set=self.known)
-        if not at.null_count:
-            return at.to_numpy()
-        if len(self.known) + at.null_count > WORDS_KEPT:
-            self.known, self.flat, self.sizes = pa.array([""]), self.flat[:0], np.zeros(1, np.int64)
-            return self.places(words) if len(words) < WORDS_KEPT else self._learned(words)
-        return self._learned(words, at)
-
-    def _learned(self, words: pa.Array, at: pa.Array | None = None) -> np.ndarray:
-        new = words.filter(at.is_null() if at is not None else pc.not_equal(words, ""))
+        """Where each of these distinct words is among the known ones; new ones are learned first."""
+        given, known = words.to_pylist(), self.known
+        at = np.fromiter(map(known.get, given, repeat(-1)), np.int64, len(given))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(known) + len(new) > WORDS_KEPT and len(known) > 1:
+            self._forget()
+            return self.places(words)
+        if len(new):
+            alpha = pc.match_substring_regex(words.take(pa.array(new)), LETTERS).to_numpy(zero_copy_only=False)
+            flat, sizes = [self.flat], [self.sizes]
+            for places, look_up in ((new[alpha], self._looked_up_joined), (new[~alpha], self._looked_up)):
+                at[places] = np.arange(len(known), len(known) + len(places))
+                known.update(zip([given[i] for i in places.tolist()], range(len(known), len(known) + len(places)), strict=True))
+                for begin in range(0, len(places), 4096):  # encodings are far larger than their ids
+                    for held, more in zip((flat, sizes), look_up([given[i] for i in places[begin : begin + 4096].tolist()]), strict=True):
+                        held.append(more)
+            self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        return at
+
+    def _looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids on end, and how many each has."""
         ids, sizes = array("H" if self.kind.itemsize == 2 else "I"), []
-        for begin in range(0, len(new), 4096):  # encodings are far larger than their ids
-            for e in self.tokenizer.encode_batch_fast(new.slice(begin, 4096).to_pylist(), add_special_tokens=False):
-                ids.extend(e.ids)
-                sizes.append(len(e))
-        self.known = pa.concat_arrays([self.known, new])
-        self.flat = np.concatenate([self.flat, np.frombuffer(ids, self.kind)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        return pc.index_in(words, value_set=self.known).to_numpy()
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            ids.extend(e.ids)
+            sizes.append(len(e))
+        return np.frombuffer(ids, self.kind), np.array(sizes, np.int64)
+
+    def _looked_up_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters, by way of one text."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._looked_up(words)
+        return ids, np.diff(ends, prepend=0)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without the end id."""
+        found, cuts = self.on_end(texts)
+        return np.split(found, cuts[:-1])
+
+    def on_end(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's after the other's, and where each text's end."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words_in = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -122,8 +150,7 @@ class WordIds:
         total = int(ends[-1]) if len(ends) else 0
         found = self.flat[np.repeat(begins[each] - (ends - length).astype(np.int32), length) + np.arange(total, dtype=np.int32)]
         word_ends = np.r_[0, ends[1::2]]
-        cuts = word_ends[np.cumsum(words_in)]
-        return np.split(found, cuts[:-1])
+        return found, word_ends[np.cumsum(words_in)]
 
 
 @cache
@@ -132,22 +159,36 @@ def word_ids(name: str) -> WordIds:
     return WordIds(name)
 
 
-def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A document's distinct ids and how often each occurs."""
-    ordered = np.sort(ids, kind="stable")  # a radix sort for 16 bits
-    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[begins], np.diff(begins, append=len(ids))
-
-
-def shard_key(ids: np.ndarray, unique: np.ndarray, counts: np.ndarray) -> int:
-    """Like documents have near keys: the two commonest tokens, then the smallest hash of a token triple."""
-    first = int(counts.argmax())
-    counts = counts.copy()
-    counts[first] = 0
+def counted(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents whose ids lie on end: each one's distinct ids in order, as its number, the id and how often it occurs there."""
+    wide = ids.dtype.itemsize > 2 or len(lengths) > 1 << 16
+    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+    ordered = np.sort(np.repeat(np.arange(len(lengths), dtype=kind) << kind(shift), lengths) | ids.astype(kind))
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ordered[1:] != ordered[:-1]]))
+    found = ordered[begins]
+    return (found >> kind(shift)).astype(np.int64), (found & kind((1 << shift) - 1)).astype(np.int64), np.diff(begins, append=len(ids))
+
+
+def shard_keys(ids: np.ndarray, lengths: np.ndarray, of: np.ndarray, unique: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Like documents have near keys: the two commonest tokens, then the smallest hash of a token triple. No document is empty."""
+    low = (1 << 32) - 1
+    rank = counts << 32 | (low - unique)  # of equally common ones the smaller id
+    begins = np.searchsorted(of, np.arange(len(lengths)))
+    best = np.maximum.reduceat(rank, begins)
+    rank[rank == best[of]] &= low
+    first, second = (low - (x & low) for x in (best, np.maximum.reduceat(rank, begins)))
     wide = ids.astype(np.uint64)
-    triples = (wide[:-2] << np.uint64(32)) + (wide[1:-1] << np.uint64(16)) + wide[2:] if len(wide) > 2 else wide
-    least = int(((triples + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).min())
-    return (int(unique[first]) & 0xFFFF) << 47 | (int(unique[counts.argmax()]) & 0xFFFF) << 31 | least
+    triples = wide << np.uint64(32)
+    triples[:-1] += wide[1:] << np.uint64(16)
+    triples[:-2] += wide[2:]
+    short = np.repeat(lengths < 3, lengths)
+    triples[short] = wide[short]
+    hashes = (triples + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    ends = np.cumsum(lengths)
+    long_ends = ends[lengths >= 3]
+    hashes[long_ends - 1] = hashes[long_ends - 2] = np.uint64(low)  # there no triple begins
+    least = np.minimum.reduceat(hashes, ends - lengths).astype(np.int64)
+    return (first & 0xFFFF) << 47 | (second & 0xFFFF) << 31 | least
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -173,23 +214,23 @@ def _tokenised(name: str, id_type: pa.DataType):
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_ids(name)
-        end = np.array([END_ID], memory.kind)
         names = ["doc", "stat", "key", "n", "ids"]
         frequency = np.zeros(0, np.int64)
         total = 0
         for docs, texts in _gathered(released(batches)):
-            packed, keys, sizes = [], [], []
-            for ids in memory.ids(texts):
-                ids = np.concatenate([ids, end])
-                unique, counts = counted(ids)
-                if unique[-1] >= len(frequency):
-                    frequency = np.r_[frequency, np.zeros(int(unique[-1]) + 1 - len(frequency), np.int64)]
-                frequency[unique] += 1
-                keys.append(shard_key(ids, unique, counts))
-                sizes.append(len(ids))
-                packed.append(ids.tobytes())
-            total += sum(sizes)
-            yield pa.RecordBatch.from_arrays([docs, pa.array([False] * len(packed)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=names)
+            if not len(texts):
+                continue
+            found, cuts = memory.on_end(texts)
+            ids = np.insert(found, cuts, END_ID)
+            sizes = np.diff(cuts, prepend=0) + 1
+            of, unique, counts = counted(ids, sizes)
+            held = np.bincount(unique, minlength=len(frequency))
+            held[: len(frequency)] += frequency
+            frequency = held
+            total += len(ids)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([docs, pa.array(np.zeros(len(sizes), bool)), pa.array(shard_keys(ids, sizes, of, unique, counts)), pa.array(sizes), packed], names=names)
         held = np.flatnonzero(frequency)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(held) + 1, id_type), pa.array([True] * (len(held) + 1)), pa.array(np.r_[-1, held]), pa.array(np.r_[total, frequency[held]]), pa.nulls(len(held) + 1, pa.binary())], names=names)
 
@@ -265,12 +306,9 @@ class Index:
 
     def __init__(self, items: list[np.ndarray], idf: np.ndarray):
         self.n, self.idf = len(items), idf
-        sets = [counted(x) for x in items]
-        self.terms = [u for u, _ in sets]
-        lengths = np.array([len(x) for x in items], float)
-        of = np.repeat(np.arange(self.n), [len(u) for u in self.terms])
-        term = np.concatenate(self.terms).astype(np.int64) if sets else np.empty(0, np.int64)
-        tf = np.concatenate([c for _, c in sets]).astype(float) if sets else np.empty(0)
+        lengths = np.array([len(x) for x in items], np.int64)
+        of, term, tf = counted(np.concatenate([np.empty(0, np.uint16), *items]), lengths)
+        self.terms, self.term_begins = term, np.searchsorted(of, np.arange(self.n + 1))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1)) if self.n else lengths
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[of])
         order = np.argsort(term, kind="stable")
@@ -298,8 +336,8 @@ class Index:
         """BM25 of each held item for all distinct terms of a seed."""
         scores, items, weights = np.zeros(len(self.held)), [], []
         common, begins = self.common, self.begins
-        terms = self.terms[seed]
-        for t, a, b in zip(terms.tolist(), begins[terms].tolist(), begins[terms.astype(np.int64) + 1].tolist(), strict=True):
+        terms = self.terms[self.term_begins[seed] : self.term_begins[seed + 1]]
+        for t, a, b in zip(terms.tolist(), begins[terms].tolist(), begins[terms + 1].tolist(), strict=True):
             if t in common:
                 scores += common[t]
             elif a < b:

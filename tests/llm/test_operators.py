@@ -673,3 +673,38 @@ def test_ids_are_the_tokenizers():
     texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
     for text, got in zip(texts, words.ids(pa.array(texts)), strict=True):
         assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_new_words_are_looked_up_in_few_texts(monkeypatch):
+    """A call of the tokenizer for each new word, and an index of all known words for each batch, were most of the work."""
+    import pyarrow as pa
+
+    words = packing.WordIds("word_bpe_49k.json")
+    texts = [" ".join(f"{a}{b}ière{c}," for c in ("x", "ñu", "ОК")) for a in "abcdefgh" for b in "ijklmnop"] + ["", "it's 12 x y"]
+    one_by_one = words._looked_up
+    seen = []
+    monkeypatch.setattr(words, "_looked_up", lambda new: seen.extend(new) or one_by_one(new))
+    for _ in range(2):
+        for text, got in zip(texts, words.ids(pa.array(texts)), strict=True):
+            assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == [",", "12", "it's"]
+    # A tokenizer whose ids bear no mark at a word's end: one by one, to the same ids.
+    plain = packing.WordIds("word_bpe_49k.json")
+    plain.last[:] = False
+    assert [x.tolist() for x in plain.ids(pa.array(texts))] == [x.tolist() for x in words.ids(pa.array(texts))]
+
+
+def test_keys_of_documents_on_end():
+    draw = np.random.default_rng(3)
+    docs = [draw.integers(1, 9, n).astype("<u2") for n in (1, 2, 3, 40, 1, 300)]
+    lengths = np.array([len(x) for x in docs])
+    ids = np.concatenate(docs)
+    of, unique, counts = packing.counted(ids, lengths)
+    got = packing.shard_keys(ids, lengths, of, unique, counts)
+    for d, (x, key) in enumerate(zip(docs, got.tolist(), strict=True)):
+        want, n = np.unique(x, return_counts=True)
+        assert unique[of == d].tolist() == want.tolist() and counts[of == d].tolist() == n.tolist()
+        common = [int(t) for t, _ in sorted(zip(want, n, strict=True), key=lambda p: (-p[1], p[0]))]
+        runs = [(int(a) << 32) + (int(b) << 16) + int(c) for a, b, c in zip(x, x[1:], x[2:], strict=False)] or x.tolist()
+        least = min(((r + 1) * 0x9E3779B97F4A7C15 % 2**64) >> 33 for r in runs)
+        assert key == common[0] << 47 | common[min(1, len(common) - 1)] << 31 | least
