@@ -17,19 +17,24 @@ the benchmark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.common import WordHashes, covered, given, gram_hashes, named, payload, private, signed, stored, text_hashes, utf8
+from limpid.llm.common import covered, given, gram_hashes, named, payload, private, signed, stored, text_hashes, utf8
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of texts whose words are hashed together, and of words that are not hashed one by one.
+HASHED_AT_ONCE, LONG_WORD = 1 << 20, 64
+#: The bytes of an integer of eight that belong to a word of so many bytes.
+WORD_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Shingles counted before a task hands its counts on.
 COUNTS_HELD = 1 << 20
 #: Windows, a line of text each, that may be broadcast.
@@ -55,6 +60,56 @@ def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return gram_hashes(hashes, size) ^ np.uint64(size)
 
 
+def hashed_together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= HASHED_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+class Words:
+    """The words of some texts, one text's after the other's, and a hash of each.
+
+    Hashes are made of eight bytes of all words at a time. They only choose
+    candidates, whose words are compared.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.text = b"".join([b" ", b" ".join(texts), b" " * 9]).translate(WORD_BYTES)
+        inside = np.frombuffer(self.text, np.uint8) != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.begins, self.ends = edges[::2], edges[1::2]
+        #: Where each text's words begin among all; at last, how many there are.
+        self.bounds = np.searchsorted(self.begins, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        size = self.ends - self.begins
+        eights = np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+        self.hashes = size.astype(np.uint64)
+        some = np.arange(len(size))
+        for at in range(0, LONG_WORD, 8):
+            some = some[size[some] > at]
+            x = self.hashes[some] ^ eights[self.begins[some] + at] & WORD_MASKS[np.minimum(size[some] - at, 8)]
+            x *= np.uint64(0xFF51AFD7ED558CCD)
+            self.hashes[some] = x ^ (x >> np.uint64(32))
+        for i in some[size[some] > LONG_WORD].tolist():
+            self.hashes[i] = xxhash.xxh3_64_intdigest(self.text[self.begins[i] : self.ends[i]])
+
+    def between(self, begin: int, end: int) -> list[bytes]:
+        return self.text[self.begins[begin] : self.ends[end - 1]].split()
+
+    def shingles(self, size: int, bitmap: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles that the bitmap passes: their text's number, their first word's, and their hash."""
+        hashes = shingles_of(self.hashes, size)
+        at = np.flatnonzero(bitmap.holds(hashes))
+        of = np.searchsorted(self.bounds, at, "right") - 1
+        whole = at + size <= self.bounds[of + 1]  # within one text
+        return of[whole], at[whole], hashes[at[whole]]
+
+
 def _windows(size: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,14 +125,14 @@ def _listed(shingle: int):
     """Each window's shingles and their first places; a window of fewer words is one shingle."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
         for batch in batches:
             rows = []
-            for window in batch.column(0).to_pylist():
-                words = window.encode().split()
-                size = min(shingle, len(words))
-                values, first = np.unique(shingles_of(memory.of(words), size), return_index=True)
-                rows += [(window, len(words), size, v, at) for v, at in zip(signed(values).tolist(), first.tolist(), strict=True)]
+            for windows in hashed_together(w.encode() for w in batch.column(0).to_pylist()):
+                words = Words(windows)
+                for window, begin, end in zip(windows, words.bounds[:-1], words.bounds[1:], strict=True):
+                    size = min(shingle, int(end - begin))
+                    values, first = np.unique(shingles_of(words.hashes[begin:end], size), return_index=True)
+                    rows += [(window.decode(), int(end - begin), size, v, at) for v, at in zip(signed(values).tolist(), first.tolist(), strict=True)]
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["window", "words", "size", "shingle", "offset"])
 
@@ -91,11 +146,14 @@ class Bitmap:
         self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for x in (hashes & self.mask, (hashes >> np.uint64(32)) & self.mask):
-            found &= (self.bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        found = self._set(hashes & self.mask)
+        passed = np.flatnonzero(found)  # few, as a rule
+        found[passed] = self._set((hashes[passed] >> np.uint64(32)) & self.mask)
         return found
 
+    def _set(self, x: np.ndarray) -> np.ndarray:
+        return (self.bits[(x >> np.uint64(3)).view(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
 
 def bitmap_of(hashes: DataFrame, column: str, most_bits: int) -> Bitmap:
     """A bitmap of a column, of 1024 bits a value but at most ``most_bits`` in all, in pieces of 4 KB that executors fill."""
@@ -114,22 +172,24 @@ def _document_counts(shared, sizes: list[int]):
     """How many documents hold each shingle that the bitmap passes, summed up within a task."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, bitmap, held, n = WordHashes(), shared.value, [], 0
+        bitmap, held, n = shared.value, [], 0
 
         def summed() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(times)], names=["shingle", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                hashes = memory.of(words_of(payload(text.as_py())))
+            for texts in hashed_together(payload(t.as_py()) for t in batch.column(0)):
+                words = Words(texts)
                 for size in sizes:
-                    x = shingles_of(hashes, size)
-                    held.append(np.unique(x[bitmap.holds(x)]))
+                    of, _, x = words.shingles(size, bitmap)
+                    order = np.lexsort((x, of))
+                    of, x = of[order], x[order]
+                    held.append(x[np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (of[1:] != of[:-1])]))])
                     n += len(held[-1])
-            if n >= COUNTS_HELD:
-                yield summed()
-                held, n = [], 0
+                if n >= COUNTS_HELD:
+                    yield summed()
+                    held, n = [], 0
         yield summed()
 
     return counts
@@ -142,21 +202,23 @@ def _places(shared, sizes: list[int], window: int, shingle: int):
     """
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, bitmap = WordHashes(), shared.value
+        bitmap = shared.value
         names = ["t1", "t2", "shingle", "place", "before", "around"]
         for batch in batches:
-            cols = [[] for _ in names]
-            for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = words_of(payload(text.as_py()))
-                hashes = memory.of(words)
+            cols, done = [[] for _ in names], 0
+            t1, t2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for texts in hashed_together(payload(t.as_py()) for t in batch.column(2)):
+                words = Words(texts)
+                bounds = words.bounds.tolist()
                 for size in sizes:
-                    x = shingles_of(hashes, size)
                     reach = window - size if size == shingle else 0
-                    for at in np.flatnonzero(bitmap.holds(x)).tolist():
-                        begin = max(0, at - reach)
-                        row = (t1, t2, signed(x[at : at + 1])[0], at, at - begin, [w.decode() for w in words[begin : at + size + reach]])
+                    for of, at, x in zip(*(v.tolist() for v in words.shingles(size, bitmap)), strict=True):
+                        begin = max(bounds[of], at - reach)
+                        around = words.between(begin, min(bounds[of + 1], at + size + reach))
+                        row = (t1[done + of], t2[done + of], x - (x >> 63 << 64), at - bounds[of], at - begin, [w.decode() for w in around])
                         for col, value in zip(cols, row, strict=True):
                             col.append(value)
+                done += len(texts)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 

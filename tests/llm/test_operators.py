@@ -284,6 +284,27 @@ def test_decontaminate_without_broadcasts(spark, docs, rows, monkeypatch):
     same(got, brute_hits(rows, items))
 
 
+def test_words_of_many_texts_are_hashed_together():
+    """Looking each word up in a dict, text by text, was most of both readings; hashes must not depend on where a word lies."""
+    from limpid.llm.decontaminate import Bitmap, Words, hashed_together, words_of
+
+    draw = np.random.default_rng(8)
+    pool = [b"a", b"A", b"ab", b"abcdefgh", b"abcdefghi", "ñandú".encode(), "a　b\x85".encode(), b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 64 + b"y", b"z" * 300, b"a\x01b", b"\x00"]
+    texts = [b"", b"...", *(b"".join(pool[i] + b" ,"[: draw.integers(0, 3)] for i in draw.integers(0, len(pool), 12)) for _ in range(200)), b""]
+    words, known = Words(texts), {}
+    for i, text in enumerate(texts):
+        begin, end = words.bounds[i : i + 2].tolist()
+        want = words_of(text)
+        assert end - begin == len(want) and (not want or words.between(begin, end) == want)
+        for word, h in zip(want, words.hashes[begin:end].tolist(), strict=True):
+            assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    everything = Bitmap(np.full(4096, 255, np.uint8))
+    of, at, _ = words.shingles(3, everything)
+    assert list(zip(of.tolist(), at.tolist(), strict=True)) == [(i, int(words.bounds[i]) + k) for i, t in enumerate(texts) for k in range(len(words_of(t)) - 2)]
+    assert [t for part in hashed_together(iter(texts)) for t in part] == texts and not Words([]).hashes.size
+
+
 # ---------------------------------------------------------------- media
 def test_media_round_trip(docs, rows):
     got = media_features(docs).select("doc_id", "media.*").collect()
