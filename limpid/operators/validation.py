@@ -1,6 +1,7 @@
 """What a validator would object to in a rule's effect, told from counts and from shapes before and after.
 
-One aggregate over all changed columns counts kinds of change, another one the
+Each distinct change of a value is looked at once and weighted by its cells. One
+aggregate over all changed columns counts kinds of change, another one the
 coarse shapes on both sides, whose distributions are then compared. The same
 judgement serves a whole cleaning run and a single rule.
 """
@@ -45,31 +46,42 @@ def _number(c: Column) -> Column:
     return to_number(F.regexp_replace(F.replace(c, F.lit(","), F.lit("")), r"^[^0-9.+-]{0,4}(?=[-+.0-9])|(?<=[0-9.])[^0-9.]{0,6}$", ""))
 
 
-def _counts(a: Column, b: Column, i: int) -> list[Column]:
-    both = a.isNotNull() & b.isNotNull()
-    same_words = both & (letters_and_digits(a) == letters_and_digits(b))
-    x, y = _number(a), _number(b)
-    power = F.log10(F.abs(F.try_divide(y, x)))
-    scaled = both & (x != 0) & (y != 0) & (F.abs(power) > 0.5) & (F.abs(power - F.round(power)) < 1e-9)
+def value_changes(before: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """``column, a, b, n``: how many cells of a column go from one text to another, or stay."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("a"), after.cast("string").alias("b")) for c, after in changes.items()]
+    return before.select(F.inline(F.array(*cells))).groupBy("column", "a", "b").agg(F.count("*").alias("n"))
+
+
+def _counts(pairs: DataFrame) -> DataFrame:
+    """A row a column of what is counted in its changes. Only cells that differ are looked at closely."""
+    a, b = F.col("a"), F.col("b")
+    other = a != b
+    same_words = other & (letters_and_digits(a) == letters_and_digits(b))
     same_number = F.coalesce(to_number(a) == to_number(b), F.lit(False))
-    return [
-        F.count_if(~a.eqNullSafe(b) & ~same_number).alias(f"changed{i}"),
-        F.count(a).alias(f"present{i}"), F.count(b).alias(f"kept{i}"), F.approx_count_distinct(a).alias(f"before{i}"), F.min(b).alias(f"low{i}"), F.max(b).alias(f"high{i}"),
-        F.count_if((a != b) & (F.lower(a) == F.lower(b))).alias(f"recased{i}"),
-        F.count_if(F.char_length(b) * 2 < F.char_length(a)).alias(f"shortened{i}"),
-        F.count_if(both & (F.regexp_count(a, F.lit(_BRACKETS)) > F.regexp_count(b, F.lit(_BRACKETS)))).alias(f"unbracketed{i}"),
-        F.count_if(same_words & (separators(a) != separators(b))).alias(f"reseparated{i}"),
-        F.count_if(scaled).alias(f"scaled{i}"),
-    ]
-
-
-def shape_divergence(before: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    numbers = pairs.withColumns({"x": F.when(other, _number(a)), "y": F.when(other, _number(b))}).withColumn("power", F.log10(F.abs(F.try_divide("y", "x"))))
+    power = F.col("power")
+    cells = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    return numbers.groupBy("column").agg(
+        cells(~a.eqNullSafe(b) & ~same_number).alias("changed"),
+        cells(a.isNotNull()).alias("present"), cells(b.isNotNull()).alias("kept"), F.approx_count_distinct(a).alias("before"), F.min(b).alias("low"), F.max(b).alias("high"),
+        cells(other & (F.lower(a) == F.lower(b))).alias("recased"),
+        cells(F.char_length(b) * 2 < F.char_length(a)).alias("shortened"),
+        cells(other & (F.regexp_count(a, F.lit(_BRACKETS)) > F.regexp_count(b, F.lit(_BRACKETS)))).alias("unbracketed"),
+        cells(same_words & (separators(a) != separators(b))).alias("reseparated"),
+        cells((F.col("x") != 0) & (F.col("y") != 0) & (F.abs(power) > 0.5) & (F.abs(power - F.round(power)) < 1e-9)).alias("scaled"),
+    )
+
+
+def shape_divergence(pairs: DataFrame) -> DataFrame:
     """``column, divergence``: Jensen and Shannon's, in bits, of the coarse shapes before and after; nulls are left out.
 
-    One grouped aggregate of all columns' shapes, however many a column has.
+    ``pairs`` are value_changes. One grouped aggregate of all columns' shapes, however many a column has.
     """
-    cells = [F.struct(F.lit(c).alias("column"), coarse_shape(F.col(f"`{c}`").cast("string")).alias("a"), coarse_shape(after.cast("string")).alias("b")) for c, after in changes.items()]
-    sides = before.select(F.inline(F.array(*cells))).select("column", F.explode(F.array(F.struct(F.col("a").alias("shape"), F.lit(1).alias("p"), F.lit(0).alias("q")), F.struct(F.col("b").alias("shape"), F.lit(0).alias("p"), F.lit(1).alias("q")))).alias("s")).select("column", "s.*")
+    shaped = pairs.withColumn("sa", coarse_shape(F.col("a"))).withColumn("sb", F.when(F.col("a") == F.col("b"), F.col("sa")).otherwise(coarse_shape(F.col("b"))))
+    both = shaped.groupBy("column", "sa", "sb").agg(F.sum("n").alias("n"))
+    side = lambda shape, p, q: F.struct(F.col(shape).alias("shape"), p.alias("p"), q.alias("q"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    sides = both.select("column", F.inline(F.array(side("sa", n, none), side("sb", none, n))))
     counted = sides.where("shape is not null").groupBy("column", "shape").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     totals = counted.groupBy("column").agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))
     shares = counted.join(F.broadcast(totals), "column").where("ps > 0 and qs > 0").select("column", (F.col("p") / F.col("ps")).alias("p"), (F.col("q") / F.col("qs")).alias("q"))
@@ -88,19 +100,16 @@ def change_problems(before: DataFrame, changes: dict[str, Column]) -> DataFrame:
     letters and digits; scaled, the same number but for a power of ten.
     reshaped: another distribution of shapes.
     """
-    one = before.agg(*[x for i, (c, after) in enumerate(changes.items()) for x in _counts(F.col(f"`{c}`").cast("string"), after.cast("string"), i)])
-
-    def judged(i: int) -> list[Column]:
-        x = lambda k: F.col(f"{k}{i}")
-        most = lambda k: (x(k) > MOST * x("present")).alias(k)
-        return [
-            x("changed").alias("changed"),
-            ((x("present") > 0) & (x("kept") == 0)).alias("emptied"),
-            # One value at most is left if the least and the greatest agree; more than two were there is an estimate that is exact for so few.
-            ((x("before") > 2) & ((x("kept") == 0) | (x("low") == x("high")))).alias("collapsed"),
-            *[most(k) for k in ("scaled", "recased", "shortened", "unbracketed", "reseparated")],
-        ]
-
-    each = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *judged(i)) for i, c in enumerate(changes)])))
-    out = each.join(F.broadcast(shape_divergence(before, changes)), "column", "left").withColumn("divergence", F.coalesce("divergence", F.lit(0.0)))
+    pairs = value_changes(before, changes)
+    x = lambda k: F.coalesce(k, F.lit(0))  # noqa: E731  a column of a table without rows has no counts
+    most = lambda k: (x(k) > MOST * x("present")).alias(k)
+    each = before.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, changes))).alias("column")).join(F.broadcast(_counts(pairs)), "column", "left").select(
+        "column",
+        x("changed").alias("changed"),
+        ((x("present") > 0) & (x("kept") == 0)).alias("emptied"),
+        # One value at most is left if the least and the greatest agree; more than two were there is an estimate that is exact for so few.
+        ((x("before") > 2) & ((x("kept") == 0) | (F.col("low") == F.col("high")))).alias("collapsed"),
+        *[most(k) for k in ("scaled", "recased", "shortened", "unbracketed", "reseparated")],
+    )
+    out = each.join(F.broadcast(shape_divergence(pairs)), "column", "left").withColumn("divergence", F.coalesce("divergence", F.lit(0.0)))
     return out.withColumn("reshaped", F.col("divergence") > DIVERGENCE).select("column", "changed", *PROBLEMS, "divergence")

@@ -133,6 +133,18 @@ def test_objections(spark):
     assert objections(empty, day=F.upper("day")) == {"day": set()}
 
 
+def test_changes_are_judged_once_for_equal_cells(spark):
+    """Every cell went through every pattern, twice, and in the table's own few tasks; equal changes are now one row with its cells."""
+    table = frame(spark, 600, day=lambda i: f"2020-01-{i % 28 + 1:02d}", code=lambda i: None if i % 6 == 0 else f"ab{i % 5}").withColumn("gone", F.lit(None).cast("string"))
+    changes = {"day": F.regexp_replace("day", "-", "/"), "code": F.when(F.col("code") != "ab1", F.upper("code")), "gone": F.lit("x")}
+    pairs = {(r["column"], r["a"], r["b"]): r["n"] for r in validation.value_changes(table, changes).collect()}
+    assert len(pairs) == 28 + 6 + 1 and sum(pairs.values()) == 3 * 600
+    assert pairs["gone", None, "x"] == 600 and pairs["code", None, None] == 100 and pairs["code", "ab1", None] == 100 and pairs["code", "ab2", "AB2"] == 100
+    got = {r["column"]: r for r in validation.change_problems(table, changes).collect()}
+    assert {c: r["changed"] for c, r in got.items()} == {"day": 600, "code": 500, "gone": 600}
+    assert got["code"]["recased"] and not got["gone"]["reshaped"] and got["day"]["reseparated"]
+
+
 def test_rules_that_change_the_form_are_rejected_in_a_run(spark):
     table = frame(spark, 40, day=lambda i: f"2020-01-{i % 28 + 1:02d}", rate=lambda i: f"{i % 9 + 1}.5%")
     change = {"day": F.regexp_replace("day", "-", "/"), "rate": F.regexp_replace("rate", "%", "").cast("double") / 100}
